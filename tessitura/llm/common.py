@@ -74,6 +74,11 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, hashes[coded.indices.to_numpy()]
 
 
+def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``words``, of lower-cased runs of letters and digits: punctuation and case don't count."""
+    return words(pc.replace_substring_regex(pc.utf8_lower(strings(texts)), r"[^\pL\pN]+", " "))
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """The hash of the ``n`` words from each word on (the last ``n - 1`` places are missing)."""
     size = len(hashes) - n + 1

@@ -8,7 +8,6 @@ sequences of power-of-two length, which need no padding.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,14 +26,17 @@ from tessitura.llm.token_counts import byte_symbols
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 K1, B, QUERY_TERMS = 1.2, 0.75, 32
 KEY_BITS, SHARD_DOCS = 12, 1024
-KEPT = 1 << 18
+KEPT = 1 << 19
 SHARD_SEQUENCES = 1 << 62
-#: A text in which no two white-space characters meet, and none begins or ends it, may be cut before each space.
-UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
+
+
+class Uneven(Exception):
+    """Two white-space characters meet, or one begins or ends the text: it can't be cut at its spaces."""
 
 
 class Encoder(dict):
-    """Token ids as packed little-endian integers; as a mapping it remembers the ids of space-separated words (each with its space)."""
+    """Token ids as packed little-endian integers. A text is cut before each space and around each line end, which no token crosses where single
+    white-space characters stand between words; as a mapping it remembers the ids of words: with the space before them, or after a line end without."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -45,18 +47,25 @@ class Encoder(dict):
         ranks = {bytes(byte[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
         self.size = max([*ranks.values(), *special.values()]) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.special = re.compile("|".join(map(re.escape, special)) or r"\Z\A.")
         self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = tuple(special)
+        self.marks = {c: self.pack(c) for c in ",."}
+        self.line = self.pack("\n")
         self.old: dict[str, bytes] = {}
 
     def pack(self, text: str) -> bytes:
-        return np.array(self.bpe.encode(text, allowed_special="all"), self.kind).tobytes()
+        return array(self.code, self.bpe.encode(text, allowed_special="all")).tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        if word[-1:] in self.marks and word[-2:-1].isalpha():
+            return self[word[:-1]] + self.marks[word[-1]]
         found = self.old.pop(word, None)
         if found is None:
-            found = self.pack(" " + word) if self.special.search(word) else array(self.code, self.bpe.encode_ordinary(" " + word)).tobytes()
+            bare = word.removeprefix("\n")
+            if not bare or bare != bare.strip():
+                raise Uneven
+            found = array(self.code, self.bpe.encode_ordinary(bare if bare is not word else " " + word)).tobytes()
         if len(word) <= 64:
             if len(self) >= KEPT:
                 self.old = dict(self)
@@ -65,12 +74,16 @@ class Encoder(dict):
         return found
 
     def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.kind)
-        if UNEVEN.search(text):
+        if not text or any(s in text for s in self.special):
+            return np.frombuffer(self.pack(text), self.kind)
+        get, lines = self.__getitem__, []
+        try:
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                lines.append(get("\n" + first) + b"".join(map(get, rest)))
+        except Uneven:
             return np.frombuffer(self.pack(text), self.kind)
-        first, *rest = text.split(" ")
-        return np.frombuffer(self.pack(first) + b"".join(map(self.__getitem__, rest)), self.kind)
+        return np.frombuffer(self.line.join(lines), self.kind)
 
 
 _encoders: dict[str, Encoder] = {}
