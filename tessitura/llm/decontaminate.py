@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import batches, blob_column, mix, plain_words, stored
+from tessitura.llm.common import batches, blob_column, free_name, mix, plain_words, stored
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -175,5 +175,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5,
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, seed: int = 5, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text isn't contaminated. Equal texts have one verdict, so rows are left out by their text."""
     rows, hits = tiled(docs, benchmark, seed, least, id_col=id_col, text_col=text_col)
-    bad = rows.join(hits.where(F.col("covered") >= coverage).select("row").distinct(), "row", "left_semi").select(F.col("text_key").alias("_bad")).distinct()
-    return docs.join(bad, text_key(text_col) == F.col("_bad"), "left_anti")
+    name = free_name(docs, "bad")
+    bad = rows.join(hits.where(F.col("covered") >= coverage).select("row").distinct(), "row", "left_semi").select(F.col("text_key").alias(name)).distinct()
+    return docs.join(bad, text_key(text_col) == F.col(name), "left_anti")

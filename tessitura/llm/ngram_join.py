@@ -16,10 +16,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import batches, blob_column, mix, partitions, stored, windows, words
+from tessitura.llm.common import batches, blob_column, free_name, mix, partitions, stored, windows, words
 from tessitura.llm.components import components
 
 BITS = 2048
@@ -322,3 +322,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
     found = classes.join(linked, "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"), "n_class")
     out = signed.select("id", "n", "h1", "h2").join(found, ["h1", "h2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("comp"))).otherwise(F.col("id")).alias("component_id"), F.coalesce(F.when(F.col("n") > 0, F.col("n_class")), F.lit(1).cast("bigint")).alias("n_class"))
+
+
+def without_near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which one document of each component stays: that of the smallest id, and one row of it.
+
+    Null and blank texts are linked with nothing and stay (one row an id); rows with a null id stay.
+    """
+    found = jaccard_components(docs, n, threshold, id_col, text_col)
+    name, order = free_name(docs, "dropped"), free_name(docs, "nth")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    kept = docs.join(gone, F.col(id_col).cast("bigint") == F.col(name), "left_anti")
+    apart = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())  # rows without an id don't meet
+    w = Window.partitionBy(id_col, apart).orderBy(F.xxhash64(text_col))
+    return kept.withColumn(order, F.row_number().over(w)).where(F.col(order) == 1).drop(order)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import batches, blob_column, strings
+from tessitura.llm.common import batches, blob_column, free_name, strings
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
@@ -152,4 +152,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of ``docs``, with their columns, that score below 0.5."""
     model = train(docs, labels, ~held_out(id_col), id_col, text_col, label_col)
-    return scored(docs, model, text_col, "_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    name = free_name(docs, "toxicity")
+    return scored(docs, model, text_col, name).where(F.col(name) < 0.5).select(*docs.columns)
