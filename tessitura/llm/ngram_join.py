@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -265,9 +264,11 @@ def _still_open(reps: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blobs) if blobs else np.zeros(0, np.int64)), batch.column("id").take(pa.array(at)), batch.column("comp").take(pa.array(at))], ["key", "id", "comp"])
 
     members = stored(reps.join(labels, "id").select("id", "comp", "sigs").mapInArrow(keyed, "key bigint, id bigint, comp bigint"), "join-keys")
-    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    # per key: its largest component (the trunk), whose members are not held against each other
-    keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).where("comps > 1")
+    who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"who{i}") for i in range(2)]
+    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), *who)
+    # per key: its largest component (the trunk), whose members are not held against each other; of keys with the same members one is enough
+    keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), *(F.bit_xor(f"who{i}").alias(f"who{i}") for i in range(2)))
+    keys = keys.where("comps > 1").groupBy("who0", "who1", "all").agg(F.min(F.struct("key", "top")).alias("one")).select("one.key", "one.top", "all")
     blocks = lambda n: f"CAST(greatest(1, ceil({n} / {BLOCK})) AS INT)"
     keys = stored(keys.select("key", F.col("top.comp").alias("trunk"), F.expr(blocks("top.n")).alias("nt"), F.expr(blocks("all - top.n")).alias("ns")), "join-open")
     rows = members.join(keys, "key").withColumn("in_trunk", F.expr("comp = trunk"))
@@ -281,21 +282,19 @@ def _still_open(reps: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction
     dealt = spread.select("key", "id", "comp", F.explode("to").alias("to")).select("key", F.col("to.i").alias("i"), F.col("to.j").alias("j"), F.col("to.side").alias("side"), "id", "comp")
     dealt = dealt.join(sets.select("id", "n", "bits"), "id")
 
-    def traverse(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates()  # rows that came twice
-        maps = np.frombuffer(b"".join(group["bits"]), U).reshape(len(group), -1)
-        sizes, comps, ids, side = group["n"].to_numpy(), group["comp"].to_numpy(), group["id"].to_numpy(), group["side"].to_numpy()
+    def traverse(group: pa.Table) -> pa.Table:
+        ids, side, sizes, comps = (group.column(c).to_numpy() for c in ("id", "side", "n", "comp"))
+        maps = np.frombuffer(b"".join(group.column("bits").to_pylist()), U).reshape(len(ids), -1)
         one = side == 0
-        two = side == 1 if group["i"].iat[0] != group["j"].iat[0] else one
-        if not one.any() or not two.any():
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a, b = dual_traversal(SignatureTree(maps[one], sizes[one], comps[one]), SignatureTree(maps[two], sizes[two], comps[two]), t)
-        x, y = ids[one][a], ids[two][b]
-        ca, cb = comps[one][a], comps[two][b]
-        found = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})[ca != cb]
-        return found.drop_duplicates()
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(traverse, "a bigint, b bigint").distinct()
+        two = side == 1 if group.column("i")[0] != group.column("j")[0] else one
+        x = y = np.zeros(0, np.int64)
+        if one.any() and two.any():
+            a, b = dual_traversal(SignatureTree(maps[one], sizes[one], comps[one]), SignatureTree(maps[two], sizes[two], comps[two]), t)
+            apart = comps[one][a] != comps[two][b]
+            x, y = ids[one][a][apart], ids[two][b][apart]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(traverse, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
