@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessitura.plans import events
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_ALL = {**events.QUERIES}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
