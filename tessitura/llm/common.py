@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 S33 = np.uint64(33)
@@ -107,5 +108,40 @@ def batches(rows: Iterator[pa.RecordBatch], most_bytes: int = 32 << 20) -> Itera
             yield batch.slice(at, step)
 
 
+#: Bits of a key filter that every task gets: 16 a key, within these bounds (16 MB at most; a full one lets all keys pass).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+
+
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return keys % np.uint64(bits), mix(keys) % np.uint64(bits)
+
+
+class KeyFilter:
+    """A Bloom filter of 64-bit keys, of a bounded size, built by a grouped bit_or; keys that pass it are joined exactly afterwards."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.bits = words, len(words) * 64
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> KeyFilter:
+        """keys: one bigint column."""
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(16 * keys.count()).bit_length()))
+
+        def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                p = np.unique(np.concatenate(_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits)))
+                yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], ["at", "word"])
+
+        words = np.zeros(bits // 64, np.uint64)
+        for at, word in keys.mapInArrow(make, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word")).collect():  # bits / 64 rows at most
+            words[at] = np.int64(word).view(np.uint64)
+        return cls(words)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        one, two = _places(keys, self.bits)
+        six, low = np.uint64(6), np.uint64(63)
+        return ((self.words[one >> six] >> (one & low)) & (self.words[two >> six] >> (two & low)) & np.uint64(1)).astype(bool)
+
+
 def blob_column(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())

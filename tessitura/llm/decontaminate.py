@@ -16,13 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import batches, blob_column, free_name, mix, plain_words, stored
+from tessitura.llm.common import KeyFilter, batches, blob_column, free_name, mix, plain_words, stored
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Bits of the seed filter that every task gets: 16 a seed, within these bounds (16 MB at most; when it is full, the join alone decides).
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
 
 def running_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -91,40 +89,17 @@ def _items(benchmark: DataFrame, seed: int, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(make, "item bigint, test binary, seeds array<bigint>").where("item IS NOT NULL")
 
 
-def _places(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return seeds % U(bits), mix(seeds) % U(bits)
-
-
-def _filter(items: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter of all seeds as 64-bit words, of a bounded size; built by a grouped bit_or."""
-    n = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(16 * n).bit_length()))
-
-    def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            seeds = batch.column(0).flatten().to_numpy().view(U)
-            p = np.unique(np.concatenate(_places(seeds, bits)))
-            yield pa.RecordBatch.from_arrays([pa.array((p >> U(6)).astype(np.int64)), pa.array((U(1) << (p & U(63))).view(np.int64))], ["at", "word"])
-
-    out = np.zeros(bits // 64, U)
-    for at, word in items.select("seeds").mapInArrow(make, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word")).collect():
-        out[at] = np.int64(word).view(U)
-    return out, bits
-
-
 def tiled(docs: DataFrame, benchmark: DataFrame, seed: int = 5, least: int = 5, item_id: str = "item_id", item_text: str = "text", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, hits). rows: row, id, text_key for every document; hits: row, item, covered (share of the item's words), n_tiles for the pairs that met."""
     items = stored(_items(benchmark, seed, item_id, item_text), "tiles-items")
-    words_, bits = _filter(items)
-    shared = docs.sparkSession.sparkContext.broadcast(words_)  # MOST_BITS bits at most
+    shared = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(items.select(F.explode("seeds"))))  # of a bounded size
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, table = TaskContext.get().partitionId() << 33, shared.value
+        row, known = TaskContext.get().partitionId() << 33, shared.value
         for batch in batches(rows, 8 << 20):
             offsets, hashes = plain_words(batch.column(1))
             rolled = running_hashes(hashes, seed)
-            one, two = _places(rolled, bits)
-            found = np.flatnonzero((table[one >> U(6)] >> (one & U(63))) & (table[two >> U(6)] >> (two & U(63))) & U(1))
+            found = np.flatnonzero(known(rolled))
             short = np.flatnonzero(np.diff(offsets) < seed)
             spans = list(zip(np.searchsorted(found, offsets[:-1]), np.searchsorted(found, np.maximum(offsets[1:] - seed + 1, offsets[:-1])), strict=True))
             seeds = [np.unique(rolled[found[a:b]]).view(np.int64).tolist() for a, b in spans]

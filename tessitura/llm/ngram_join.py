@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import batches, blob_column, free_name, mix, partitions, stored, windows, words
+from tessitura.llm.common import KeyFilter, batches, blob_column, free_name, mix, partitions, stored, windows, words
 from tessitura.llm.components import components
 
 BITS = 2048
@@ -162,8 +162,49 @@ def _signed(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     return docs.mapInArrow(sign, "id bigint, n bigint, h1 bigint, h2 bigint, sigs binary")
 
 
+PACKED = "slot int, keys binary, ids binary, a bigint, b bigint, n bigint"
+
+
+def _packed(batch: pa.RecordBatch, slots: int, combine) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, keys, ids) of a batch (id, signatures), sorted by key and id; ``combine`` leaves out rows and may give pairs (a, b, n) for them."""
+    blobs = [np.frombuffer(x, U) for x in batch.column(1).to_pylist()]
+    ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in blobs])
+    keys = np.concatenate(blobs) if blobs else np.zeros(0, U)
+    if not len(keys):
+        return
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    keep, pairs, counts = combine(keys, ids)
+    keys, ids = keys[keep], ids[keep]
+    slot = ((keys >> U(32)) * U(slots)) >> U(32)
+    cut = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]]))
+    n, spans, names = len(cut) - 1, list(zip(cut[:-1], cut[1:], strict=True)), ["slot", "keys", "ids", "a", "b", "n"]
+    yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]].astype(np.int32)), blob_column([keys[x:y].tobytes() for x, y in spans]), blob_column([ids[x:y].tobytes() for x, y in spans]), *[pa.nulls(n, pa.int64())] * 3], names)
+    if m := len(pairs):
+        spread = pa.array((np.arange(m) % slots).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([spread, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(counts)], names)
+
+
+def _unpacked(batches_: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and ids of packed rows, sorted."""
+    keys = [np.frombuffer(x, U) for b in batches_ for x in b.column("keys").drop_null().to_pylist()]
+    ids = [np.frombuffer(x, np.int64) for b in batches_ for x in b.column("ids").drop_null().to_pylist()]
+    k, i = np.concatenate([*keys, np.zeros(0, U)]), np.concatenate([*ids, np.zeros(0, np.int64)])
+    order = np.lexsort((i, k))
+    return k[order], i[order]
+
+
+def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first of each key, pairs of the others with it, under how many keys each pair meets)."""
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    pivot = ids[first][np.cumsum(first) - 1]
+    met = ~first & (ids != pivot)
+    pairs, counts = np.unique(np.stack([ids[met], pivot[met]], 1), axis=0, return_counts=True)
+    return first, pairs, counts
+
+
 def _met_once(reps: DataFrame) -> DataFrame:
-    """(a, b): each document and the smallest document of a key, taken for the pair that meets under most keys.
+    """(a, b, n): each document with the smallest document of a key, and under how many keys.
 
     Keys travel as packed arrays, dealt by their top bits. Before that, rows of a batch that share a key are paired with the batch's smallest one, and
     only that one goes on, so a key that very many documents share is small when it is shuffled.
@@ -173,58 +214,47 @@ def _met_once(reps: DataFrame) -> DataFrame:
 
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            blobs = [np.frombuffer(x, U) for x in batch.column(1).to_pylist()]
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in blobs])
-            keys = np.concatenate(blobs) if blobs else np.zeros(0, U)
-            if not len(keys):
-                continue
-            order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
-            first = np.concatenate([[True], keys[1:] != keys[:-1]])
-            pivot = ids[first][np.cumsum(first) - 1]
-            met = ~first & (ids != pivot)
-            pairs, counts = np.unique(np.stack([ids[met], pivot[met]], 1), axis=0, return_counts=True)
-            keys, ids = keys[first], ids[first]
-            slot = ((keys >> U(32)) * U(slots)) >> U(32)
-            cut = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]]))
-            n = len(cut) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot[cut[:-1]].astype(np.int32)), blob_column([keys[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]), blob_column([ids[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)])]
-                + [pa.nulls(n, pa.int64())] * 3,
-                ["slot", "keys", "ids", "a", "b", "n"],
-            )
-            if len(pairs):
-                m = len(pairs)
-                spread = pa.array((np.arange(m) % slots).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([spread, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(counts)], ["slot", "keys", "ids", "a", "b", "n"])
+            yield from _packed(batch, slots, _stars)
 
     def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "n"]
-        keys, ids = [], []
+        names, held = ["a", "b", "n"], []
         for batch in rows:
             made = batch.filter(batch.column("a").is_valid())
             if made.num_rows:
                 yield made.select(names)
-            keys += [np.frombuffer(x, U) for x in batch.column("keys").drop_null().to_pylist()]
-            ids += [np.frombuffer(x, np.int64) for x in batch.column("ids").drop_null().to_pylist()]
-        if not keys:
-            return
-        k, i = np.concatenate(keys), np.concatenate(ids)
-        del keys, ids
-        order = np.lexsort((i, k))
-        k, i = k[order], i[order]
-        first = np.concatenate([[True], k[1:] != k[:-1]])
-        pivot = i[first][np.cumsum(first) - 1]
-        met = ~first & (i != pivot)
-        pairs, counts = np.unique(np.stack([i[met], pivot[met]], 1), axis=0, return_counts=True)
+            held.append(batch.select(["keys", "ids"]))
+        _, pairs, counts = _stars(*_unpacked(held))
         for at in range(0, len(pairs), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000, 0]), pa.array(pairs[at : at + 100_000, 1]), pa.array(counts[at : at + 100_000])], names)
 
-    packed = reps.select("id", "sigs").mapInArrow(pack, "slot int, keys binary, ids binary, a bigint, b bigint, n bigint")
+    packed = reps.select("id", "sigs").mapInArrow(pack, PACKED)
     met = packed.repartition(parts, "slot").mapInArrow(meet, "a bigint, b bigint, n bigint")
     return met.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def _open_keys(labelled: DataFrame) -> DataFrame:
+    """(key): the keys under which documents of more than one component meet; (comp, sigs) of all documents that meet any go in.
+
+    Rows of a batch that share key and component count once, so what is shuffled of a large component is small.
+    """
+    parts = partitions(labelled.sparkSession)
+    slots = 4 * parts
+
+    def once(keys: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.concatenate([[True], (keys[1:] != keys[:-1]) | (comps[1:] != comps[:-1])]), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+
+    def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            yield from _packed(batch, slots, once)
+
+    def divided(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, comps = _unpacked([b.select(["keys", "ids"]) for b in rows])
+        found = np.unique(keys[1:][(keys[1:] == keys[:-1]) & (comps[1:] != comps[:-1])])
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
+
+    return labelled.select("comp", "sigs").mapInArrow(pack, PACKED).repartition(parts, "slot").mapInArrow(divided, "key bigint")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(id, n, bits, members) of the documents in ``wanted`` (id), one row per id."""
 
@@ -257,13 +287,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 def _still_open(reps: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """(a, b): pairs of different components that meet under a key and that the trees don't rule out."""
 
+    labelled = reps.join(labels, "id").select("id", "comp", "sigs")
+    open_keys = stored(_open_keys(labelled), "join-open-keys")
+    known = reps.sparkSession.sparkContext.broadcast(KeyFilter.of(open_keys))  # of a bounded size
+
     def keyed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            blobs = [np.frombuffer(x, np.int64) for x in batch.column("sigs").to_pylist()]
-            at = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blobs) if blobs else np.zeros(0, np.int64)), batch.column("id").take(pa.array(at)), batch.column("comp").take(pa.array(at))], ["key", "id", "comp"])
+            blobs = [x[known.value(x)] for x in (np.frombuffer(x, U) for x in batch.column("sigs").to_pylist())]
+            at = pa.array(np.repeat(np.arange(len(blobs)), [len(x) for x in blobs]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*blobs, np.zeros(0, U)]).view(np.int64)), batch.column("id").take(at), batch.column("comp").take(at)], ["key", "id", "comp"])
 
-    members = stored(reps.join(labels, "id").select("id", "comp", "sigs").mapInArrow(keyed, "key bigint, id bigint, comp bigint"), "join-keys")
+    members = stored(labelled.mapInArrow(keyed, "key bigint, id bigint, comp bigint"), "join-keys")
     who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"who{i}") for i in range(2)]
     sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), *who)
     # per key: its largest component (the trunk), whose members are not held against each other; of keys with the same members one is enough
