@@ -172,7 +172,7 @@ def meter(dbfs: Column) -> Column:
     """A text bar of 16 places from -60 to 0 dBFS, and the level."""
     safe = F.when(dbfs.isNull() | F.isnan(dbfs) | (F.abs(dbfs) == float("inf")) | (dbfs < -100.0), -100.0).otherwise(dbfs)
     n = F.round((F.least(F.greatest(safe, F.lit(-60.0)), F.lit(0.0)) + 60.0) / 60.0 * 16.0).cast("int")
-    level = F.when(safe <= -99.0, "  -inf dBFS").otherwise(F.concat(F.lpad(F.format_number(safe, "0.0"), 5, " "), F.lit(" dBFS")))
+    level = F.when(safe <= -99.0, "  -inf dBFS").otherwise(F.concat(F.format_string("%5.1f", safe), F.lit(" dBFS")))
     return F.concat(F.lit("["), F.repeat(F.lit("\u2588"), n), F.repeat(F.lit("\u2591"), F.lit(16) - n), F.lit("] "), level)
 
 
