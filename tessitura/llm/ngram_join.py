@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from tessitura.llm.common import KeyFilter, batches, blob_column, free_name, mix, partitions, stored, windows, words
 from tessitura.llm.components import components
 
-BITS = 2048
+#: Bits of a set's bitmap: the power of two from twice its size on, within these bounds.
+LEAST_MAP, MOST_MAP = 512, 1 << 16
 LEAF, FAN = 8, 8
 #: Members of one block of a key; blocks of a key are held against each other pair by pair.
 BLOCK = 1024
-SPARE = 6
+#: Buckets that may go unsigned: so many, and this share of the members in which a pair may differ.
+SPARE, SPARE_SHARE = 6, Fraction(1, 3)
 U = np.uint64
 
 
@@ -48,9 +50,10 @@ class Signer:
     """Signatures of a set: a hash of the contents of each of its buckets, for the size bands in which a partner can be.
 
     Bands of sizes end at ``ends``. Two linked sets, the larger of band b, both sign for band b: a set signs for its own band and for the next one if a
-    partner may be there. Sets up to ``ends[b]`` that are linked differ in at most D = floor(2 (1-t)/(1+t) ends[b]) members, so of D + 1 + SPARE
-    buckets more than SPARE hold the same. Empty buckets tell nothing and are left out as long as a set has SPARE of them at most; further ones are
-    signed as well, so that a pair always shares a signature.
+    partner may be there. Sets up to ``ends[b]`` that are linked differ in at most D = floor(2 (1-t)/(1+t) ends[b]) members, so of D + 1 + spare
+    buckets more than ``spare`` hold the same. Buckets of no or one member tell little (a common n-gram may be all there is). A set with ``spare`` or fewer
+    of both leaves them out; one with ``spare`` or fewer empty ones leaves those out; any other signs all. A bucket that both sets hold alike is weak in
+    both or in neither, so a linked pair always shares a signature.
     """
 
     def __init__(self, t: Fraction):
@@ -69,29 +72,40 @@ class Signer:
         band = int(np.searchsorted(self.ends, size))
         out = []
         largest = int(size / self.t)  # a partner's size at most
+        mixed = mix(members)
         for b in (band, band + 1):
             if b > band and largest <= self.ends[band]:
                 continue
             if self.differ[b] == 0:  # only equal sets are linked, and those are one class
                 continue
-            k = self.differ[b] + 1 + SPARE
+            spare = SPARE + int(SPARE_SHARE * self.differ[b])
+            k = self.differ[b] + 1 + spare
             bucket = ((members >> U(32)) * U(k)) >> U(32)  # ascending with the members
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            full = bucket[starts]
-            sums = np.add.reduceat(mix(members), starts)
-            out.append(mix(sums ^ mix((full << U(20)) + U(b + 1))))
-            if k - len(full) > SPARE:
-                empty = np.setdiff1d(np.arange(k, dtype=U), full)
-                out.append(mix(mix((empty << U(20)) + U(b + 1)) ^ U(0x5851F42D4C957F2D)))
+            held = np.diff(np.append(starts, size))
+            sums = np.add.reduceat(mixed, starts)
+            signs = mix(sums ^ mix((bucket[starts] << U(20)) + U(b + 1)))
+            empty, single = k - len(starts), int((held < 2).sum())
+            out.append(signs[held >= 2] if empty + single <= spare else signs)
+            if empty > spare:
+                none = np.setdiff1d(np.arange(k, dtype=U), bucket[starts])
+                out.append(mix(mix((none << U(20)) + U(b + 1)) ^ U(0x5851F42D4C957F2D)))
         return np.concatenate(out) if out else np.zeros(0, U)
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
-    flags = np.zeros(BITS, bool)
-    flags[(members % U(BITS)).astype(np.int64)] = True
+    bits = min(MOST_MAP, max(LEAST_MAP, 1 << max(2 * len(members) - 1, 1).bit_length()))
+    flags = np.zeros(bits, bool)
+    flags[(members % U(bits)).astype(np.int64)] = True
     return np.packbits(flags).view(U)
 
 
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of one width, that of the narrowest: a member's place in half the bits is its place modulo the half."""
+    width = min(len(m) for m in maps)
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, width)) for m in maps])
+
+
 class SignatureTree:
     """Levels from the leaves up; each node has the OR of its members' bitmaps, their least and largest size, the largest excess of a size over its bits, and their components."""
 
@@ -255,19 +269,45 @@ def _open_keys(labelled: DataFrame) -> DataFrame:
     return labelled.select("comp", "sigs").mapInArrow(pack, PACKED).repartition(parts, "slot").mapInArrow(divided, "key bigint")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, n, bits, members) of the documents in ``wanted`` (id), one row per id."""
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, whole: bool) -> DataFrame:
+    """(id, n, bits) or, ``whole``, (id, members) of the documents in ``wanted`` (id), and of a few more that pass the filter of a bounded size."""
+    known = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted))
 
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 8 << 20):
-            sets = shingle_sets(batch.column(1), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), blob_column([bitmap(x).tobytes() for x in sets]), blob_column([x.tobytes() for x in sets])], ["id", "n", "bits", "members"])
+        for batch in rows:
+            batch = batch.filter(batch.column(0).is_valid())
+            batch = batch.filter(pa.array(known.value(batch.column(0).to_numpy(zero_copy_only=False).view(U))))
+            for part in batches([batch] if batch.num_rows else [], 8 << 20):
+                sets = shingle_sets(part.column(1), n)
+                if whole:
+                    yield pa.RecordBatch.from_arrays([part.column(0), blob_column([x.tobytes() for x in sets])], ["id", "members"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), blob_column([bitmap(x).tobytes() for x in sets])], ["id", "n", "bits"])
+
+    return docs.mapInArrow(make, "id bigint, members binary" if whole else "id bigint, n bigint, bits binary")
+
+
+def _possible(pairs: DataFrame, maps: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) that their bitmaps don't rule out."""
+    num, den = t.numerator, t.denominator
+
+    def keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            ok = []
+            for m, k, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+                one, two = folded([np.frombuffer(x, U), np.frombuffer(y, U)])
+                most = min(m - int(np.bitwise_count(one & ~two).sum()), k - int(np.bitwise_count(two & ~one).sum()))
+                ok.append((den + num) * most >= num * (m + k))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return docs.join(wanted, "id", "left_semi").mapInArrow(make, "id bigint, n bigint, bits binary, members binary")
+    left = maps.select(F.col("id").alias("a"), "n", F.col("bits").alias("x"))
+    right = maps.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(keep, "a bigint, b bigint").distinct()
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets are linked, by exact intersection."""
+def _linked(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets are linked, by exact intersection; sets are made anew for the documents in question."""
+    sets = stored(_sets(docs, pairs.selectExpr("explode(array(a, b)) AS id").distinct(), n, True), "join-sets")
     num, den = t.numerator, t.denominator
 
     def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +324,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _still_open(reps: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+def _still_open(reps: DataFrame, labels: DataFrame, maps: DataFrame, t: Fraction) -> DataFrame:
     """(a, b): pairs of different components that meet under a key and that the trees don't rule out."""
 
     labelled = reps.join(labels, "id").select("id", "comp", "sigs")
@@ -314,11 +354,11 @@ def _still_open(reps: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction
                          transform(filter(sequence(0, block), i -> i < block), i -> struct(i AS i, block AS j, 1 AS side))))"""),
     )
     dealt = spread.select("key", "id", "comp", F.explode("to").alias("to")).select("key", F.col("to.i").alias("i"), F.col("to.j").alias("j"), F.col("to.side").alias("side"), "id", "comp")
-    dealt = dealt.join(sets.select("id", "n", "bits"), "id")
+    dealt = dealt.join(maps, "id")
 
     def traverse(group: pa.Table) -> pa.Table:
         ids, side, sizes, comps = (group.column(c).to_numpy() for c in ("id", "side", "n", "comp"))
-        maps = np.frombuffer(b"".join(group.column("bits").to_pylist()), U).reshape(len(ids), -1)
+        maps = folded([np.frombuffer(x, U) for x in group.column("bits").to_pylist()])
         one = side == 0
         two = side == 1 if group.column("i")[0] != group.column("j")[0] else one
         x = y = np.zeros(0, np.int64)
@@ -346,11 +386,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
     reps = full.join(classes.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"], "left_semi").select("id", "sigs")
     met = _met_once(reps).groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("best"))
     first = stored(met.select("a", (-F.col("best.b")).alias("b")), "join-first")
-    wanted = stored(first.selectExpr("inline(array(struct(a AS id), struct(b AS id)))").distinct(), "join-wanted")
-    sets = stored(_sets(base, wanted, n), "join-sets")
-    edges = stored(_linked(first, sets, t), "join-edges")
+    wanted = stored(first.selectExpr("explode(array(a, b)) AS id").distinct(), "join-wanted")
+    maps = stored(_sets(base, wanted, n, False), "join-maps")
+    edges = stored(_linked(stored(_possible(first, maps, t), "join-possible"), base, n, t), "join-edges")
     labels = wanted.join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
-    again = stored(_linked(_still_open(reps, stored(labels, "join-labels"), sets, t), sets, t), "join-edges")
+    more = stored(_still_open(reps, stored(labels, "join-labels"), maps, t), "join-possible")
+    again = stored(_linked(more, base, n, t), "join-edges")
     linked = components(edges.unionByName(again)).select(F.col("node").alias("rep"), "comp")
     found = classes.join(linked, "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"), "n_class")
     out = signed.select("id", "n", "h1", "h2").join(found, ["h1", "h2"], "left")
