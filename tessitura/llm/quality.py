@@ -96,9 +96,9 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
             if not told.any():
                 continue
             yes = patterns[:, j] == 1
-            # a labeller is held to be better than chance: four votes of that kind are given to it
-            right_good = ((n * p)[told & yes].sum() + 3 * SMOOTH) / ((n * p)[told].sum() + 4 * SMOOTH)
-            right_bad = ((n * (1 - p))[told & ~yes].sum() + 3 * SMOOTH) / ((n * (1 - p))[told].sum() + 4 * SMOOTH)
+            # a labeller starts from four votes of each kind: on good texts it hardly ever says bad, on bad ones it is right half of the time
+            right_good = ((n * p)[told & yes].sum() + 3.98 * SMOOTH) / ((n * p)[told].sum() + 4 * SMOOTH)
+            right_bad = ((n * (1 - p))[told & ~yes].sum() + 2 * SMOOTH) / ((n * (1 - p))[told].sum() + 4 * SMOOTH)
             log = log + np.where(~told, 0.0, np.where(yes, np.log(right_good) - np.log(1 - right_bad), np.log(1 - right_good) - np.log(right_bad)))
         new = 1 / (1 + np.exp(-np.clip(log, -500, 500)))
         if np.abs(new - p).max() < 1e-6:
