@@ -195,7 +195,7 @@ def test_toxicity_of_odd_rows(spark):
 
 
 def junk(pick, i):
-    words = ["river", "of", "the", "stone", "and", "cloud", "a", "paper", "in", "green", "music", "to", "table", "is", "it", "morning"]
+    words = ["of", "the", "and", "a", "in", "to", "is", "it", *(a + b for a in ("riv", "sto", "clou", "pap", "gre", "mus", "tab", "mor") for b in ("er", "ne", "ds", "ing", "ly", "ics"))]
     good = lambda n: ". ".join(" ".join(pick.choice(words) for _ in range(8)) for _ in range(n)) + "."
     if i % 8 == 0:
         return " ".join(pick.choice(words) + pick.choice(["$$$", "%%%", "###"]) for _ in range(60))
