@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from tessitura.llm.common import KeyFilter, batches, blob_column, free_name, mix, partitions, stored, windows, words
 from tessitura.llm.components import components
 
-#: Bits of a set's bitmap: the power of two from twice its size on, within these bounds.
+#: Bits of a set's bitmap: the power of two from four times its size on, within these bounds.
 LEAST_MAP, MOST_MAP = 512, 1 << 16
 LEAF, FAN = 8, 8
 #: Members of one block of a key; blocks of a key are held against each other pair by pair.
 BLOCK = 1024
+#: Rounds in which each document is held against its likeliest partner of another component, before all that is left is.
+ROUNDS = 4
 #: Buckets that may go unsigned: so many, and this share of the members in which a pair may differ.
 SPARE, SPARE_SHARE = 6, Fraction(1, 3)
 U = np.uint64
@@ -94,7 +96,7 @@ class Signer:
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
-    bits = min(MOST_MAP, max(LEAST_MAP, 1 << max(2 * len(members) - 1, 1).bit_length()))
+    bits = min(MOST_MAP, max(LEAST_MAP, 1 << max(4 * len(members) - 1, 1).bit_length()))
     flags = np.zeros(bits, bool)
     flags[(members % U(bits)).astype(np.int64)] = True
     return np.packbits(flags).view(U)
@@ -134,13 +136,14 @@ class SignatureTree:
         return row, kids[row, col]
 
 
-def dual_traversal(a: SignatureTree, b: SignatureTree, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in the order given to each tree) of pairs that may be linked and are of different components."""
+def dual_traversal(a: SignatureTree, b: SignatureTree, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (in the order given to each tree) of pairs that may be linked and are of different components, and their largest possible similarity."""
+    score = np.zeros(1)
     top = max(len(a), len(b)) - 1
     p, q, num, den = np.zeros(1, np.int64), np.zeros(1, np.int64), t.numerator, t.denominator
     for level in range(top, -1, -1):
         la, lb = min(level, len(a) - 1), min(level, len(b) - 1)
-        keep = []
+        keep, scores = [], []
         for at in range(0, len(p), 1 << 14):
             i, j = p[at : at + (1 << 14)], q[at : at + (1 << 14)]
             ma, loa, hia, exa, ca0, ca1 = (x[i] for x in a.levels[la])
@@ -150,8 +153,9 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, t: Fraction) -> tuple[np.
             # overlap >= t * (|x| + |y| - overlap) for the smallest |x| and |y|
             ok &= (den + num) * most >= num * (loa + lob)
             keep.append(ok)
+            scores.append(most / np.maximum(loa + lob - most, 1))
         ok = np.concatenate(keep) if keep else np.zeros(0, bool)
-        p, q = p[ok], q[ok]
+        p, q, score = p[ok], q[ok], np.concatenate([*scores, np.zeros(0)])[ok]
         if level == 0 or not len(p):
             break
         if la == level:
@@ -160,7 +164,7 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, t: Fraction) -> tuple[np.
         if lb == level:
             row, kids = b.children(level, q)
             p, q = p[row], kids
-    return a.order[p], b.order[q]
+    return a.order[p], b.order[q], score
 
 
 def _signed(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
@@ -324,8 +328,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _still_open(reps: DataFrame, labels: DataFrame, maps: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b): pairs of different components that meet under a key and that the trees don't rule out."""
+def _still_open(reps: DataFrame, labels: DataFrame, maps: DataFrame, t: Fraction, best: bool) -> DataFrame:
+    """(a, b): pairs of different components that meet under a key and that the trees don't rule out; with ``best`` only the likeliest of each document."""
 
     labelled = reps.join(labels, "id").select("id", "comp", "sigs")
     open_keys = stored(_open_keys(labelled), "join-open-keys")
@@ -362,13 +366,23 @@ def _still_open(reps: DataFrame, labels: DataFrame, maps: DataFrame, t: Fraction
         one = side == 0
         two = side == 1 if group.column("i")[0] != group.column("j")[0] else one
         x = y = np.zeros(0, np.int64)
+        score = np.zeros(0)
         if one.any() and two.any():
-            a, b = dual_traversal(SignatureTree(maps[one], sizes[one], comps[one]), SignatureTree(maps[two], sizes[two], comps[two]), t)
+            a, b, score = dual_traversal(SignatureTree(maps[one], sizes[one], comps[one]), SignatureTree(maps[two], sizes[two], comps[two]), t)
             apart = comps[one][a] != comps[two][b]
-            x, y = ids[one][a][apart], ids[two][b][apart]
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+            x, y, score = ids[one][a][apart], ids[two][b][apart], score[apart]
+        if best:
+            order = np.lexsort((np.maximum(x, y), np.minimum(x, y), -score))
+            x, y, score = x[order], y[order], score[order]
+            x, y, score = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([score, score])
+            first = np.sort(np.unique(x, return_index=True)[1])
+            return pa.table({"a": x[first], "b": y[first], "score": score[first]})
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "score": score})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(traverse, "a bigint, b bigint").distinct()
+    found = dealt.groupBy("key", "i", "j").applyInArrow(traverse, "a bigint, b bigint, score double")
+    if best:
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -389,10 +403,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
     wanted = stored(first.selectExpr("explode(array(a, b)) AS id").distinct(), "join-wanted")
     maps = stored(_sets(base, wanted, n, False), "join-maps")
     edges = stored(_linked(stored(_possible(first, maps, t), "join-possible"), base, n, t), "join-edges")
-    labels = wanted.join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
-    more = stored(_still_open(reps, stored(labels, "join-labels"), maps, t), "join-possible")
-    again = stored(_linked(more, base, n, t), "join-edges")
-    linked = components(edges.unionByName(again)).select(F.col("node").alias("rep"), "comp")
+
+    def labelled(linked: DataFrame) -> DataFrame:
+        return wanted.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+
+    found_all = False
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS or found_all
+        labels = stored(labelled(components(edges)), "join-labels")
+        more = stored(_still_open(reps, labels, maps, t, not last), "join-possible")
+        new = stored(_linked(more, base, n, t), "join-edges")
+        edges = edges.unionByName(new)
+        if last:
+            break
+        found_all = new.isEmpty()  # the likeliest partners of all are too far, so what is left is compared as a whole
+    linked = components(edges).select(F.col("node").alias("rep"), "comp")
     found = classes.join(linked, "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"), "n_class")
     out = signed.select("id", "n", "h1", "h2").join(found, ["h1", "h2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("comp"))).otherwise(F.col("id")).alias("component_id"), F.coalesce(F.when(F.col("n") > 0, F.col("n_class")), F.lit(1).cast("bigint")).alias("n_class"))
