@@ -52,4 +52,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_chat, op4_decontamination, op5_quality, op6_ngram_join, op7_token_counts, op8_language_id, op9_simhash, op10_packing)}
-ORACLES: dict[str, str] = {}
+#: A digest in base32 from its hexadecimal digits, five of them at a time.
+BASE32 = "array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, i * 5 + 1, 5))::BIGINT >> s) & 31) + 1), 1)), '')), '')"
+SQL_WARC = f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages), f AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+    SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS valid FROM f"""
+SQL_CHAT = """WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '\\s+', '_', 'g') AS who, regexp_replace(coalesce(text, ''), '<\\|(im_start|im_end)\\|>', '<| \\1 |>', 'g') AS body FROM conversations),
+    p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> 'system'),
+    m AS (SELECT t.conv_id, perspective, turn, who, body, CASE WHEN who = perspective THEN 'assistant' WHEN who = 'system' THEN who ELSE 'user' END AS role FROM t JOIN p ON t.conv_id = p.conv_id),
+    h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || who ELSE '' END || chr(10) AS head FROM m), r AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS rendered FROM h),
+    s AS (SELECT *, row_number() OVER w - 1 AS position, (sum(length(rendered)) OVER w)::BIGINT AS till FROM r WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, who))
+    SELECT conv_id, perspective, turn, position, role, CASE WHEN role = 'user' THEN who END AS name, rendered, till - length(rendered) AS start,
+    CASE WHEN who = perspective THEN till - length(rendered) + length(head) END AS mask_start, CASE WHEN who = perspective THEN till END AS mask_end FROM s"""
+SQL_JOIN = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [len(w) || ':' || array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+    e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    r AS (SELECT doc_id, doc_id AS t FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.t = l.a), c AS (SELECT doc_id, min(t) AS component_id FROM r GROUP BY 1)
+    SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, CASE WHEN len(s) > 0 THEN count(*) OVER (PARTITION BY s) ELSE 1 END::BIGINT AS n_class FROM s JOIN c ON s.doc_id = c.doc_id"""
+ORACLES: dict[str, str] = {"op2_warc": SQL_WARC, "op3_chat": SQL_CHAT, "op6_ngram_join": SQL_JOIN}
