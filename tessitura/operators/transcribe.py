@@ -17,8 +17,9 @@ def plain(row: dict) -> dict:
     return {k: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v for k, v in row.items()}
 
 
-def events_frame(events: list[dict], stream: str, key) -> pd.DataFrame:
-    return pd.DataFrame([[key, *(e.get(c) for c in COLUMNS)] for e in events], columns=[stream, *COLUMNS], dtype=object)
+def events_frame(events: list[tuple[object, dict]], stream: str) -> pd.DataFrame:
+    """Rows of (stream, event)."""
+    return pd.DataFrame([[key, *(e.get(c) for c in COLUMNS)] for key, e in events], columns=[stream, *COLUMNS], dtype=object)
 
 
 def folded(frames: DataFrame, machine: Callable[[], object], stream: str = "stream_id", order: str = "ts_ms", frame: Callable[[dict], dict] = plain) -> DataFrame:
@@ -35,12 +36,12 @@ def folded(frames: DataFrame, machine: Callable[[], object], stream: str = "stre
             for row in batch.to_dict("records"):
                 if own is None or row[stream] != key:
                     if own is not None:
-                        out.append(events_frame(own.finalize(last), stream, key))
+                        out += [(key, e) for e in own.finalize(last)]
                     key, own = row[stream], machine()
                 last = int(row[order])
-                out.append(events_frame(own.finalize(last) if row.get("is_silent") is True else own.step(frame(row)), stream, key))
-            yield pd.concat(out) if out else events_frame([], stream, None)
+                out += [(key, e) for e in (own.finalize(last) if row.get("is_silent") is True else own.step(frame(row)))]
+            yield events_frame(out, stream)
         if own is not None:
-            yield events_frame(own.finalize(last), stream, key)
+            yield events_frame([(key, e) for e in own.finalize(last)], stream)
 
     return frames.repartition(stream).sortWithinPartitions(stream, order).mapInPandas(run, f"{stream} {kind}, {EVENTS}")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessitura.plans import events, frames, notation
+from tessitura.plans import events, frames, machines, notation
 
-_ALL = {**events.QUERIES, **frames.QUERIES, **notation.QUERIES}
+_ALL = {**events.QUERIES, **frames.QUERIES, **notation.QUERIES, **machines.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -29,15 +29,15 @@ class SegmenterProcessor(StatefulProcessor):
         out, ended = [], False
         for row in pd.concat(list(rows)).sort_values(self.order).to_dict("records"):
             at = int(row[self.order])
-            out.append(events_frame(own.finalize(at) if row.get("is_silent") is True else own.step(self.frame(row)), self.stream, key[0]))
+            out += own.finalize(at) if row.get("is_silent") is True else own.step(self.frame(row))
             if row.get("is_last") is True:
-                out.append(events_frame(own.finalize(at), self.stream, key[0]))
+                out += own.finalize(at)
                 ended = True
         if ended:
             self.state.clear()
         else:
             self.state.update((pickle.dumps(own),))
-        yield pd.concat(out)
+        yield events_frame([(key[0], e) for e in out], self.stream)
 
     def close(self) -> None:
         pass
