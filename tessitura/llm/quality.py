@@ -21,8 +21,11 @@ from tessitura.llm.common import batches, blob_column, free_name, strings
 BITS = 14
 BUCKETS = 1 << BITS
 SAMPLE = 4096
+CHUNK = 1 << 22
 ROUNDS, SMOOTH = 100, 1.0
 EPOCHS, BATCH, RATE, DECAY = 40, 128, 0.5, 1e-4
+#: Labellers of what prose never has; the others may err on odd prose.
+SURE = ("symbols", "capitals", "exclaims", "bars", "top_word", "echoes", "pairs")
 #: What the labellers look at, and the edges of the bins in which the scorer sees the same values.
 LABELLERS = ("symbols", "capitals", "exclaims", "bars", "top_word", "distinct_lines", "short_words", "word_length", "sentences", "echoes", "pairs")
 EDGES = {
@@ -36,12 +39,18 @@ for _c in range(128):
 
 
 def codes(text: str) -> np.ndarray:
-    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)
+    """A code per character, 128 for all beyond ASCII."""
+    parts = (np.minimum(np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32), 128).astype(np.uint8) for at in range(0, len(text), CHUNK))
+    return np.concatenate([np.zeros(0, np.uint8), *parts])
+
+
+def counted(chars: np.ndarray) -> np.ndarray:
+    return sum((np.bincount(chars[at : at + CHUNK], minlength=129) for at in range(0, len(chars), CHUNK)), np.zeros(129, np.int64))
 
 
 def statistics(text: str, chars: np.ndarray) -> dict[str, float | None]:
     """The labellers' values; None where a text is too short to tell."""
-    count = np.bincount(chars, minlength=129)
+    count = counted(chars)
     words = text.split()
     n, letters = len(words), count[65:91].sum() + count[97:123].sum() + count[128]
     if not n:
@@ -74,37 +83,43 @@ def votes(s: dict[str, float | None]) -> list[int]:
 
 def features(s: dict[str, float | None], chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values: root frequencies of the four-character shapes, and 0.3 for each statistic's bin."""
-    shape = CLASSES[chars]
-    grams = shape[:-3] | shape[1:-2] << np.uint32(7) | shape[2:-1] << np.uint32(14) | shape[3:] << np.uint32(21) if len(shape) > 3 else np.zeros(0, np.uint32)
-    count = np.bincount((grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), minlength=BUCKETS)
+    count, total = np.zeros(BUCKETS, np.int64), max(len(chars) - 3, 0)
+    for at in range(0, total, CHUNK):
+        shape = CLASSES[chars[at : at + CHUNK + 3]]
+        grams = shape[:-3] | shape[1:-2] << np.uint32(7) | shape[2:-1] << np.uint32(14) | shape[3:] << np.uint32(21)
+        count += np.bincount((grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), minlength=BUCKETS)
     found = np.flatnonzero(count)
     bins = [(i * 16 + (15 if s[name] is None else int(np.searchsorted(EDGES[name], s[name])))) * 0x9E3779B1 % (1 << 32) >> (32 - BITS) for i, name in enumerate(LABELLERS)]
-    return np.concatenate([found, np.array(bins)]), np.concatenate([np.sqrt(count[found] / max(len(grams), 1)), np.full(len(bins), 0.3)])
+    return np.concatenate([found, np.array(bins)]), np.concatenate([np.sqrt(count[found] / max(total, 1)), np.full(len(bins), 0.3)])
 
 
 def posteriors(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Probability that a text of each vote pattern is good, by expectation-maximisation. patterns: (patterns, labellers) of -1, 0, 1."""
+    """Probability that a text of each vote pattern is good, by expectation-maximisation. patterns: (patterns, labellers) of -1, 0, 1.
+
+    Texts are good or bad in one of as many ways as there are labellers; each class has its own accuracy of each labeller, so that what has nothing to do
+    with a kind of badness doesn't speak against it. A text starts as probably bad where a sure labeller says so, as doubtful where only others do.
+    """
     if not len(patterns):
         return np.zeros(0)
-    n = counts.astype(float)
-    p = np.where((patterns == 0).any(1), 0.1, 0.9)
+    n, m = counts.astype(float)[:, None], patterns.shape[1]
+    bad, told, yes = patterns == 0, patterns >= 0, patterns == 1
+    sure = np.array([x in SURE for x in (LABELLERS * (m // len(LABELLERS) + 1))[:m]])
+    good = np.where((bad & sure).any(1), 0.1, np.where(bad.any(1), 0.6, 0.95))
+    share = np.where(bad.any(1, keepdims=True), bad / np.maximum(bad.sum(1, keepdims=True), 1), 1 / m)
+    p = np.concatenate([good[:, None], (1 - good)[:, None] * share], 1)
+    # votes that each class starts from: good texts are hardly ever called bad, a way of being bad is called so by its own labeller
+    start = np.full((m + 1, m), 3.0)
+    start[0], start[np.arange(1, m + 1), np.arange(m)] = 3.98, 0.2
     for _ in range(ROUNDS):
-        prior = ((n * p).sum() + 1) / (n.sum() + 2)
-        log = np.log(prior) - np.log(1 - prior)
-        for j in range(patterns.shape[1]):
-            told = patterns[:, j] >= 0
-            if not told.any():
-                continue
-            yes = patterns[:, j] == 1
-            # a labeller starts from four votes of each kind: on good texts it hardly ever says bad, on bad ones it is right half of the time
-            right_good = ((n * p)[told & yes].sum() + 3.98 * SMOOTH) / ((n * p)[told].sum() + 4 * SMOOTH)
-            right_bad = ((n * (1 - p))[told & ~yes].sum() + 2 * SMOOTH) / ((n * (1 - p))[told].sum() + 4 * SMOOTH)
-            log = log + np.where(~told, 0.0, np.where(yes, np.log(right_good) - np.log(1 - right_bad), np.log(1 - right_good) - np.log(right_bad)))
-        new = 1 / (1 + np.exp(-np.clip(log, -500, 500)))
+        prior = ((n * p).sum(0) + SMOOTH) / ((n * p).sum() + SMOOTH * (m + 1))
+        right = ((n * p).T @ yes + start * SMOOTH) / ((n * p).T @ told + 4 * SMOOTH)
+        log = np.log(prior) + yes @ np.log(right).T + bad @ np.log(1 - right).T
+        new = np.exp(log - log.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
         if np.abs(new - p).max() < 1e-6:
-            return new
+            break
         p = new
-    return p
+    return p[:, 0]
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> tuple[np.ndarray, float]:

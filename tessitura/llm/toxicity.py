@@ -19,12 +19,13 @@ BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 #: Training takes at most so many labelled rows (those of the smallest hash of the id), whatever the table's size.
 SAMPLE = 4096
+CHUNK = 1 << 22
 SMOOTH, DECAY, EPOCHS, BATCH, RATE = 1.0, 1e-4, 30, 256, 0.02
 
 
-def ngram_buckets(text: str) -> np.ndarray:
-    """Bucket of every character n-gram of the lower-cased text between two spaces, repeats included."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+def ngram_buckets(text: str, first: bool = True, last: bool = True) -> np.ndarray:
+    """Bucket of every character n-gram of the lower-cased text between two spaces (at its ends), repeats included."""
+    codes = np.frombuffer(f"{' ' * first}{text.lower()}{' ' * last}".encode("utf-32-le", "surrogatepass"), np.uint32)
     rolled, out = codes.copy(), []
     for n in range(2, max(SIZES) + 1):
         if len(codes) < n:
@@ -43,6 +44,11 @@ class Presence:
         self.place = np.zeros(BUCKETS, np.int64)
 
     def __call__(self, text: str) -> np.ndarray:
+        if len(text) > CHUNK:  # a very long text piece by piece
+            seen, step = np.zeros(BUCKETS, bool), CHUNK - max(SIZES)
+            for at in range(0, len(text), step):
+                seen[ngram_buckets(text[at : at + CHUNK], at == 0, at + CHUNK >= len(text))] = True
+            return np.flatnonzero(seen)
         found = ngram_buckets(text)
         at = np.arange(len(found))
         self.place[found] = at

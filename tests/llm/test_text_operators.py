@@ -185,6 +185,17 @@ def test_presence_counts_each_bucket_once():
     assert sorted(toxicity.Presence()(text)) == sorted(set(toxicity.ngram_buckets(text).tolist()))
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    text = "".join(random.Random(3).choice("abcdE !$\n") for _ in range(5000))
+    whole, stats = set(toxicity.Presence()(text).tolist()), quality.statistics(text, quality.codes(text))
+    shapes = quality.features(stats, quality.codes(text))
+    monkeypatch.setattr(toxicity, "CHUNK", 700)
+    monkeypatch.setattr(quality, "CHUNK", 700)
+    assert set(toxicity.Presence()(text).tolist()) == whole
+    again = quality.features(quality.statistics(text, quality.codes(text)), quality.codes(text))
+    assert all(np.array_equal(a, b) for a, b in zip(shapes, again, strict=True)) and quality.statistics(text, quality.codes(text)) == stats
+
+
 def test_toxicity_of_odd_rows(spark):
     _, labels = labelled(spark, 8)
     rows = toxicity.toxicity(odd(spark), labels).collect()
