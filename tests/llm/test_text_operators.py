@@ -230,7 +230,7 @@ def test_quality_finds_junk_without_labels(spark):
 def test_expectation_maximisation_finds_accuracies():
     pick = np.random.default_rng(2)
     truth = pick.random(4000) < 0.8
-    votes = np.stack([np.where(pick.random(4000) < 0.2, -1, np.where(pick.random(4000) < a, truth, ~truth)) for a in (0.95, 0.9, 0.9, 0.85)], 1)
+    votes = np.stack([np.where(pick.random(4000) < 0.1, -1, np.where(truth, pick.random(4000) > 0.01, pick.random(4000) > a)) for a in (0.9, 0.8, 0.8, 0.7)], 1)
     patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     p = quality.posteriors(patterns, counts)[which.ravel()]
     assert ((p >= 0.5) == truth).mean() > 0.95
