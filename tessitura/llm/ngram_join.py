@@ -360,26 +360,82 @@ def _still_open(reps: DataFrame, labels: DataFrame, maps: DataFrame, t: Fraction
     dealt = spread.select("key", "id", "comp", F.explode("to").alias("to")).select("key", F.col("to.i").alias("i"), F.col("to.j").alias("j"), F.col("to.side").alias("side"), "id", "comp")
     dealt = dealt.join(maps, "id")
 
-    def traverse(group: pa.Table) -> pa.Table:
-        ids, side, sizes, comps = (group.column(c).to_numpy() for c in ("id", "side", "n", "comp"))
-        maps = folded([np.frombuffer(x, U) for x in group.column("bits").to_pylist()])
+    def traverse(ids: np.ndarray, side: np.ndarray, sizes: np.ndarray, comps: np.ndarray, maps: list[np.ndarray], same: bool) -> tuple[np.ndarray, ...]:
+        """Pairs of one group, by two trees; a block that is held against itself makes one."""
         one = side == 0
-        two = side == 1 if group.column("i")[0] != group.column("j")[0] else one
-        x = y = np.zeros(0, np.int64)
-        score = np.zeros(0)
-        if one.any() and two.any():
-            a, b, score = dual_traversal(SignatureTree(maps[one], sizes[one], comps[one]), SignatureTree(maps[two], sizes[two], comps[two]), t)
-            apart = comps[one][a] != comps[two][b]
-            x, y, score = ids[one][a][apart], ids[two][b][apart], score[apart]
-        if best:
-            order = np.lexsort((np.maximum(x, y), np.minimum(x, y), -score))
-            x, y, score = x[order], y[order], score[order]
-            x, y, score = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([score, score])
-            first = np.sort(np.unique(x, return_index=True)[1])
-            return pa.table({"a": x[first], "b": y[first], "score": score[first]})
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "score": score})
-
-    found = dealt.groupBy("key", "i", "j").applyInArrow(traverse, "a bigint, b bigint, score double")
+        two = one if same else side == 1
+        if not one.any() or not two.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        wide = folded(maps)
+        left = SignatureTree(wide[one], sizes[one], comps[one])
+        a, b, score = dual_traversal(left, left if same else SignatureTree(wide[two], sizes[two], comps[two]), t)
+        return ids[one][a], ids[two][b], score
+
+    def small(start: np.ndarray, size: np.ndarray, ids: np.ndarray, side: np.ndarray, sizes: np.ndarray, comps: np.ndarray, maps: list[np.ndarray], same: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pairs of many groups that are single leaves, at once: first by bitmaps folded to the least width, then by whole ones."""
+        n = size * size
+        group = np.repeat(np.arange(len(size)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        p, q = start[group] + at // size[group], start[group] + at % size[group]
+        ok = (comps[p] != comps[q]) & np.where(same[group], p < q, (side[p] == 0) & (side[q] == 1))
+        num, den = t.numerator, t.denominator
+        ok &= (den * sizes[p] >= num * sizes[q]) & (den * sizes[q] >= num * sizes[p])
+        p, q = p[ok], q[ok]
+        narrow = np.stack([np.bitwise_or.reduce(m.reshape(-1, LEAST_MAP // 64)) for m in maps]) if len(p) else np.zeros((0, 1), U)
+        keep, score = np.zeros(len(p), bool), np.zeros(len(p))
+        for at in range(0, len(p), 1 << 14):
+            i, j = p[at : at + (1 << 14)], q[at : at + (1 << 14)]
+            x, y = narrow[i], narrow[j]
+            most = np.minimum(sizes[i] - np.bitwise_count(x & ~y).sum(1), sizes[j] - np.bitwise_count(y & ~x).sum(1))
+            for k in np.flatnonzero((den + num) * most >= num * (sizes[i] + sizes[j])):
+                one, two = folded([maps[i[k]], maps[j[k]]])
+                m = min(int(sizes[i[k]] - np.bitwise_count(one & ~two).sum()), int(sizes[j[k]] - np.bitwise_count(two & ~one).sum()))
+                total = int(sizes[i[k]] + sizes[j[k]])
+                keep[at + k], score[at + k] = (den + num) * m >= num * total, m / max(total - m, 1)
+        return ids[p[keep]], ids[q[keep]], score[keep]
+
+    def groups(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by group; a group may begin in one batch and end in another."""
+        names, held = ["key", "i", "j", "side", "id", "comp", "n", "bits"], None
+
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, i, j, side, ids, comps, sizes = (table.column(c).to_numpy() for c in names[:-1])
+            maps = [np.frombuffer(x, U) for x in table.column("bits").to_pylist()]
+            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+            start, size = cut[:-1], np.diff(cut)
+            leaf = size <= 2 * LEAF
+            found = [small(start[leaf], size[leaf], ids, side, sizes, comps, maps, (i == j)[start[leaf]])]
+            for k in np.flatnonzero(~leaf):
+                s = slice(start[k], start[k] + size[k])
+                found.append(traverse(ids[s], side[s], sizes[s], comps[s], maps[s], bool(i[s.start] == j[s.start])))
+            x, y, score = (np.concatenate(c) for c in zip(*found, strict=True))
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            if best:  # the likeliest of each document in these groups
+                order = np.lexsort((y, x, -score))
+                x, y, score = x[order], y[order], score[order]
+                x, y, score = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([score, score])
+                order = np.argsort(-score, kind="stable")
+                first = order[np.unique(x[order], return_index=True)[1]]
+                x, y, score = x[first], y[first], score[first]
+            elif len(x):
+                both, first = np.unique(np.stack([x, y], 1), axis=0, return_index=True)
+                x, y, score = both[:, 0], both[:, 1], score[first]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(score)], ["a", "b", "score"])
+
+        for batch in rows:
+            table = pa.Table.from_batches([batch]).select(names)
+            table = table if held is None else pa.concat_tables([held, table])
+            key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+            last = int(np.argmax((key == key[-1]) & (i == i[-1]) & (j == j[-1]))) if len(key) else 0  # where the last group begins
+            if last:
+                yield from pairs(table.slice(0, last))
+            held = table.slice(last)
+        if held is not None and held.num_rows:
+            yield from pairs(held)
+
+    sorted_rows = dealt.select("key", "i", "j", "side", "id", "comp", "n", "bits").repartition(partitions(reps.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = sorted_rows.mapInArrow(groups, "a bigint, b bigint, score double")
     if best:
         found = found.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.select("a", "b").distinct()
@@ -416,7 +472,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
         edges = edges.unionByName(new)
         if last:
             break
-        found_all = new.isEmpty()  # the likeliest partners of all are too far, so what is left is compared as a whole
+        found_all = new.count() < wanted.count() / 100  # hardly any likeliest partner is near, so what is left is compared as a whole
     linked = components(edges).select(F.col("node").alias("rep"), "comp")
     found = classes.join(linked, "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"), "n_class")
     out = signed.select("id", "n", "h1", "h2").join(found, ["h1", "h2"], "left")
