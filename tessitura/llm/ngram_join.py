@@ -15,6 +15,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,11 +181,14 @@ def _signed(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     return docs.mapInArrow(sign, "id bigint, n bigint, h1 bigint, h2 bigint, sigs binary")
 
 
-PACKED = "slot int, keys binary, ids binary, a bigint, b bigint, n bigint"
+PACKED = "slot int, keys binary, ids binary, at binary, a bigint, b bigint, n bigint"
 
 
 def _packed(batch: pa.RecordBatch, slots: int, combine) -> Iterator[pa.RecordBatch]:
-    """Rows (slot, keys, ids) of a batch (id, signatures), sorted by key and id; ``combine`` leaves out rows and may give pairs (a, b, n) for them."""
+    """Rows (slot, keys, ids, at) of a batch (id, signatures), sorted by key and id; ``at`` has each key's place in ``ids``.
+
+    ``combine`` leaves out rows and may give pairs (a, b, n) for them.
+    """
     blobs = [np.frombuffer(x, U) for x in batch.column(1).to_pylist()]
     ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in blobs])
     keys = np.concatenate(blobs) if blobs else np.zeros(0, U)
@@ -196,17 +200,22 @@ def _packed(batch: pa.RecordBatch, slots: int, combine) -> Iterator[pa.RecordBat
     keys, ids = keys[keep], ids[keep]
     slot = ((keys >> U(32)) * U(slots)) >> U(32)
     cut = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]]))
-    n, spans, names = len(cut) - 1, list(zip(cut[:-1], cut[1:], strict=True)), ["slot", "keys", "ids", "a", "b", "n"]
-    yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]].astype(np.int32)), blob_column([keys[x:y].tobytes() for x, y in spans]), blob_column([ids[x:y].tobytes() for x, y in spans]), *[pa.nulls(n, pa.int64())] * 3], names)
+    n, spans, names = len(cut) - 1, list(zip(cut[:-1], cut[1:], strict=True)), ["slot", "keys", "ids", "at", "a", "b", "n"]
+    held = [np.unique(ids[x:y], return_inverse=True) for x, y in spans]
+    places = [at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes() for own, at in held]
+    yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]].astype(np.int32)), blob_column([keys[x:y].tobytes() for x, y in spans]), blob_column([own.tobytes() for own, _ in held]), blob_column(places), *[pa.nulls(n, pa.int64())] * 3], names)
     if m := len(pairs):
         spread = pa.array((np.arange(m) % slots).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([spread, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(counts)], names)
+        yield pa.RecordBatch.from_arrays([spread, *[pa.nulls(m, pa.binary())] * 3, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(counts)], names)
 
 
 def _unpacked(batches_: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """Keys and ids of packed rows, sorted."""
-    keys = [np.frombuffer(x, U) for b in batches_ for x in b.column("keys").drop_null().to_pylist()]
-    ids = [np.frombuffer(x, np.int64) for b in batches_ for x in b.column("ids").drop_null().to_pylist()]
+    keys, ids = [], []
+    for b in batches_:
+        for k, own, at in zip(*(b.column(c).drop_null().to_pylist() for c in ("keys", "ids", "at")), strict=True):
+            keys.append(np.frombuffer(k, U))
+            ids.append(np.frombuffer(own, np.int64)[np.frombuffer(at, np.uint16 if len(own) <= 8 << 16 else np.uint32)])
     k, i = np.concatenate([*keys, np.zeros(0, U)]), np.concatenate([*ids, np.zeros(0, np.int64)])
     order = np.lexsort((i, k))
     return k[order], i[order]
@@ -240,7 +249,7 @@ def _met_once(reps: DataFrame) -> DataFrame:
             made = batch.filter(batch.column("a").is_valid())
             if made.num_rows:
                 yield made.select(names)
-            held.append(batch.select(["keys", "ids"]))
+            held.append(batch.select(["keys", "ids", "at"]))
         _, pairs, counts = _stars(*_unpacked(held))
         for at in range(0, len(pairs), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000, 0]), pa.array(pairs[at : at + 100_000, 1]), pa.array(counts[at : at + 100_000])], names)
@@ -266,13 +275,25 @@ def _open_keys(labelled: DataFrame) -> DataFrame:
             yield from _packed(batch, slots, once)
 
     def divided(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, comps = _unpacked([b.select(["keys", "ids"]) for b in rows])
+        keys, comps = _unpacked([b.select(["keys", "ids", "at"]) for b in rows])
         found = np.unique(keys[1:][(keys[1:] == keys[:-1]) & (comps[1:] != comps[:-1])])
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
 
     return labelled.select("comp", "sigs").mapInArrow(pack, PACKED).repartition(parts, "slot").mapInArrow(divided, "key bigint")
 
 
+def _passing(rows: DataFrame, column: str, known: Broadcast, passing: bool = True) -> DataFrame:
+    """The rows whose bigint ``column`` passes a broadcast key filter (of a bounded size), or those that don't."""
+    at = rows.columns.index(column)
+
+    def keep(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            found = known.value(batch.column(at).to_numpy(zero_copy_only=False).view(U))
+            yield batch.filter(pa.array(found == passing))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n: int, whole: bool) -> DataFrame:
     """(id, n, bits) or, ``whole``, (id, members) of the documents in ``wanted`` (id), and of a few more that pass the filter of a bounded size."""
     known = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted))
@@ -328,20 +349,24 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _still_open(reps: DataFrame, labels: DataFrame, maps: DataFrame, t: Fraction, best: bool) -> DataFrame:
-    """(a, b): pairs of different components that meet under a key and that the trees don't rule out; with ``best`` only the likeliest of each document."""
-
-    labelled = reps.join(labels, "id").select("id", "comp", "sigs")
-    open_keys = stored(_open_keys(labelled), "join-open-keys")
-    known = reps.sparkSession.sparkContext.broadcast(KeyFilter.of(open_keys))  # of a bounded size
+def _meeting(active: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id): the keys under which documents of more than one component meet, and those documents. Components only grow, so no other key is ever needed."""
+    open_keys = stored(_open_keys(active.join(labels, "id")), "join-open-keys")
+    known = active.sparkSession.sparkContext.broadcast(KeyFilter.of(open_keys))  # of a bounded size
 
     def keyed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             blobs = [x[known.value(x)] for x in (np.frombuffer(x, U) for x in batch.column("sigs").to_pylist())]
             at = pa.array(np.repeat(np.arange(len(blobs)), [len(x) for x in blobs]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*blobs, np.zeros(0, U)]).view(np.int64)), batch.column("id").take(at), batch.column("comp").take(at)], ["key", "id", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*blobs, np.zeros(0, U)]).view(np.int64)), batch.column("id").take(at)], ["key", "id"])
+
+    return stored(active.mapInArrow(keyed, "key bigint, id bigint"), "join-keys")
+
+
+def _still_open(meeting: DataFrame, labels: DataFrame, maps: DataFrame, t: Fraction, best: bool) -> DataFrame:
+    """(a, b): pairs of different components that meet under a key and that the trees don't rule out; with ``best`` only the likeliest of each document."""
 
-    members = stored(labelled.mapInArrow(keyed, "key bigint, id bigint, comp bigint"), "join-keys")
+    members = meeting.join(labels, "id").select("key", "id", "comp")
     who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"who{i}") for i in range(2)]
     sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), *who)
     # per key: its largest component (the trunk), whose members are not held against each other; of keys with the same members one is enough
@@ -434,7 +459,7 @@ def _still_open(reps: DataFrame, labels: DataFrame, maps: DataFrame, t: Fraction
         if held is not None and held.num_rows:
             yield from pairs(held)
 
-    sorted_rows = dealt.select("key", "i", "j", "side", "id", "comp", "n", "bits").repartition(partitions(reps.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    sorted_rows = dealt.select("key", "i", "j", "side", "id", "comp", "n", "bits").repartition(partitions(meeting.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = sorted_rows.mapInArrow(groups, "a bigint, b bigint, score double")
     if best:
         found = found.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -453,21 +478,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
     signed = stored(_signed(base, n, t), "join-signed")
     full = signed.where("n > 0 AND id IS NOT NULL")
     classes = stored(full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_class")), "join-classes")
-    reps = full.join(classes.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"], "left_semi").select("id", "sigs")
+    first_of = classes.select("h1", "h2", F.col("rep").alias("id"))
+    # only what may be of a class of several rows is joined with the smallest ids
+    several = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(classes.where("n_class > 1").select("h1")))
+    alone, copies = _passing(full, "h1", several, False), _passing(full, "h1", several)
+    reps = alone.select("id", "sigs").unionByName(copies.join(first_of, ["h1", "h2", "id"], "left_semi").select("id", "sigs"))
     met = _met_once(reps).groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("best"))
     first = stored(met.select("a", (-F.col("best.b")).alias("b")), "join-first")
     wanted = stored(first.selectExpr("explode(array(a, b)) AS id").distinct(), "join-wanted")
     maps = stored(_sets(base, wanted, n, False), "join-maps")
+    active = stored(_passing(full, "id", docs.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted))).join(first_of, ["h1", "h2", "id"], "left_semi").join(wanted, "id", "left_semi").select("id", "sigs"), "join-active")
     edges = stored(_linked(stored(_possible(first, maps, t), "join-possible"), base, n, t), "join-edges")
 
     def labelled(linked: DataFrame) -> DataFrame:
         return wanted.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
-    found_all = False
+    found_all, meeting = False, None
     for turn in range(ROUNDS + 1):
         last = turn == ROUNDS or found_all
         labels = stored(labelled(components(edges)), "join-labels")
-        more = stored(_still_open(reps, labels, maps, t, not last), "join-possible")
+        meeting = _meeting(active, labels) if meeting is None else meeting
+        more = stored(_still_open(meeting, labels, maps, t, not last), "join-possible")
         new = stored(_linked(more, base, n, t), "join-edges")
         edges = edges.unionByName(new)
         if last:
