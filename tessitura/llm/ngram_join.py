@@ -483,9 +483,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
     several = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(classes.where("n_class > 1").select("h1")))
     alone, copies = _passing(full, "h1", several, False), _passing(full, "h1", several)
     reps = alone.select("id", "sigs").unionByName(copies.join(first_of, ["h1", "h2", "id"], "left_semi").select("id", "sigs"))
-    met = _met_once(reps).groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("best"))
-    first = stored(met.select("a", (-F.col("best.b")).alias("b")), "join-first")
-    wanted = stored(first.selectExpr("explode(array(a, b)) AS id").distinct(), "join-wanted")
+    # every document that meets any, also one that is the smallest under all its keys (its row has no n and is no first pair)
+    ends = _met_once(reps).selectExpr("inline(array(struct(a AS id, n, -b AS b), struct(b AS id, NULL AS n, NULL AS b)))")
+    met = stored(ends.groupBy("id").agg(F.max(F.struct("n", "b")).alias("best")).select("id", "best.n", (-F.col("best.b")).alias("b")), "join-met")
+    first = met.where("n IS NOT NULL").select(F.col("id").alias("a"), "b")
+    wanted = met.select("id")
     maps = stored(_sets(base, wanted, n, False), "join-maps")
     active = stored(_passing(full, "id", docs.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted))).join(first_of, ["h1", "h2", "id"], "left_semi").join(wanted, "id", "left_semi").select("id", "sigs"), "join-active")
     edges = stored(_linked(stored(_possible(first, maps, t), "join-possible"), base, n, t), "join-edges")

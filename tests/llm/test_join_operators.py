@@ -71,6 +71,22 @@ def test_small_blocks_lose_nothing(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(docs, 4, Fraction("0.85"))
 
 
+def test_chains_and_overlapping_excerpts_lose_no_link(spark):
+    """The smallest document of all its keys, whose partners each meet another one more often, is linked none the less."""
+    docs = []
+    for c in range(60):  # 11, 12 and 13 words: each is linked with the next, the first not with the last
+        w = [f"c{c}.{i}" for i in range(13)]
+        docs += [(3 * c, " ".join(w[:11])), (3 * c + 1, " ".join(w)), (3 * c + 2, " ".join(w[:12]))]
+    pick = random.Random(11)
+    for g in range(30):  # excerpts of one text that begin a few words apart
+        w = [f"g{g}.{i}" for i in range(120)]
+        starts = [3 * i for i in range(8)]
+        pick.shuffle(starts)
+        docs += [(1000 + 8 * g + i, " ".join(w[s : s + 60])) for i, s in enumerate(starts)]
+    rows = ngram_join.jaccard_components(spark.createDataFrame(docs, SCHEMA), 4, "0.85").collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(docs, 4, Fraction("0.85"))
+
+
 @pytest.mark.parametrize("t", [Fraction("0.85"), Fraction("0.8"), Fraction("0.6")])
 def test_linked_sets_share_a_signature(t):
     signer, pick = ngram_join.Signer(t), np.random.default_rng(1)
