@@ -151,6 +151,33 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == sorted((*x, *y, near(x, y)) for x in set(base) for y in set(base) if near(x, y) <= 6)
 
 
+@pytest.mark.parametrize("radius", [0, 10, 20, 26])
+def test_near_fingerprints_of_any_radius(spark, radius):
+    pick = random.Random(radius)
+    whole = [pick.getrandbits(128) for _ in range(12)]
+    whole += [x ^ sum(1 << b for b in pick.sample(range(128), n)) for x in whole for n in {1, 5, radius - 1, radius, radius + 1} if n > 0]
+    rows = {tuple(v - (1 << 64) if v >> 63 else v for v in (x & (2**64 - 1), x >> 64)): x for x in whole}
+    df = spark.createDataFrame(sorted(rows), "f1 bigint, f2 bigint")
+    got = sorted(map(tuple, simhash.near_fingerprints(df, df, radius).collect()))
+    assert got == sorted((*a, *b, (x ^ y).bit_count()) for a, x in rows.items() for b, y in rows.items() if (x ^ y).bit_count() <= radius)
+
+
+def test_near_copies_are_found_and_named(spark):
+    pick = random.Random(9)
+    docs = []
+    for i in range(40):
+        w = [f"word{pick.randrange(5000)}" for _ in range(150)]
+        docs.append((2 * i, " ".join(w)))
+        for at in (20, 70, 120):
+            w[at] = "changed"
+        docs.append((2 * i + 1, " ".join(w)))
+    df = spark.createDataFrame([*docs, (None, docs[0][1])], SCHEMA)
+    found = {(r["doc_id"], r["near_id"]) for r in simhash.near_pairs(df).collect()}
+    assert found <= {(i, i ^ 1) for i in range(80)} and len(found) >= 2 * 37  # three of 150 words changed: similarity 0.81
+    near = {r["doc_id"]: r["n_near"] for r in simhash.edit_sensitivity(df, query_every=2).collect()}
+    assert all(near[i] == ((i, i + 1) in found) for i in range(2, 80, 2)) and near[0] == ((0, 1) in found) + 1
+
+
 def test_simhash_likeness_falls_with_the_edit(spark):
     pick = random.Random(5)
     words = [f"w{i}" for i in range(5000)]
