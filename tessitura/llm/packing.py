@@ -24,7 +24,7 @@ from tessitura.llm.token_counts import byte_symbols
 
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-K1, B, QUERY_TERMS = 1.2, 0.75, 32
+K1, B = 1.2, 0.75
 KEY_BITS, SHARD_DOCS = 12, 1024
 KEPT = 1 << 19
 SHARD_SEQUENCES = 1 << 62
@@ -186,11 +186,8 @@ class Index:
         self.start = np.searchsorted(flat[order], np.arange(len(idf) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        """Of all documents, for the seed's QUERY_TERMS weightiest terms."""
-        t = self.terms[seed]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argpartition(-self.idf[t] * np.log1p(self.counts[seed]), QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.start[x], self.start[x + 1]) for x in t]
+        """Of all documents, for all terms of the seed."""
+        spans = [slice(self.start[x], self.start[x + 1]) for x in self.terms[seed]]
         if not spans:
             return np.zeros(self.n)
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)

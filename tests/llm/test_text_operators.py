@@ -111,6 +111,12 @@ def test_bm25_scores_equal_the_formula():
         assert got[d] == pytest.approx(want, rel=1e-5)
 
 
+def test_bm25_scores_count_all_terms_of_a_long_seed():
+    terms = [np.arange(100), np.array([99]), np.array([0]), np.array([200])]
+    index = packing.Index(terms, [np.ones(len(t), np.int64) for t in terms], np.array([100, 1, 1, 1], np.float32), np.linspace(1, 2, 300).astype(np.float32), 26.0)
+    assert [bool(x > 0) for x in index.scores(0)] == [True, True, True, False]
+
+
 def test_large_keys_are_split_into_shards():
     shards = packing._shards({0: 10, 1: 5000, 2: 20, 3: 30}, 1000)
     assert shards[1][1] == 5 and len({f + i for f, n in shards.values() for i in range(n)}) >= 6
