@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset and all runs on one machine, as in tests, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -41,6 +45,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -84,8 +97,9 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """As ``words``, of lower-cased runs of letters and digits: punctuation and case don't count."""
-    return words(pc.replace_substring_regex(pc.utf8_lower(strings(texts)), r"[^\pL\pN]+", " "))
+    """As ``words``, of lower-cased runs of letters and digits: punctuation and case don't count. In scripts without spaces each character is a word."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(strings(texts)), r"[^\pL\pN]+", " ")
+    return words(pc.replace_substring_regex(plain, r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", r" \1 "))
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -108,6 +122,18 @@ def batches(rows: Iterator[pa.RecordBatch], most_bytes: int = 32 << 20) -> Itera
             yield batch.slice(at, step)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which the worker, kept by Spark for other tasks, gives unused memory back to the system."""
+
+    def tidy(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(rows)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return tidy
+
+
 #: Bits of a key filter that every task gets: 16 a key, within these bounds (16 MB at most; a full one lets all keys pass).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
@@ -133,8 +159,8 @@ class KeyFilter:
                 yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], ["at", "word"])
 
         words = np.zeros(bits // 64, np.uint64)
-        for at, word in keys.mapInArrow(make, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word")).collect():  # bits / 64 rows at most
-            words[at] = np.int64(word).view(np.uint64)
+        found = keys.mapInArrow(make, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()  # bits / 64 rows of 16 bytes at most
+        words[found.column("at").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
         return cls(words)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
@@ -143,5 +169,18 @@ class KeyFilter:
         return ((self.words[one >> six] >> (one & low)) & (self.words[two >> six] >> (two & low)) & np.uint64(1)).astype(bool)
 
 
+def passing(rows: DataFrame, column: str, known: Broadcast, wanted: bool = True) -> DataFrame:
+    """The rows whose bigint ``column`` passes a broadcast key filter (of a bounded size), or those that don't; null passes none."""
+    at = rows.columns.index(column)
+
+    def keep(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            keys = batch.column(at)
+            found = known.value(pc.fill_null(keys, 0).to_numpy(zero_copy_only=False).view(np.uint64)) & keys.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(found == wanted))
+
+    return rows.mapInArrow(lean(keep), rows.schema)
+
+
 def blob_column(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import batches, blob_column, free_name, strings
+from tessitura.llm.common import batches, blob_column, free_name, lean, strings
 
 BITS = 14
 BUCKETS = 1 << BITS
 SAMPLE = 4096
-CHUNK = 1 << 22
+CHUNK = 1 << 20
+BATCH_BYTES = 8 << 20
 ROUNDS, SMOOTH = 100, 1.0
 EPOCHS, BATCH, RATE, DECAY = 40, 128, 0.5, 1e-4
 #: Labellers of what prose never has; the others may err on odd prose.
@@ -148,11 +149,11 @@ def weak_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Per row: id and votes, an array of LABELLERS' votes."""
 
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in batches(rows, BATCH_BYTES):
             found = [votes(statistics(t, codes(t))) for t in strings(batch.column(1)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int8()))], ["id", "votes"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(make, "id bigint, votes array<tinyint>")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(make), "id bigint, votes array<tinyint>")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[tuple[int, ...], float], tuple[np.ndarray, float]]:
@@ -163,7 +164,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     good = {tuple(p): float(x) for p, x in zip(patterns.tolist(), posteriors(patterns, np.array([r["n"] for r in found])), strict=True)}
 
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in batches(rows, BATCH_BYTES):
             out: list[list] = [[], [], []]
             for text in strings(batch.column(1)).to_pylist():
                 c = codes(text)
@@ -182,7 +183,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     ids = docs.select(F.col(id_col).cast("bigint").alias("id")).where("id IS NOT NULL").groupBy("id").count().select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     # the sample is bounded, so it may be broadcast and its features may meet in one task
-    models = texts.join(F.broadcast(ids), "id").select("id", "text").mapInArrow(make, "id bigint, cols binary, x binary, good double").repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
+    models = texts.join(F.broadcast(ids), "id").select("id", "text").mapInArrow(lean(make), "id bigint, cols binary, x binary, good double").repartition(1).mapInArrow(lean(learn), "weights binary, bias double").collect()
     return good, (np.frombuffer(models[0]["weights"], "<f4"), models[0]["bias"]) if models else (np.zeros(BUCKETS, np.float32), 0.0)
 
 
@@ -194,7 +195,7 @@ def scored(docs: DataFrame, text_col: str, good: dict, model: tuple[np.ndarray,
 
     def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, chances = shared.value
-        for batch in batches(rows):
+        for batch in batches(rows, BATCH_BYTES):
             z, p = np.empty(batch.num_rows), np.empty(batch.num_rows)
             for i, text in enumerate(strings(batch.column(at)).to_pylist()):
                 c = codes(text)
@@ -203,7 +204,7 @@ def scored(docs: DataFrame, text_col: str, good: dict, model: tuple[np.ndarray,
                 z[i], p[i] = x @ w[cols] + bias, chances.get(tuple(votes(s)), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(lean(score), schema)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -218,7 +219,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
 
 def without_junk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with their columns, that score ``least`` or more."""
+    """The rows of ``docs``, with their columns, that score ``least`` or more.
+
+    Null and empty texts get no votes and are scored as such; null ids, repeated rows and further columns stay as they are; an empty table gives none.
+    """
     good, model = train(docs, id_col, text_col)
     names = free_name(docs, "posterior"), free_name(docs, "score")
     return scored(docs, text_col, good, model, names).where(F.col(names[1]) >= least).select(*docs.columns)

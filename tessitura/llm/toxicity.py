@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import batches, blob_column, free_name, strings
+from tessitura.llm.common import batches, blob_column, free_name, lean, strings
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 #: Training takes at most so many labelled rows (those of the smallest hash of the id), whatever the table's size.
 SAMPLE = 4096
-CHUNK = 1 << 22
+CHUNK = 1 << 20
+BATCH_BYTES = 8 << 20
 SMOOTH, DECAY, EPOCHS, BATCH, RATE = 1.0, 1e-4, 30, 256, 0.02
 
 
@@ -55,27 +56,44 @@ class Presence:
         return found[self.place[found] == at]
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weight per bucket (ratio times regression weight) and the intercept."""
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate([*rows, np.zeros(0, np.uint32)]).astype(np.int64)
-    per = np.repeat(labels, sizes)
-    p = SMOOTH + np.bincount(flat[per == 1], minlength=BUCKETS)
-    q = SMOOTH + np.bincount(flat[per == 0], minlength=BUCKETS)
+def packed(found: np.ndarray) -> bytes:
+    """Distinct buckets as numbers, or where they are many as a bit per bucket: 32 KB a text at most."""
+    if len(found) < BUCKETS // 32:
+        return found.astype("<u4").tobytes()
+    flags = np.zeros(BUCKETS, bool)
+    flags[found] = True
+    return np.packbits(flags).tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u4") if len(blob) < BUCKETS // 8 else np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8))).astype(np.uint32)
+
+
+def log_count_ratio(rows: list[bytes], labels: np.ndarray) -> np.ndarray:
+    """Per bucket the logarithm of its share in texts of label 1 over that in the others, smoothed; 0 for what was met once at most."""
+    counts = np.full((2, BUCKETS), SMOOTH)
+    for blob, label in zip(rows, labels.tolist(), strict=True):
+        counts[label, unpacked(blob)] += 1
+    q, p = counts
     ratio = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
-    ratio[(p + q) <= 2 * SMOOTH + 1] = 0  # met once at most: tells nothing
+    ratio[(p + q) <= 2 * SMOOTH + 1] = 0
+    return ratio
+
+
+def fit(rows: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weight per bucket (ratio times regression weight) and the intercept. rows: packed buckets, unfolded one batch at a time."""
+    ratio = log_count_ratio(rows, labels)
     w, bias = np.zeros(BUCKETS, np.float32), 0.0
     share = (labels.sum() + 1) / (len(labels) + 2)
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))  # both labels weigh the same
     square, square_b = np.full(BUCKETS, 1e-6, np.float32), 1e-6
-    starts = np.concatenate([[0], np.cumsum(sizes)])
     rng = np.random.default_rng(3)
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
-            cols = np.concatenate([flat[starts[i] : starts[i + 1]] for i in part])
-            n = sizes[part]
+            held = [unpacked(rows[i]) for i in part]
+            cols, n = np.concatenate(held).astype(np.int64), np.array([len(x) for x in held])
             scale = np.repeat(1 / np.sqrt(np.maximum(n, 1)), n).astype(np.float32)
             x = ratio[cols] * scale
             z = np.bincount(np.repeat(np.arange(len(part)), n), x * w[cols], len(part)) + bias
@@ -99,24 +117,24 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
 
     def features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = Presence()
-        for batch in batches(rows):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blob_column([present(t).tobytes() for t in strings(batch.column(2)).to_pylist()])], ["id", "label", "found"])
+        for batch in batches(rows, BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blob_column([packed(present(t)) for t in strings(batch.column(2)).to_pylist()])], ["id", "label", "found"])
 
     def learn(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, label, ids = [], [], []
         for batch in rows:
             ids += batch.column("id").to_pylist()
-            found += [np.frombuffer(x, np.uint32) for x in batch.column("found").to_pylist()]
+            found += batch.column("found").to_pylist()
             label += batch.column("label").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], len(found[i])))  # the same model whatever the order of arrival
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], found[i]))  # the same model whatever the order of arrival
         if not order:
             return
         weights, bias = fit([found[i] for i in order], np.array(label)[order])
         yield pa.RecordBatch.from_arrays([blob_column([weights.astype("<f4").tobytes()]), pa.array([float(bias)])], ["weights", "bias"])
 
     # the sample is bounded, so it may be broadcast and its features may meet in one task
-    labelled = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(features, "id bigint, label int, found binary")
-    models = labelled.repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
+    labelled = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(lean(features), "id bigint, label int, found binary")
+    models = labelled.repartition(1).mapInArrow(lean(learn), "weights binary, bias double").collect()
     return (np.frombuffer(models[0]["weights"], "<f4"), models[0]["bias"]) if models else (np.zeros(BUCKETS, np.float32), 0.0)
 
 
@@ -129,14 +147,14 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
 
     def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present, w = Presence(), shared.value
-        for batch in batches(rows):
+        for batch in batches(rows, BATCH_BYTES):
             z = np.empty(batch.num_rows)
             for i, text in enumerate(strings(batch.column(at)).to_pylist()):
                 found = present(text)
                 z[i] = float(w[found].sum(dtype=np.float64)) / np.sqrt(max(len(found), 1)) + bias
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(lean(score), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -156,7 +174,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows of ``docs``, with their columns, that score below 0.5."""
+    """The rows of ``docs``, with their columns, that score below 0.5.
+
+    Null and empty texts score as no n-grams do; null ids, repeated rows and further columns stay as they are; an empty table gives none; without usable
+    labels every score is 0.5, and nothing is left out.
+    """
     model = train(docs, labels, ~held_out(id_col), id_col, text_col, label_col)
     name = free_name(docs, "toxicity")
-    return scored(docs, model, text_col, name).where(F.col(name) < 0.5).select(*docs.columns)
+    return scored(docs, model, text_col, name).where(F.col(name) < (0.5 if model[0].any() else 2)).select(*docs.columns)
