@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import stored
+from tessitura.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,17 @@ def components(edges: DataFrame) -> DataFrame:
         # labels point at nodes, so the label's label is one lookup away
         after = stored(hooked.join(jump, "comp").select("node", F.least("comp", "further").alias("comp"), "old"), "labels")
         changed = not after.where("comp != old").isEmpty()
+        discard(labels)
         labels = after.select("node", "comp")
         if not changed:
+            discard(both)
             return labels
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (id, comp) after the components of both ends of each edge (a, b) have become one; a graph of components alone is walked."""
+    a, b = labels.select(F.col("id").alias("a"), F.col("comp").alias("x")), labels.select(F.col("id").alias("b"), F.col("comp").alias("y"))
+    found = components(edges.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    after = stored(labels.join(found.select(F.col("node").alias("comp"), F.col("comp").alias("least")), "comp", "left").select("id", F.coalesce("least", "comp").alias("comp")), "labels")
+    discard(labels, found)
+    return after

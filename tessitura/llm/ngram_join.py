@@ -2,9 +2,10 @@
 
 Documents are sets of word n-grams. Two sets whose Jaccard similarity is ``t`` or more differ in few members, so of enough hash buckets one at least
 holds the same members in both: the bucket's contents are the key by which documents that may be linked meet (nothing is missed). First every document
-is held against the smallest document that it meets most often; documents so linked form components. Only where documents of different components
-meet are signature trees built: nodes hold the OR of their members' token bitmaps and the range of their sizes, and a traversal of two trees at once
-leaves out pairs of nodes whose largest possible overlap is too small, or that are linked already. What is left is compared exactly.
+is held against the document that it meets most often; documents so linked form components. Only where documents of different components meet are
+signature trees built: nodes hold the OR of their members' token bitmaps and the range of their sizes, and a traversal of two trees at once leaves out
+pairs of nodes whose largest possible overlap is too small, or that are linked already. What is left is compared exactly, in a few turns: the likeliest
+partner of each document first, at last every pair that is still possible; groups without a possible pair leave after their first turn.
 """
 
 from __future__ import annotations
@@ -15,20 +16,21 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import KeyFilter, batches, blob_column, free_name, mix, partitions, stored, windows, words
-from tessitura.llm.components import components
+from tessitura.llm.common import KeyFilter, batches, blob_column, discard, free_name, lean, mix, partitions, passing, stored, windows, words
+from tessitura.llm.components import merged
 
-#: Bits of a set's bitmap: the power of two from four times its size on, within these bounds.
+#: Bits of a set's bitmap: the power of two from twice its size on, within these bounds.
 LEAST_MAP, MOST_MAP = 512, 1 << 16
 LEAF, FAN = 8, 8
 #: Members of one block of a key; blocks of a key are held against each other pair by pair.
 BLOCK = 1024
-#: Rounds in which each document is held against its likeliest partner of another component, before all that is left is.
-ROUNDS = 4
+#: Turns in which each document is held against its likeliest partner of another component; one more turn takes all that is left.
+TURNS = 2
+#: Arrow batches are cut to about so many bytes before texts or signatures are unfolded.
+BATCH_BYTES = 4 << 20
 #: Buckets that may go unsigned: so many, and this share of the members in which a pair may differ.
 SPARE, SPARE_SHARE = 6, Fraction(1, 3)
 U = np.uint64
@@ -52,11 +54,12 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
 class Signer:
     """Signatures of a set: a hash of the contents of each of its buckets, for the size bands in which a partner can be.
 
-    Bands of sizes end at ``ends``. Two linked sets, the larger of band b, both sign for band b: a set signs for its own band and for the next one if a
-    partner may be there. Sets up to ``ends[b]`` that are linked differ in at most D = floor(2 (1-t)/(1+t) ends[b]) members, so of D + 1 + spare
-    buckets more than ``spare`` hold the same. Buckets of no or one member tell little (a common n-gram may be all there is). A set with ``spare`` or fewer
-    of both leaves them out; one with ``spare`` or fewer empty ones leaves those out; any other signs all. A bucket that both sets hold alike is weak in
-    both or in neither, so a linked pair always shares a signature.
+    Bands of sizes end at ``ends``. Two linked sets, the larger of band b, both sign for band b: a set signs for its own band and for each larger one that
+    may hold a partner. Sets up to ``ends[b]`` that are linked differ in at most D = floor(2 (1-t)/(1+t) ends[b]) members, so of D + 1 + s buckets
+    more than s hold the same. Buckets of no or one member are weak, since they tell little (a common n-gram may be all there is); a bucket that both
+    sets hold alike is weak in both or in neither. A set signs its strong buckets among the first D + 1 + s, for the least s up to ``spare`` with no more
+    than s weak ones among them: of two such sets the lesser s leaves a strong bucket in common that both sign. A set without such an s signs all its
+    D + 1 + spare buckets: those that aren't empty, and where more than ``spare`` are empty those as well. So a linked pair always shares a signature.
     """
 
     def __init__(self, t: Fraction):
@@ -69,35 +72,40 @@ class Signer:
         self.differ = [int(rate * e) for e in ends]
 
     def sign(self, members: np.ndarray) -> np.ndarray:
+        """members: sorted and distinct."""
         size = len(members)
         if not size:
             return np.zeros(0, U)
         band = int(np.searchsorted(self.ends, size))
         out = []
-        largest = int(size / self.t)  # a partner's size at most
+        largest = int(np.searchsorted(self.ends, int(size / self.t)))  # band of the largest partner
         mixed = mix(members)
-        for b in (band, band + 1):
-            if b > band and largest <= self.ends[band]:
-                continue
-            if self.differ[b] == 0:  # only equal sets are linked, and those are one class
+        for b in range(band, largest + 1):
+            least = self.differ[b] + 1
+            if least == 1:  # only equal sets are linked, and those are one class
                 continue
             spare = SPARE + int(SPARE_SHARE * self.differ[b])
-            k = self.differ[b] + 1 + spare
+            k = least + spare
             bucket = ((members >> U(32)) * U(k)) >> U(32)  # ascending with the members
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            held = np.diff(np.append(starts, size))
-            sums = np.add.reduceat(mixed, starts)
-            signs = mix(sums ^ mix((bucket[starts] << U(20)) + U(b + 1)))
-            empty, single = k - len(starts), int((held < 2).sum())
-            out.append(signs[held >= 2] if empty + single <= spare else signs)
-            if empty > spare:
-                none = np.setdiff1d(np.arange(k, dtype=U), bucket[starts])
+            own, held = bucket[starts], np.diff(np.append(starts, size))
+            signs = mix(np.add.reduceat(mixed, starts) ^ mix((own << U(20)) + U(b + 1)))
+            strong = np.zeros(k, np.int64)
+            strong[own[held >= 2]] = 1
+            weak = np.arange(least, k + 1) - np.cumsum(strong)[least - 1 :]  # among the first D + 1 + s buckets
+            enough = np.flatnonzero(weak <= np.arange(spare + 1))
+            if len(enough):
+                out.append(signs[(held >= 2) & (own < U(least + int(enough[0])))])
+                continue
+            out.append(signs)
+            if k - len(starts) > spare:
+                none = np.setdiff1d(np.arange(k, dtype=U), own)
                 out.append(mix(mix((none << U(20)) + U(b + 1)) ^ U(0x5851F42D4C957F2D)))
         return np.concatenate(out) if out else np.zeros(0, U)
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
-    bits = min(MOST_MAP, max(LEAST_MAP, 1 << max(4 * len(members) - 1, 1).bit_length()))
+    bits = min(MOST_MAP, max(LEAST_MAP, 1 << max(2 * len(members) - 1, 1).bit_length()))
     flags = np.zeros(bits, bool)
     flags[(members % U(bits)).astype(np.int64)] = True
     return np.packbits(flags).view(U)
@@ -171,148 +179,101 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, t: Fraction) -> tuple[np.
 def _signed(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     def sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(t)
-        for batch in batches(rows, 8 << 20):
+        for batch in batches(rows, BATCH_BYTES):
             sets = shingle_sets(batch.column(1), n)
             digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64) for x in sets]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), blob_column([signer.sign(x).tobytes() for x in sets])], ["id", "n", "h1", "h2", "sigs"]
             )
 
-    return docs.mapInArrow(sign, "id bigint, n bigint, h1 bigint, h2 bigint, sigs binary")
-
+    return docs.mapInArrow(lean(sign), "id bigint, n bigint, h1 bigint, h2 bigint, sigs binary")
 
-PACKED = "slot int, keys binary, ids binary, at binary, a bigint, b bigint, n bigint"
 
+PACKED = "slot int, keys binary, ids binary, at binary, mates binary, key bigint, id bigint, pivot bigint"
+MEETING = ["key", "id", "pivot"]
 
-def _packed(batch: pa.RecordBatch, slots: int, combine) -> Iterator[pa.RecordBatch]:
-    """Rows (slot, keys, ids, at) of a batch (id, signatures), sorted by key and id; ``at`` has each key's place in ``ids``.
 
-    ``combine`` leaves out rows and may give pairs (a, b, n) for them.
-    """
-    blobs = [np.frombuffer(x, U) for x in batch.column(1).to_pylist()]
-    ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in blobs])
-    keys = np.concatenate(blobs) if blobs else np.zeros(0, U)
-    if not len(keys):
-        return
+def _grouped(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and ids sorted by both, each pair once; which are the first of their key, the first id and the number of ids of each row's key."""
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
-    keep, pairs, counts = combine(keys, ids)
-    keys, ids = keys[keep], ids[keep]
-    slot = ((keys >> U(32)) * U(slots)) >> U(32)
-    cut = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]]))
-    n, spans, names = len(cut) - 1, list(zip(cut[:-1], cut[1:], strict=True)), ["slot", "keys", "ids", "at", "a", "b", "n"]
-    held = [np.unique(ids[x:y], return_inverse=True) for x, y in spans]
-    places = [at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes() for own, at in held]
-    yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]].astype(np.int32)), blob_column([keys[x:y].tobytes() for x, y in spans]), blob_column([own.tobytes() for own, _ in held]), blob_column(places), *[pa.nulls(n, pa.int64())] * 3], names)
-    if m := len(pairs):
-        spread = pa.array((np.arange(m) % slots).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([spread, *[pa.nulls(m, pa.binary())] * 3, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(counts)], names)
-
-
-def _unpacked(batches_: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and ids of packed rows, sorted."""
-    keys, ids = [], []
-    for b in batches_:
-        for k, own, at in zip(*(b.column(c).drop_null().to_pylist() for c in ("keys", "ids", "at")), strict=True):
-            keys.append(np.frombuffer(k, U))
-            ids.append(np.frombuffer(own, np.int64)[np.frombuffer(at, np.uint16 if len(own) <= 8 << 16 else np.uint32)])
-    k, i = np.concatenate([*keys, np.zeros(0, U)]), np.concatenate([*ids, np.zeros(0, np.int64)])
-    order = np.lexsort((i, k))
-    return k[order], i[order]
-
-
-def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first of each key, pairs of the others with it, under how many keys each pair meets)."""
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])[: len(keys)]
+    keys, ids = keys[new], ids[new]
     first = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
-    pivot = ids[first][np.cumsum(first) - 1]
-    met = ~first & (ids != pivot)
-    pairs, counts = np.unique(np.stack([ids[met], pivot[met]], 1), axis=0, return_counts=True)
-    return first, pairs, counts
+    group = np.cumsum(first) - 1
+    return keys, ids, first, ids[first][group], np.bincount(group)[group] if len(keys) else np.zeros(0, np.int64)
 
 
-def _met_once(reps: DataFrame) -> DataFrame:
-    """(a, b, n): each document with the smallest document of a key, and under how many keys.
+def _meeting(reps: DataFrame) -> DataFrame:
+    """(key, id, pivot): every document under each key that two or more share; pivot is the smallest document of the key, or of those read together.
 
-    Keys travel as packed arrays, dealt by their top bits. Before that, rows of a batch that share a key are paired with the batch's smallest one, and
-    only that one goes on, so a key that very many documents share is small when it is shuffled.
+    Keys travel as packed arrays, dealt by their top bits. Before that, of the rows of a batch that share a key all but the smallest are done, and only
+    that one goes on, so a key that very many documents share is small when it is shuffled.
     """
     parts = partitions(reps.sparkSession)
     slots = 4 * parts
 
+    def done(keys: np.ndarray, ids: np.ndarray, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].view(np.int64)) for x in (keys, ids, pivots)], MEETING)
+
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            yield from _packed(batch, slots, _stars)
+        names = [c.split()[0] for c in PACKED.split(", ")]
+        for batch in batches(rows, BATCH_BYTES):
+            blobs = [np.frombuffer(x, U) for x in batch.column(1).to_pylist()]
+            keys, ids, first, pivot, n = _grouped(np.concatenate([*blobs, np.zeros(0, U)]), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in blobs]))
+            if not len(keys):
+                continue
+            for more in done(keys[~first], ids[~first], pivot[~first]):
+                m = more.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array((np.arange(m) % slots).astype(np.int32)), *[pa.nulls(m, pa.binary())] * 4, *more.columns], names)
+            keys, ids, mates = keys[first], ids[first], n[first] > 1
+            slot = ((keys >> U(32)) * U(slots)) >> U(32)
+            cut = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]]))
+            spans = list(zip(cut[:-1], cut[1:], strict=True))
+            held = [np.unique(ids[x:y], return_inverse=True) for x, y in spans]
+            places = [at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes() for own, at in held]
+            packed = [blob_column([keys[x:y].tobytes() for x, y in spans]), blob_column([own.tobytes() for own, _ in held]), blob_column(places), blob_column([mates[x:y].tobytes() for x, y in spans])]
+            yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]].astype(np.int32)), *packed, *[pa.nulls(len(spans), pa.int64())] * 3], names)
 
     def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ["a", "b", "n"], []
+        keys, ids, mates = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for batch in rows:
-            made = batch.filter(batch.column("a").is_valid())
+            made = batch.filter(batch.column("key").is_valid())
             if made.num_rows:
-                yield made.select(names)
-            held.append(batch.select(["keys", "ids", "at"]))
-        _, pairs, counts = _stars(*_unpacked(held))
-        for at in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000, 0]), pa.array(pairs[at : at + 100_000, 1]), pa.array(counts[at : at + 100_000])], names)
-
-    packed = reps.select("id", "sigs").mapInArrow(pack, PACKED)
-    met = packed.repartition(parts, "slot").mapInArrow(meet, "a bigint, b bigint, n bigint")
-    return met.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def _open_keys(labelled: DataFrame) -> DataFrame:
-    """(key): the keys under which documents of more than one component meet; (comp, sigs) of all documents that meet any go in.
-
-    Rows of a batch that share key and component count once, so what is shuffled of a large component is small.
-    """
-    parts = partitions(labelled.sparkSession)
-    slots = 4 * parts
-
-    def once(keys: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.concatenate([[True], (keys[1:] != keys[:-1]) | (comps[1:] != comps[:-1])]), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-
-    def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            yield from _packed(batch, slots, once)
-
-    def divided(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, comps = _unpacked([b.select(["keys", "ids", "at"]) for b in rows])
-        found = np.unique(keys[1:][(keys[1:] == keys[:-1]) & (comps[1:] != comps[:-1])])
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
-
-    return labelled.select("comp", "sigs").mapInArrow(pack, PACKED).repartition(parts, "slot").mapInArrow(divided, "key bigint")
-
-
-def _passing(rows: DataFrame, column: str, known: Broadcast, passing: bool = True) -> DataFrame:
-    """The rows whose bigint ``column`` passes a broadcast key filter (of a bounded size), or those that don't."""
-    at = rows.columns.index(column)
-
-    def keep(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
-            found = known.value(batch.column(at).to_numpy(zero_copy_only=False).view(U))
-            yield batch.filter(pa.array(found == passing))
-
-    return rows.mapInArrow(keep, rows.schema)
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, n: int, whole: bool) -> DataFrame:
-    """(id, n, bits) or, ``whole``, (id, members) of the documents in ``wanted`` (id), and of a few more that pass the filter of a bounded size."""
+                yield made.select(MEETING)
+            for k, own, at, m in zip(*(batch.column(c).drop_null().to_pylist() for c in ("keys", "ids", "at", "mates")), strict=True):
+                keys.append(np.frombuffer(k, U))
+                ids.append(np.frombuffer(own, np.int64)[np.frombuffer(at, np.uint16 if len(own) <= 8 << 16 else np.uint32)])
+                mates.append(np.frombuffer(m, bool))
+        k, i, m = np.concatenate(keys), np.concatenate(ids), np.concatenate(mates)
+        alone = np.unique(k[m])  # met in a batch
+        keys.clear(), ids.clear(), mates.clear()
+        k, i, _, pivot, n = _grouped(k, i)
+        shared = n > 1
+        if len(alone):
+            shared |= alone[np.minimum(np.searchsorted(alone, k), len(alone) - 1)] == k
+        yield from done(k[shared], i[shared], pivot[shared])
+
+    return reps.select("id", "sigs").mapInArrow(lean(pack), PACKED).repartition(parts, "slot").mapInArrow(lean(meet), "key bigint, id bigint, pivot bigint")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(id, n, bits, members) of the documents in ``wanted`` (id), and of a few more that pass the filter of a bounded size."""
     known = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted))
 
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             batch = batch.filter(batch.column(0).is_valid())
             batch = batch.filter(pa.array(known.value(batch.column(0).to_numpy(zero_copy_only=False).view(U))))
-            for part in batches([batch] if batch.num_rows else [], 8 << 20):
+            for part in batches([batch] if batch.num_rows else [], BATCH_BYTES):
                 sets = shingle_sets(part.column(1), n)
-                if whole:
-                    yield pa.RecordBatch.from_arrays([part.column(0), blob_column([x.tobytes() for x in sets])], ["id", "members"])
-                else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), blob_column([bitmap(x).tobytes() for x in sets])], ["id", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), blob_column([bitmap(x).tobytes() for x in sets]), blob_column([x.tobytes() for x in sets])], ["id", "n", "bits", "members"])
 
-    return docs.mapInArrow(make, "id bigint, members binary" if whole else "id bigint, n bigint, bits binary")
+    return docs.mapInArrow(lean(make), "id bigint, n bigint, bits binary, members binary")
 
 
-def _possible(pairs: DataFrame, maps: DataFrame, t: Fraction) -> DataFrame:
+def _possible(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) that their bitmaps don't rule out."""
     num, den = t.numerator, t.denominator
 
@@ -325,65 +286,80 @@ def _possible(pairs: DataFrame, maps: DataFrame, t: Fraction) -> DataFrame:
                 ok.append((den + num) * most >= num * (m + k))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = maps.select(F.col("id").alias("a"), "n", F.col("bits").alias("x"))
-    right = maps.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(keep, "a bigint, b bigint").distinct()
+    left = sets.select(F.col("id").alias("a"), "n", F.col("bits").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(lean(keep), "a bigint, b bigint").distinct()
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets are linked, by exact intersection; sets are made anew for the documents in question."""
-    sets = stored(_sets(docs, pairs.selectExpr("explode(array(a, b)) AS id").distinct(), n, True), "join-sets")
+def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b), a stored table, whose sets are linked, by exact intersection. Only the sets in question are joined."""
+    known = pairs.sparkSession.sparkContext.broadcast(KeyFilter.of(pairs.selectExpr("explode(array(a, b)) AS id").distinct()))
+    own = stored(passing(sets.select("id", "members"), "id", known), "join-sets")
     num, den = t.numerator, t.denominator
 
     def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            keep = []
-            for one, two in zip(x, y, strict=True):
-                u, v = np.frombuffer(one, U), np.frombuffer(two, U)
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(den * common >= num * (len(u) + len(v) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
-
-
-def _meeting(active: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id): the keys under which documents of more than one component meet, and those documents. Components only grow, so no other key is ever needed."""
-    open_keys = stored(_open_keys(active.join(labels, "id")), "join-open-keys")
-    known = active.sparkSession.sparkContext.broadcast(KeyFilter.of(open_keys))  # of a bounded size
-
-    def keyed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            blobs = [x[known.value(x)] for x in (np.frombuffer(x, U) for x in batch.column("sigs").to_pylist())]
-            at = pa.array(np.repeat(np.arange(len(blobs)), [len(x) for x in blobs]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*blobs, np.zeros(0, U)]).view(np.int64)), batch.column("id").take(at)], ["key", "id"])
-
-    return stored(active.mapInArrow(keyed, "key bigint, id bigint"), "join-keys")
-
-
-def _still_open(meeting: DataFrame, labels: DataFrame, maps: DataFrame, t: Fraction, best: bool) -> DataFrame:
-    """(a, b): pairs of different components that meet under a key and that the trees don't rule out; with ``best`` only the likeliest of each document."""
-
-    members = meeting.join(labels, "id").select("key", "id", "comp")
-    who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"who{i}") for i in range(2)]
-    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), *who)
-    # per key: its largest component (the trunk), whose members are not held against each other; of keys with the same members one is enough
-    keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), *(F.bit_xor(f"who{i}").alias(f"who{i}") for i in range(2)))
-    keys = keys.where("comps > 1").groupBy("who0", "who1", "all").agg(F.min(F.struct("key", "top")).alias("one")).select("one.key", "one.top", "all")
-    blocks = lambda n: f"CAST(greatest(1, ceil({n} / {BLOCK})) AS INT)"
-    keys = stored(keys.select("key", F.col("top.comp").alias("trunk"), F.expr(blocks("top.n")).alias("nt"), F.expr(blocks("all - top.n")).alias("ns")), "join-open")
-    rows = members.join(keys, "key").withColumn("in_trunk", F.expr("comp = trunk"))
-    # side 0 holds other documents only; a block of them is held against itself, the later ones and all trunk blocks
+        for whole in rows:
+            for batch in batches([whole], BATCH_BYTES):
+                keep = []
+                for one, two in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                    u, v = np.frombuffer(one, U), np.frombuffer(two, U)
+                    common = len(np.intersect1d(u, v, assume_unique=True))
+                    keep.append(den * common >= num * (len(u) + len(v) - common))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(own.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+    found = stored(both.select("a", "b", "x", "y").mapInArrow(lean(compare), "a bigint, b bigint"), "join-edges")
+    discard(own)
+    return found
+
+
+def _open_groups(meeting: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, i, j, side, id): the documents of each key under which several components meet, dealt into pairs of blocks.
+
+    Of keys with the same documents one is enough. A key of up to BLOCK documents is one block, held against itself. Of a larger one the members of its
+    largest component (the trunk) are not held against each other, since components only grow. Side 0 of a pair holds block i, side 1 block j.
+    """
+    marks = [F.sum(F.expr(f"xxhash64(id, {i}) & 2147483647")).alias(f"who{i}") for i in range(3)]
+    sizes = meeting.select("key", "id").join(labels, "id").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), *marks)
+    keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), *(F.sum(f"who{i}").alias(f"who{i}") for i in range(3)))
+    keys = keys.where("comps > 1").groupBy("who0", "who1", "who2", "all").agg(F.min(F.struct("key", "top")).alias("one")).select("one.key", "one.top", "all")
+    keys = keys.select("key", F.col("top.comp").alias("trunk"), F.expr(f"CAST(if(all <= {BLOCK}, 0, ceil(top.n / {BLOCK})) AS INT)").alias("nt"), F.expr(f"CAST(if(all <= {BLOCK}, 1, ceil((all - top.n) / {BLOCK})) AS INT)").alias("ns"))
+    keys = stored(keys, "join-open")
+    rows = meeting.select("key", "id").join(keys, "key").join(labels, "id").withColumn("in_trunk", F.expr("nt > 0 AND comp = trunk"))
     spread = rows.withColumn("block", F.expr("CAST(pmod(xxhash64(id, 7), if(in_trunk, nt, ns)) AS INT)")).withColumn(
         "to",
         F.expr("""if(in_trunk, transform(sequence(0, ns - 1), s -> struct(s AS i, ns + block AS j, 1 AS side)),
                   concat(transform(sequence(block, ns + nt - 1), j -> struct(block AS i, j AS j, 0 AS side)),
                          transform(filter(sequence(0, block), i -> i < block), i -> struct(i AS i, block AS j, 1 AS side))))"""),
     )
-    dealt = spread.select("key", "id", "comp", F.explode("to").alias("to")).select("key", F.col("to.i").alias("i"), F.col("to.j").alias("j"), F.col("to.side").alias("side"), "id", "comp")
-    dealt = dealt.join(maps, "id")
+    dealt = stored(spread.select("key", "id", F.explode("to").alias("to")).select("key", "to.i", "to.j", "to.side", "id"), "join-groups")
+    discard(keys)
+    return dealt
+
+
+def _distinct_pairs(packed: DataFrame) -> DataFrame:
+    """(a, b, score) of packed rows (slot, pairs, scores): each pair once, with its largest score."""
+
+    def unpack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, scores = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
+        for batch in rows:
+            pairs += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column("pairs").to_pylist()]
+            scores += [np.frombuffer(x) for x in batch.column("scores").to_pylist()]
+        ab, score = np.concatenate(pairs), np.concatenate(scores)
+        order = np.argsort(-score, kind="stable")
+        ab, first = np.unique(ab[order], axis=0, return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(score[order][first])], ["a", "b", "score"])
+
+    parts = partitions(packed.sparkSession)
+    return packed.where("pairs IS NOT NULL").select("slot", "pairs", "scores").repartition(parts, "slot").mapInArrow(lean(unpack), "a bigint, b bigint, score double")
+
+
+def _traversed(groups: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction, best: bool) -> DataFrame:
+    """Pairs of different components that the trees don't rule out, with ``best`` only the likeliest of each document, as packed rows (slot, pairs,
+    scores): a pair meets under many keys, and all its meetings have one slot. And a row (key, i, j) for each group that has any."""
+    rows = groups.join(labels, "id").join(sets.select("id", "n", "bits"), "id")
+    names = ["key", "i", "j", "side", "id", "comp", "n", "bits"]
+    num, den, slots = t.numerator, t.denominator, partitions(groups.sparkSession)
 
     def traverse(ids: np.ndarray, side: np.ndarray, sizes: np.ndarray, comps: np.ndarray, maps: list[np.ndarray], same: bool) -> tuple[np.ndarray, ...]:
         """Pairs of one group, by two trees; a block that is held against itself makes one."""
@@ -397,15 +373,14 @@ def _still_open(meeting: DataFrame, labels: DataFrame, maps: DataFrame, t: Fract
         return ids[one][a], ids[two][b], score
 
     def small(start: np.ndarray, size: np.ndarray, ids: np.ndarray, side: np.ndarray, sizes: np.ndarray, comps: np.ndarray, maps: list[np.ndarray], same: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Pairs of many groups that are single leaves, at once: first by bitmaps folded to the least width, then by whole ones."""
+        """Pairs of many groups that are single leaves, at once, and the group of each: first by bitmaps folded to the least width, then by whole ones."""
         n = size * size
         group = np.repeat(np.arange(len(size)), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         p, q = start[group] + at // size[group], start[group] + at % size[group]
         ok = (comps[p] != comps[q]) & np.where(same[group], p < q, (side[p] == 0) & (side[q] == 1))
-        num, den = t.numerator, t.denominator
         ok &= (den * sizes[p] >= num * sizes[q]) & (den * sizes[q] >= num * sizes[p])
-        p, q = p[ok], q[ok]
+        p, q, group = p[ok], q[ok], group[ok]
         narrow = np.stack([np.bitwise_or.reduce(m.reshape(-1, LEAST_MAP // 64)) for m in maps]) if len(p) else np.zeros((0, 1), U)
         keep, score = np.zeros(len(p), bool), np.zeros(len(p))
         for at in range(0, len(p), 1 << 14):
@@ -417,37 +392,47 @@ def _still_open(meeting: DataFrame, labels: DataFrame, maps: DataFrame, t: Fract
                 m = min(int(sizes[i[k]] - np.bitwise_count(one & ~two).sum()), int(sizes[j[k]] - np.bitwise_count(two & ~one).sum()))
                 total = int(sizes[i[k]] + sizes[j[k]])
                 keep[at + k], score[at + k] = (den + num) * m >= num * total, m / max(total - m, 1)
-        return ids[p[keep]], ids[q[keep]], score[keep]
-
-    def groups(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return ids[p[keep]], ids[q[keep]], score[keep], group[keep]
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i, j, side, ids, comps, sizes = (table.column(c).to_numpy() for c in names[:-1])
+        maps = [np.frombuffer(x, U) for x in table.column("bits").to_pylist()]
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+        start, size = cut[:-1], np.diff(cut)
+        leaf = size <= 2 * LEAF
+        *first, group = small(start[leaf], size[leaf], ids, side, sizes, comps, maps, (i == j)[start[leaf]])
+        found, open_at = [first], [start[leaf][np.unique(group)]]
+        for k in np.flatnonzero(~leaf):
+            s = slice(start[k], start[k] + size[k])
+            found.append(traverse(ids[s], side[s], sizes[s], comps[s], maps[s], bool(i[s.start] == j[s.start])))
+            if len(found[-1][0]):
+                open_at.append(start[k : k + 1])
+        x, y, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        if not len(x):
+            return
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        if best:  # the likeliest of each document in these groups
+            order = np.lexsort((y, x, -score))
+            x, y, score = x[order], y[order], score[order]
+            x, y, score = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([score, score])
+            order = np.argsort(-score, kind="stable")
+            kept = order[np.unique(x[order], return_index=True)[1]]
+            x, y, score = x[kept], y[kept], score[kept]
+        else:
+            both, kept = np.unique(np.stack([x, y], 1), axis=0, return_index=True)
+            x, y, score = both[:, 0], both[:, 1], score[kept]
+        slot = (mix(mix(x.view(U)) ^ y.view(U)) % U(slots)).astype(np.int32)
+        order = np.argsort(slot, kind="stable")
+        ab, score, slot = np.stack([x, y], 1)[order], score[order], slot[order]
+        cut = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]]))
+        spans, out, at = list(zip(cut[:-1], cut[1:], strict=True)), ["slot", "pairs", "scores", "key", "i", "j"], np.concatenate(open_at)
+        n, m = len(spans), len(at)
+        yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]]), blob_column([ab[x:y].tobytes() for x, y in spans]), blob_column([score[x:y].tobytes() for x, y in spans]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], out)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(key[at]), pa.array(i[at]), pa.array(j[at])], out)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by group; a group may begin in one batch and end in another."""
-        names, held = ["key", "i", "j", "side", "id", "comp", "n", "bits"], None
-
-        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, i, j, side, ids, comps, sizes = (table.column(c).to_numpy() for c in names[:-1])
-            maps = [np.frombuffer(x, U) for x in table.column("bits").to_pylist()]
-            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
-            start, size = cut[:-1], np.diff(cut)
-            leaf = size <= 2 * LEAF
-            found = [small(start[leaf], size[leaf], ids, side, sizes, comps, maps, (i == j)[start[leaf]])]
-            for k in np.flatnonzero(~leaf):
-                s = slice(start[k], start[k] + size[k])
-                found.append(traverse(ids[s], side[s], sizes[s], comps[s], maps[s], bool(i[s.start] == j[s.start])))
-            x, y, score = (np.concatenate(c) for c in zip(*found, strict=True))
-            x, y = np.minimum(x, y), np.maximum(x, y)
-            if best:  # the likeliest of each document in these groups
-                order = np.lexsort((y, x, -score))
-                x, y, score = x[order], y[order], score[order]
-                x, y, score = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([score, score])
-                order = np.argsort(-score, kind="stable")
-                first = order[np.unique(x[order], return_index=True)[1]]
-                x, y, score = x[first], y[first], score[first]
-            elif len(x):
-                both, first = np.unique(np.stack([x, y], 1), axis=0, return_index=True)
-                x, y, score = both[:, 0], both[:, 1], score[first]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(score)], ["a", "b", "score"])
-
+        held = None
         for batch in rows:
             table = pa.Table.from_batches([batch]).select(names)
             table = table if held is None else pa.concat_tables([held, table])
@@ -459,11 +444,8 @@ def _still_open(meeting: DataFrame, labels: DataFrame, maps: DataFrame, t: Fract
         if held is not None and held.num_rows:
             yield from pairs(held)
 
-    sorted_rows = dealt.select("key", "i", "j", "side", "id", "comp", "n", "bits").repartition(partitions(meeting.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = sorted_rows.mapInArrow(groups, "a bigint, b bigint, score double")
-    if best:
-        found = found.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.select("a", "b").distinct()
+    dealt = rows.select(*names).repartition(partitions(groups.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return stored(dealt.mapInArrow(lean(run), "slot int, pairs binary, scores binary, key bigint, i int, j int"), "join-found")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -471,44 +453,44 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
 
     threshold is a decimal text, compared exactly. Ids are bigints; rows of one id are one document with the links of all its texts. Null and blank texts
     have the empty set and are linked with nothing (component: the own id); a row with a null id is linked with nothing and has a null component.
-    Other columns are ignored. Rows of equal sets form a class, and only its smallest id goes on.
+    Other columns are ignored. Rows of equal sets form a class, and only its smallest id goes on. Texts are read twice: for all signatures, and for the
+    sets of the documents that share one; tables that a later one replaces are deleted.
     """
-    t = Fraction(threshold)
+    t, spark = Fraction(threshold), docs.sparkSession
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(_signed(base, n, t), "join-signed")
     full = signed.where("n > 0 AND id IS NOT NULL")
     classes = stored(full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_class")), "join-classes")
-    first_of = classes.select("h1", "h2", F.col("rep").alias("id"))
     # only what may be of a class of several rows is joined with the smallest ids
-    several = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(classes.where("n_class > 1").select("h1")))
-    alone, copies = _passing(full, "h1", several, False), _passing(full, "h1", several)
-    reps = alone.select("id", "sigs").unionByName(copies.join(first_of, ["h1", "h2", "id"], "left_semi").select("id", "sigs"))
-    # every document that meets any, also one that is the smallest under all its keys (its row has no n and is no first pair)
-    ends = _met_once(reps).selectExpr("inline(array(struct(a AS id, n, -b AS b), struct(b AS id, NULL AS n, NULL AS b)))")
-    met = stored(ends.groupBy("id").agg(F.max(F.struct("n", "b")).alias("best")).select("id", "best.n", (-F.col("best.b")).alias("b")), "join-met")
-    first = met.where("n IS NOT NULL").select(F.col("id").alias("a"), "b")
-    wanted = met.select("id")
-    maps = stored(_sets(base, wanted, n, False), "join-maps")
-    active = stored(_passing(full, "id", docs.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted))).join(first_of, ["h1", "h2", "id"], "left_semi").join(wanted, "id", "left_semi").select("id", "sigs"), "join-active")
-    edges = stored(_linked(stored(_possible(first, maps, t), "join-possible"), base, n, t), "join-edges")
-
-    def labelled(linked: DataFrame) -> DataFrame:
-        return wanted.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
-
-    found_all, meeting = False, None
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS or found_all
-        labels = stored(labelled(components(edges)), "join-labels")
-        meeting = _meeting(active, labels) if meeting is None else meeting
-        more = stored(_still_open(meeting, labels, maps, t, not last), "join-possible")
-        new = stored(_linked(more, base, n, t), "join-edges")
-        edges = edges.unionByName(new)
-        if last:
-            break
-        found_all = new.count() < wanted.count() / 100  # hardly any likeliest partner is near, so what is left is compared as a whole
-    linked = components(edges).select(F.col("node").alias("rep"), "comp")
-    found = classes.join(linked, "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"), "n_class")
-    out = signed.select("id", "n", "h1", "h2").join(found, ["h1", "h2"], "left")
+    several = spark.sparkContext.broadcast(KeyFilter.of(classes.where("n_class > 1").select("h1")))
+    sigs = full.select("id", "h1", "h2", "sigs")
+    first_of = classes.select("h1", "h2", F.col("rep").alias("id"))
+    reps = passing(sigs, "h1", several, False).select("id", "sigs").unionByName(passing(sigs, "h1", several).join(first_of, ["h1", "h2", "id"], "left_semi").select("id", "sigs"))
+    meeting = stored(_meeting(reps), "join-meeting")
+    slim = stored(signed.select("id", "n", "h1", "h2"), "join-slim")
+    discard(signed)
+    wanted = meeting.select("id").distinct()
+    sets = stored(_sets(base, wanted, n), "join-sets")
+    oftenest = meeting.where("id != pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("minus"))).alias("best"))
+    first = stored(_possible(oftenest.select(F.col("id").alias("a"), (-F.col("best.minus")).alias("b")), sets, t), "join-possible")
+    labels = stored(wanted.select("id", F.col("id").alias("comp")), "labels")
+    labels = merged(labels, _linked(first, sets, t))
+    groups = _open_groups(meeting, labels)
+    discard(meeting, first)
+    for turn in range(TURNS + 1):
+        found = _traversed(groups, labels, sets, t, turn < TURNS)
+        pairs = _distinct_pairs(found)
+        if turn < TURNS:
+            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            still = stored(groups.join(found.where("slot IS NULL").select("key", "i", "j").distinct(), ["key", "i", "j"], "left_semi"), "join-groups")
+            discard(groups)
+            groups = still
+        pairs = stored(pairs.select("a", "b").distinct(), "join-possible")
+        labels = merged(labels, _linked(pairs, sets, t))
+        discard(found, pairs)
+    discard(groups, sets)
+    result = classes.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"), "n_class")
+    out = slim.join(result, ["h1", "h2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("comp"))).otherwise(F.col("id")).alias("component_id"), F.coalesce(F.when(F.col("n") > 0, F.col("n_class")), F.lit(1).cast("bigint")).alias("n_class"))
 
 
@@ -517,10 +499,14 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8",
 
     Null and blank texts are linked with nothing and stay (one row an id); rows with a null id stay.
     """
-    found = jaccard_components(docs, n, threshold, id_col, text_col)
-    name, order = free_name(docs, "dropped"), free_name(docs, "nth")
+    found = stored(jaccard_components(docs, n, threshold, id_col, text_col), "join-result")
+    name, order, id_ = free_name(docs, "key_of"), free_name(docs, "nth"), F.col(id_col).cast("bigint")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("bigint") == F.col(name), "left_anti")
-    apart = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())  # rows without an id don't meet
-    w = Window.partitionBy(id_col, apart).orderBy(F.xxhash64(text_col))
-    return kept.withColumn(order, F.row_number().over(w)).where(F.col(order) == 1).drop(order)
+    twice = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias(name))
+    # only rows that may go, or whose id may come again, are shuffled
+    known = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(gone.unionByName(twice)))
+    keyed = docs.withColumn(name, id_)
+    kept = passing(keyed, name, known).join(gone, name, "left_anti")
+    w = Window.partitionBy(name).orderBy(F.xxhash64(text_col))
+    kept = kept.withColumn(order, F.row_number().over(w)).where(F.col(order) == 1)
+    return passing(keyed, name, known, False).select(*docs.columns).unionByName(kept.select(*docs.columns))

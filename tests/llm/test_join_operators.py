@@ -99,6 +99,14 @@ def test_linked_sets_share_a_signature(t):
             assert len(np.intersect1d(signer.sign(a), signer.sign(b))), (len(a), len(b))
 
 
+@pytest.mark.parametrize("t", [Fraction("0.5"), Fraction("0.6"), Fraction("0.7"), Fraction("0.85")])
+def test_nested_sets_share_a_signature_at_low_thresholds(t):
+    signer, pick = ngram_join.Signer(t), np.random.default_rng(5)
+    whole = pick.permutation(np.unique(pick.integers(0, 2**64, 120, dtype=np.uint64)))
+    signs = {n: signer.sign(np.sort(whole[:n])) for n in range(1, 121)}
+    assert not [(n, m) for m in range(2, 121) for n in range(1, m) if Fraction(n, m) >= t and not len(np.intersect1d(signs[n], signs[m]))]
+
+
 def test_traversal_keeps_every_linked_pair():
     pick, t = np.random.default_rng(2), Fraction("0.8")
     sets = [np.unique(pick.integers(0, 2**64, int(pick.integers(5, 80)), dtype=np.uint64)) for _ in range(30)]
