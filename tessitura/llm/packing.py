@@ -9,89 +9,70 @@ from __future__ import annotations
 
 import json
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import batches, blob_column, partitions, stored, strings
-from tessitura.llm.token_counts import byte_symbols
+from tessitura.llm.common import batches, discard, lean, partitions, stored, strings
+from tessitura.llm.token_counts import PATTERN as SPELLED_PATTERN
+from tessitura.llm.token_counts import byte_symbols, local_file
 
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PIECES_OF_TEXT = regex.compile(SPELLED_PATTERN)
 K1, B = 1.2, 0.75
-KEY_BITS, SHARD_DOCS = 12, 1024
-KEPT = 1 << 19
-SHARD_SEQUENCES = 1 << 62
+#: Bits of a document's key and of the key's prefix (the driver sums documents by prefix), and documents of a shard.
+KEY_BITS, PREFIX_BITS, SHARD_DOCS = 24, 12, 1024
+#: Terms in more than this share of a shard's documents have a row of weights for all of them.
+COMMON = 1 / 8
+SHARD_SEQUENCES, SHARD_BITS = 1 << 62, 14
 
 
-class Uneven(Exception):
-    """Two white-space characters meet, or one begins or ends the text: it can't be cut at its spaces."""
-
-
-class Encoder(dict):
-    """Token ids as packed little-endian integers. A text is cut before each space and around each line end, which no token crosses where single
-    white-space characters stand between words; as a mapping it remembers the ids of words: with the space before them, or after a line end without."""
+class Encoder:
+    """Token ids of whole texts from a byte-level BPE file. Ids must follow the merge order, as ranks do."""
 
     def __init__(self, path: str):
-        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        byte = {s: b for b, s in enumerate(byte_symbols())}
+        byte, vocabulary = {s: b for b, s in enumerate(byte_symbols())}, spec["model"]["vocab"]
+        made = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
+        if any(x >= y for x, y in zip(made, made[1:], strict=False)):
+            raise ValueError("the ids of this vocabulary do not follow its merges")
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t["special"]}
-        ranks = {bytes(byte[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
+        ranks = {bytes(byte[c] for c in s): i for s, i in vocabulary.items() if s not in special}
         self.size = max([*ranks.values(), *special.values()]) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.specials = regex.compile("|".join(f"({regex.escape(x)})" for x in sorted(special, key=len, reverse=True)) or "(?!)")
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.special = tuple(special)
-        self.marks = {c: self.pack(c) for c in ",."}
-        self.line = self.pack("\n")
-        self.old: dict[str, bytes] = {}
-
-    def pack(self, text: str) -> bytes:
-        return array(self.code, self.bpe.encode(text, allowed_special="all")).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if word[-1:] in self.marks and word[-2:-1].isalpha():
-            return self[word[:-1]] + self.marks[word[-1]]
-        found = self.old.pop(word, None)
-        if found is None:
-            bare = word.removeprefix("\n")
-            if not bare or bare != bare.strip():
-                raise Uneven
-            found = array(self.code, self.bpe.encode_ordinary(bare if bare is not word else " " + word)).tobytes()
-        if len(word) <= 64:
-            if len(self) >= KEPT:
-                self.old = dict(self)
-                self.clear()
-            self[word] = found
-        return found
 
     def ids(self, text: str) -> np.ndarray:
-        if not text or any(s in text for s in self.special):
-            return np.frombuffer(self.pack(text), self.kind)
-        get, lines = self.__getitem__, []
         try:
-            for line in text.split("\n"):
-                first, *rest = line.split(" ")
-                lines.append(get("\n" + first) + b"".join(map(get, rest)))
-        except Uneven:
-            return np.frombuffer(self.pack(text), self.kind)
-        return np.frombuffer(self.line.join(lines), self.kind)
+            return self.bpe.encode_to_numpy(text, allowed_special="all").astype(self.kind)
+        except ValueError:  # the library's pattern gives up on very long runs of white space
+            return np.fromiter(self._piecewise(text), self.kind)
+
+    def _piecewise(self, text: str) -> Iterator[int]:
+        for part in self.specials.split(text):
+            if part in self.bpe.special_tokens_set:
+                yield self.bpe.encode_single_token(part)
+            else:
+                for m in PIECES_OF_TEXT.finditer(part):
+                    yield from self.bpe._encode_single_piece(m.group())
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    """One per worker process; its size is the vocabulary's."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(local_file(path))
     return _encoders[path]
 
 
@@ -104,7 +85,7 @@ def tokenised(docs: DataFrame, vocabulary: str, window: int, end: int) -> DataFr
 
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, seq = encoder(vocabulary), TaskContext.get().partitionId() << 33, 0
-        for batch in batches(rows, 8 << 20):
+        for batch in batches(rows, 4 << 20):
             out: list[list] = [[] for _ in range(6)]
             for text in strings(batch.column(1)).to_pylist():
                 ids = own.ids(text)
@@ -118,7 +99,7 @@ def tokenised(docs: DataFrame, vocabulary: str, window: int, end: int) -> DataFr
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["id", "tokens", "seq", "crcs", "tail", "terms", "counts"])
 
-    return docs.mapInArrow(make, "id bigint, tokens bigint, seq bigint, crcs array<bigint>, tail binary, terms binary, counts binary")
+    return docs.mapInArrow(lean(make), "id bigint, tokens bigint, seq bigint, crcs array<bigint>, tail binary, terms binary, counts binary")
 
 
 def corpus_statistics(rows: DataFrame, size: int, kind: np.dtype) -> tuple[np.ndarray, float]:
@@ -133,7 +114,7 @@ def corpus_statistics(rows: DataFrame, size: int, kind: np.dtype) -> tuple[np.nd
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["term", "df"])
 
     df = np.zeros(size, np.int64)
-    for term, n in rows.select("terms").mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for term, n in rows.select("terms").mapInArrow(lean(count), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[term] = n
     n, mean = rows.agg(F.count(F.lit(1)), F.avg("tokens")).first()
     return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), float(mean or 1.0)
@@ -141,36 +122,36 @@ def corpus_statistics(rows: DataFrame, size: int, kind: np.dtype) -> tuple[np.nd
 
 def _keyed(rows: DataFrame, idf: np.ndarray, kind: np.dtype) -> DataFrame:
     """Adds ``key``: the signs of KEY_BITS random projections of the idf-weighted terms."""
+    shared = rows.sparkSession.sparkContext.broadcast(idf)  # one number per vocabulary entry
 
     def make(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(7).standard_normal((len(idf), KEY_BITS)).astype(np.float32)
+        own = shared.value
+        planes = np.random.default_rng(7).standard_normal((len(own), KEY_BITS), np.float32)
         for batch in batches_:
-            terms, counts = batch.column("terms").to_pylist(), batch.column("counts").to_pylist()
             keys = []
-            for t, c in zip(terms, counts, strict=True):
+            for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 t = np.frombuffer(t, kind)
-                weight = idf[t] ** 2 * np.log1p(np.frombuffer(c, "<u2"))
+                weight = own[t] ** 2 * np.log1p(np.frombuffer(c, "<u2").astype(np.float32))
                 keys.append(int(((weight @ planes[t]) > 0) @ (1 << np.arange(KEY_BITS))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int32())], [*batch.schema.names, "key"])
 
-    return rows.mapInArrow(make, "id bigint, tokens bigint, seq bigint, tail binary, terms binary, counts binary, key int")
-
-
-def _shards(counts: dict[int, int], target: int) -> dict[int, tuple[int, int]]:
-    """key -> (first shard, number of shards): large keys are split, small ones that follow each other share a shard."""
-    out, shard, held = {}, 0, 0
-    for key in sorted(counts):
-        n = counts[key]
-        if n >= target:
-            shard += held > 0
-            out[key] = (shard, -(-n // target))
-            shard, held = shard + out[key][1], 0
-        else:
-            if held and held + n > target * 3 // 2:
-                shard, held = shard + 1, 0
-            out[key] = (shard, 1)
-            held += n
-    return out
+    return rows.mapInArrow(lean(make), "id bigint, tokens bigint, seq bigint, tail binary, terms binary, counts binary, key int")
+
+
+def _dealt(tails: DataFrame) -> DataFrame:
+    """Adds ``shard``: documents in a row by their keys, cut after each SHARD_DOCS.
+
+    So rare keys that follow each other share a shard, and a key that many documents share lies in many, in which they are dealt by a hash. The driver
+    sees a sum for each prefix of a key (2 ** PREFIX_BITS at most); running sums inside a prefix are a window's.
+    """
+    prefix = F.shiftright("key", KEY_BITS - PREFIX_BITS)
+    counts = tails.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("prefix", prefix)
+    sums = sorted((r["prefix"], r["n"]) for r in counts.groupBy("prefix").agg(F.sum("n").alias("n")).collect())
+    before = np.concatenate([[0], np.cumsum([n for _, n in sums])]).astype(int).tolist()
+    first = tails.sparkSession.createDataFrame([(p, at) for (p, _), at in zip(sums, before, strict=False)], "prefix int, at bigint")
+    running = F.sum("n").over(Window.partitionBy("prefix").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    places = counts.withColumn("till", running).join(F.broadcast(first), "prefix").select("key", "n", (F.col("at") + F.col("till") - F.col("n")).alias("start"))
+    return tails.join(places, "key").withColumn("shard", F.expr(f"CAST(floor((start + pmod(xxhash64(seq), n)) / {SHARD_DOCS}) AS BIGINT)"))
 
 
 class Index:
@@ -184,13 +165,23 @@ class Index:
         order = np.argsort(flat, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.start = np.searchsorted(flat[order], np.arange(len(idf) + 1))
+        common = np.flatnonzero(np.diff(self.start) > COMMON * self.n)
+        self.row = np.full(len(idf), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n), np.float32)
+        for i, x in enumerate(common):
+            s = slice(self.start[x], self.start[x + 1])
+            self.rows[i, self.doc[s]] = self.weight[s]
 
     def scores(self, seed: int) -> np.ndarray:
-        """Of all documents, for all terms of the seed."""
-        spans = [slice(self.start[x], self.start[x + 1]) for x in self.terms[seed]]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        """Of all documents, for all terms of the seed: rows of common terms added up, postings of the others counted."""
+        terms = self.terms[seed]
+        row = self.row[terms]
+        out = self.rows[row[row >= 0]].sum(0)
+        spans = [slice(self.start[x], self.start[x + 1]) for x in terms[row < 0]]
+        if spans:
+            out = out + np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        return out
 
 
 def fill_windows(index: Index, lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
@@ -249,21 +240,19 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end: int = 0, id_
 
     A document is its token ids and then ``end``; each id lies in exactly one piece. Null texts are empty (the end id alone); null ids and repeated rows
     are packed as rows of their own; other columns are ignored; an empty table gives no pieces. Texts are read and tokenised once, into a table in the
-    shared folder. Shards hold about SHARD_DOCS documents whatever the corpus; a key that many documents share is dealt over many shards.
+    shared folder. Shards hold about SHARD_DOCS documents whatever the corpus.
+    vocabulary: a path that exists on every executor, or a name given to ``SparkContext.addFile``.
     """
     own = encoder(vocabulary)
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = stored(tokenised(base, vocabulary, window, end), "pack-tokens")
     size, kind = own.size, own.kind
     idf, mean = corpus_statistics(rows, size, kind)
-    whole = rows.select("id", "tokens", "seq", F.posexplode("crcs").alias("i", "crc")).selectExpr("id", f"CAST(i AS BIGINT) * {window} AS start", f"{window}L AS length", "crc AS ids_crc32", "tokens AS doc_tokens", "seq + i AS sequence_id", "0L AS offset")
     tails = stored(_keyed(rows.where("length(tail) > 0").drop("crcs"), idf, kind), "pack-tails")
-    shards = _shards({r["key"]: r["count"] for r in tails.groupBy("key").count().collect()}, SHARD_DOCS)  # 2 ** KEY_BITS keys at most
-    if not shards:
-        return whole.withColumnRenamed("id", id_col)
-    spark = docs.sparkSession
-    places = F.broadcast(spark.createDataFrame([(k, *v) for k, v in shards.items()], "key int, first int, n int"))
-    dealt = tails.join(places, "key").withColumn("shard", F.expr("first + CAST(pmod(xxhash64(seq), n) AS INT)"))
+    long = stored(rows.where("size(crcs) > 0").select("id", "tokens", "seq", "crcs"), "pack-whole")
+    discard(rows)
+    whole = long.select("id", "tokens", "seq", F.posexplode("crcs").alias("i", "crc")).selectExpr("id", f"CAST(i AS BIGINT) * {window} AS start", f"{window}L AS length", "crc AS ids_crc32", "tokens AS doc_tokens", "seq + i AS sequence_id", "0L AS offset")
+    dealt, shared = _dealt(tails), docs.sparkSession.sparkContext.broadcast(idf)
 
     def fill(group: pa.Table) -> pa.Table:
         group = group.sort_by([("seq", "ascending")])
@@ -272,7 +261,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end: int = 0, id_
         counts = [np.frombuffer(x, "<u2") for x in group.column("counts").to_pylist()]
         tokens, ids, shard = group.column("tokens").to_numpy(), group.column("id").to_pylist(), group.column("shard")[0].as_py()
         lengths = np.array([len(x) for x in tail])
-        made = fill_windows(Index(terms, counts, tokens.astype(np.float32), idf, mean), lengths, window)
+        made = fill_windows(Index(terms, counts, tokens.astype(np.float32), shared.value, mean), lengths, window)
         last = made[-1]
         if sum(p[2] for p in last) < window:
             made[-1:] = powers(last)
@@ -280,10 +269,10 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end: int = 0, id_
         for s, pieces in enumerate(made):
             offset = 0
             for i, at, n in pieces:
-                out.append((ids[i], int(tokens[i]) - int(lengths[i]) + at, n, crc(tail[i][at : at + n]), int(tokens[i]), SHARD_SEQUENCES | shard << 24 | s, offset))
+                out.append((ids[i], int(tokens[i]) - int(lengths[i]) + at, n, crc(tail[i][at : at + n]), int(tokens[i]), SHARD_SEQUENCES | shard << SHARD_BITS | s, offset))
                 offset += n
         names = [x.split()[0] for x in PIECES.split(", ")]
         return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-    packed = dealt.select("shard", "seq", "id", "tokens", "tail", "terms", "counts").repartition(partitions(spark), "shard").groupBy("shard").applyInArrow(fill, PIECES)
+    packed = dealt.select("shard", "seq", "id", "tokens", "tail", "terms", "counts").repartition(partitions(docs.sparkSession), "shard").groupBy("shard").applyInArrow(fill, PIECES)
     return whole.unionByName(packed).withColumnRenamed("id", id_col)

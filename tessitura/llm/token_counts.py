@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from tessitura.llm.common import batches, strings
 SPACE = r"\t\n\v\f\r\x85\p{Z}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Pieces up to this length and this many of them (and as many older ones) are remembered by a task.
-KEPT_CHARS, KEPT_PIECES = 64, 1 << 18
+KEPT_CHARS, KEPT_PIECES = 64, 1 << 16
 PLACE = (1 << 40) - 1
 
 
@@ -55,6 +56,10 @@ class MergeCounter(dict):
             self[piece] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.old.clear()
+
     def merge(self, symbols: str) -> int:
         """Merges the lowest-ranked adjacent pair, the leftmost of equals, until none is left; O(n log n)."""
         n, ranks = len(symbols), self.ranks
@@ -96,13 +101,18 @@ class MergeCounter(dict):
         return sum(self[m.group()] for m in self.pattern.finditer(text))
 
 
+def local_file(path: str) -> str:
+    """A path that exists here, or that of a file given to ``SparkContext.addFile``."""
+    return path if os.path.exists(path) else SparkFiles.get(path)
+
+
 _loaded: dict[str, MergeCounter] = {}
 
 
 def counter(path: str) -> MergeCounter:
-    """One per worker process."""
+    """One per worker process; a task forgets its pieces at its end."""
     if path not in _loaded:
-        _loaded[path] = MergeCounter.from_file(path)
+        _loaded[path] = MergeCounter.from_file(local_file(path))
     return _loaded[path]
 
 
@@ -115,13 +125,12 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     """
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        own = counter(vocabulary if os.path.exists(vocabulary) else SparkFiles.get(vocabulary))
+        own = counter(vocabulary)
         for batch in batches(rows):
             texts = strings(batch.column(1))
             n = [own.count(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
+        own.forget()
 
     kept = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     out = kept.mapInArrow(count, f"id {kept.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")

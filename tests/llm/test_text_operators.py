@@ -117,10 +117,21 @@ def test_bm25_scores_count_all_terms_of_a_long_seed():
     assert [bool(x > 0) for x in index.scores(0)] == [True, True, True, False]
 
 
-def test_large_keys_are_split_into_shards():
-    shards = packing._shards({0: 10, 1: 5000, 2: 20, 3: 30}, 1000)
-    assert shards[1][1] == 5 and len({f + i for f, n in shards.values() for i in range(n)}) >= 6
-    assert shards[2] == shards[3]
+def test_large_keys_are_split_into_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 100)
+    keys = [0] * 10 + [1 << 20] * 1000 + [(1 << 20) + 1] * 20 + [1 << 23] * 30
+    rows = packing._dealt(spark.createDataFrame(list(zip(keys, range(len(keys)), strict=True)), "key int, seq bigint")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["key"])
+    assert len(rows) == len(keys) and max(by) == 10 and all(50 <= len(by[s]) <= 150 for s in range(10))
+    assert len({r["shard"] for r in rows if r["key"] == 1 << 20}) == 11 and {r["shard"] for r in rows if r["key"] in ((1 << 20) + 1, 1 << 23)} == {10}
+
+
+def test_encoder_takes_very_long_white_space(tokenizer):
+    own = packing.Encoder(PATH)
+    for text in (" " * 300_000, "a<|endoftext|>b" + " \n" * 200_000 + "x é", "x" * 300_000):
+        assert own.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_simhash_of_odd_rows(spark):
