@@ -117,6 +117,16 @@ def level_from_mark(mark: Column) -> Column:
     return F.coalesce(F.try_element_at(pairs, F.lower(F.trim(mark))), F.lit("Other"))
 
 
+def audio_articulation(mark: Column) -> Column:
+    """A score's articulation as a detector names it: accents are Marcato."""
+    return F.when(mark == "Accent", "Marcato").otherwise(mark)
+
+
+def audio_level(level: Column) -> Column:
+    """A score's level as a detector names it: other marks are mf."""
+    return F.when(level == "Other", "mf").otherwise(level)
+
+
 def level_from_word(word: Column) -> Column:
     """A direction's word -> level, null for other words."""
     pairs = F.create_map(*[F.lit(x) for kv in {**{x: x for x in LEVELS}, **WORD_LEVEL}.items() for x in kv])
@@ -139,10 +149,6 @@ def override_velocity(dynamics: Column) -> Column:
     return F.least(F.greatest(dynamics / 100.0 * 90.0, F.lit(1.0)), F.lit(127.0)).cast("int")
 
 
-def attack_slope(peak: Column, onset: Column, rise: Column) -> Column:
-    return (peak - onset) / F.greatest(rise, F.lit(0.001))
-
-
 def articulation(duration: Column, legato: Column, slope: Column, rise: Column, crest: Column, velocity: Column, profile: dict[str, Column]) -> Column:
     """Legato before Marcato (a steep short attack, or a loud one with a high crest) before Staccato before Tenuto before Normal."""
     struck = (slope >= profile["rise_min_slope"] * 100.0) & (rise <= profile["rise_max_s"]) | (velocity >= 90) & (crest >= 15.0)

@@ -35,6 +35,11 @@ def exists(table: DataFrame, keys: DataFrame, key: str = "mxl") -> DataFrame:
     return keys.select(key).join(saved, key, "left").withColumn("saved", F.coalesce("saved", F.lit(False)))
 
 
+def by_key(table: DataFrame, keys: DataFrame, key: str = "mxl") -> DataFrame:
+    """The sheets of the given keys, one row for each key that is saved."""
+    return table.join(keys.select(key).distinct(), key, "left_semi")
+
+
 def search(table: DataFrame, query: str, *columns: str) -> DataFrame:
     """Rows of which a column contains the query, without case; all for a blank one."""
     if not query.strip():

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 def positions(elements: DataFrame, measure: list[str], order: list[str], delta: str, chord: str) -> DataFrame:
     """Adds ``start``: the cursor before each element. Elements move it by ``delta`` (backups are negative), never below 0; a chord element shares the start of
-    the one before and does not move it. A fold over a measure's elements, which are few."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(delta).cast("bigint").alias("_d"), F.col(chord).alias("_c"), F.struct(*elements.columns).alias("_row"))))
-    fold = """aggregate(_rows, named_struct('at', 0L, 'last', 0L, 'out', CAST(array() AS array<bigint>)),
-        (s, x) -> if(x._c, named_struct('at', s.at, 'last', s.last, 'out', array_append(s.out, s.last)),
-            named_struct('at', greatest(0L, s.at + x._d), 'last', s.at, 'out', array_append(s.out, s.at))), s -> s.out)"""
-    folded = elements.groupBy(*measure).agg(rows.alias("_rows")).withColumn("_starts", F.expr(fold))
-    return folded.select(F.explode(F.arrays_zip(F.col("_rows._row").alias("row"), F.col("_starts").alias("start"))).alias("z")).select("z.row.*", F.col("z.start").alias("start"))
+    the one before and does not move it. The cursor is the running sum less its least value so far, where that is negative."""
+    w = Window.partitionBy(*measure).orderBy(*order)
+    running, chord_ = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), F.coalesce(F.col(chord), F.lit(False))
+    df = elements.withColumn("_sum", F.sum(F.when(chord_, 0).otherwise(F.coalesce(F.col(delta).cast("bigint"), F.lit(0)))).over(running))
+    df = df.withColumn("_after", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(running)))
+    df = df.withColumn("_before", F.when(~chord_, F.coalesce(F.lag("_after").over(w), F.lit(0))))
+    return df.withColumn("start", F.coalesce(F.last("_before", ignorenulls=True).over(running), F.lit(0)).cast("bigint")).drop("_sum", "_after", "_before")
 
 
 def carried(df: DataFrame, column: str, part: list[str], *order: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +34,14 @@ def islands(activations: DataFrame, keys: list[str], index: str, time_ms: str, f
     """
     w = Window.partitionBy(*keys).orderBy(index)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = w.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, -1)  # backwards, so that a row is one step
     active = F.coalesce(F.col(frame_p) >= frame_thr, F.lit(False))
     df = activations.withColumn("_active", active)
     before = F.coalesce(F.lag("_active").over(w), F.lit(False))
     df = df.withColumn("_start", F.col("_active") & (~before | (F.coalesce(F.col(onset_p), F.lit(0.0)) >= onset_thr)))
     df = df.withColumn("_no", F.sum(F.col("_start").cast("int")).over(running))
     ends = F.when(F.col("_start") | ~F.col("_active"), F.col(time_ms))
-    return df.withColumn("until", F.first(ends, ignorenulls=True).over(later)).withColumn("note", F.when(F.col("_active"), F.col("_no"))).drop("_active", "_start", "_no")
+    return df.withColumn("until", F.last(ends, ignorenulls=True).over(later)).withColumn("note", F.when(F.col("_active"), F.col("_no"))).drop("_active", "_start", "_no")
 
 
 def accumulated(rows: DataFrame, keys: list[str], index: str, time_ms: str, dbfs: str, cents: str, crest: str, thump: str, centroid: str, sones: str) -> DataFrame:
@@ -75,12 +77,14 @@ def ends(notes: DataFrame, profiles: DataFrame, instrument: str, legato: Column
     return df.where(F.col("note_duration") >= LEAST_SECONDS).drop(*chosen.columns)
 
 
-def harmonic_sieve(frames: DataFrame, keys: list[str], probabilities: str, decay: float = 0.0002, harmonics: int = 6, lowest: int = 21, bins: int = 88) -> DataFrame:
-    """Adds ``sieved``: the probabilities with those bins at 0 whose strength a lower tone's overtones explain."""
-    each = frames.select(*keys, F.posexplode(probabilities).alias("bin", "p"))
-    loud = each.where("p > 0.4").withColumn("h", F.explode(F.sequence(F.lit(2), F.lit(harmonics))))
-    target = F.round(F.lit(69.0) + 12.0 * F.log2(theory.midi_to_hz(F.col("bin") + F.lit(lowest)) * F.col("h") / 440.0)).cast("int") - lowest
-    leak = F.col("p") / F.pow(F.col("h").cast("double"), F.lit(1.2)) * (1.0 - F.lit(decay) * F.col("h"))
-    mask = loud.select(*keys, target.alias("bin"), leak.alias("leak")).where((F.col("bin") >= 0) & (F.col("bin") < bins)).groupBy(*keys, "bin").agg(F.max("leak").alias("leak"))
-    kept = each.join(mask, [*keys, "bin"], "left").withColumn("p", F.when((F.col("leak") > 0) & (F.col("p") <= F.col("leak") + 0.15), 0.0).otherwise(F.col("p")))
-    return kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "p"))), lambda x: x["p"]).alias("sieved"))
+def harmonic_sieve(frames: DataFrame, probabilities: str, decay: float = 0.0002, harmonics: int = 6, lowest: int = 21, bins: int = 88) -> DataFrame:
+    """Adds ``sieved``: the probabilities with those bins at 0 whose strength a lower tone's overtones explain. A frame is its own row: no shuffle.
+
+    The h-th harmonic of every key is a fixed number of semitones above it, so the leak into a bin is the largest over the harmonics of what the key so
+    far below gives off.
+    """
+    above = [(h, round(12 * math.log2(h))) for h in range(2, harmonics + 1)]
+    sources = [f"(if(b >= {up} AND get(_p, b - {up}) > 0.4D, get(_p, b - {up}) / {h**1.2!r}D * {1.0 - decay * h!r}D, 0D))" for h, up in above]
+    leak = f"greatest(0D, {', '.join(sources)})"
+    sieved = f"transform(_p, (p, b) -> if(b < {bins} AND {leak} > 0 AND p <= {leak} + 0.15D, 0D, p))"
+    return frames.withColumn("_p", F.col(probabilities).cast("array<double>")).withColumn("sieved", F.expr(sieved)).drop("_p")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,28 +20,47 @@ def candidates(frames: DataFrame, stream: str, index: str, novelty: str, loudnes
 
     Only frames with a whole window count. Where ``loudness`` is given, quieter frames are left out.
     """
+    return marked(overlapped(frames, index, side, side), stream, index, novelty, loudness, least_loudness, side, deviations).where("own AND candidate").select(*frames.columns)
+
+
+def marked(spread: DataFrame, stream: str, index: str, novelty: str, loudness: Column | None = None, least_loudness: float = -45.0, side: int = SIDE, deviations: float = DEVIATIONS) -> DataFrame:
+    """``candidate`` beside overlapped frames."""
     w = within(stream, index, side, side)
-    spread = overlapped(frames, index, side, side)
     x = F.col(novelty)
     judged = spread.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_most", F.max(x).over(w)).withColumn("_middle", F.expr(f"percentile({novelty}, 0.5)").over(w)).withColumn("_spread", F.stddev_pop(x).over(w))
-    keep = F.col("own") & (F.col("_n") == 2 * side + 1) & (x > 0) & (x >= F.col("_most")) & (x >= F.col("_middle") + F.lit(deviations) * F.col("_spread"))
+    keep = (F.col("_n") == 2 * side + 1) & (x > 0) & (x >= F.col("_most")) & (x >= F.col("_middle") + F.lit(deviations) * F.col("_spread"))
     if loudness is not None:
         keep = keep & (loudness >= least_loudness)
-    return judged.where(keep).select(*frames.columns)
+    return judged.withColumn("candidate", keep).drop("_n", "_most", "_middle", "_spread")
 
 
 def debounced(found: DataFrame, stream: str, time_ms: str, distance_ms: int, start_ms: int = 0) -> DataFrame:
-    """(stream, time): candidates more than ``distance_ms`` after the one accepted last; that is ``start_ms`` at first. A fold over a stream's candidates."""
-    times = found.groupBy(stream).agg(F.array_sort(F.collect_list(F.col(time_ms).cast("bigint"))).alias("_t"))
-    fold = f"""aggregate(_t, named_struct('last', {start_ms}L, 'kept', CAST(array() AS array<bigint>)),
-        (s, x) -> if(x > s.last + {distance_ms}L, named_struct('last', x, 'kept', array_append(s.kept, x)), s), s -> s.kept)"""
-    return times.select(stream, F.explode(F.expr(fold)).alias(time_ms))
+    """(stream, time): candidates more than ``distance_ms`` after the one accepted last; that is ``start_ms`` at first. Null times are left out.
+
+    Times are sorted by Spark and pass in batches; all that is carried of a stream is the time accepted last.
+    """
+    times = found.select(stream, F.col(time_ms).cast("bigint").alias(time_ms)).where(F.col(time_ms).isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = object(), start_ms
+        for batch in batches:
+            at, keys, kept = batch.column(1).to_numpy(), batch.column(0).to_pylist(), []
+            ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
+            begin = 0
+            for end in ends if keys else []:
+                if keys[begin] != key:
+                    key, last = keys[begin], start_ms
+                while (begin := begin + int(np.searchsorted(at[begin:end], last + distance_ms, side="right"))) < end:
+                    kept.append(begin)
+                    last = int(at[begin])
+                begin = end
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return times.repartition(stream).sortWithinPartitions(stream, time_ms).mapInArrow(run, times.schema)
 
 
 def rising_edges(frames: DataFrame, stream: str, index: str, probability: str, threshold: float) -> DataFrame:
     """Adds ``edge``: at or above the threshold and not below the frame before (0 before the first)."""
     spread = overlapped(frames, index, 1, 0)
-
-
     before = F.coalesce(F.lag(probability).over(Window.partitionBy(stream, "block").orderBy(index)), F.lit(0.0))
     return spread.withColumn("edge", (F.col(probability) >= threshold) & (F.col(probability) >= before)).where("own").drop("block", "own")

@@ -117,6 +117,16 @@ class Open:
         }
 
 
+def loudness_of(f: dict, midi: int) -> float | None:
+    """Sones of a key in a frame that has them."""
+    return (f.get("sones") or {}).get(midi)
+
+
+def struck(midi: int, f: dict, rise: float | None = None) -> Open:
+    """A key's note as a frame begins it."""
+    return Open(midi, 0, f["energy"], f["ts_ms"], f.get("crest", 0.0), f.get("thump", -180.0), f.get("centroid", 0.0), sones=loudness_of(f, midi), rise=rise)
+
+
 def reported(event: dict) -> list[dict]:
     """Ends of too short notes are not reported."""
     return [event] if event["kind"] == "start" or event["duration_s"] >= LEAST_S else []
@@ -168,7 +178,7 @@ class MonoSegmenter:
                 return [*out, self._open(midi, cents, f, onset)]
             if onset is not None and onset < note.strike:
                 note.strike = onset
-            note.add(f["dbfs"], half_up((where - note.midi) * 100), f.get("centroid", 0.0))
+            note.add(f["dbfs"], half_up((where - half_up(where)) * 100), f.get("centroid", 0.0))  # from the nearest semitone
             note.last = ts
             return []
         if found is None:
@@ -214,7 +224,7 @@ class KeySegmenter:
         self.p = profile(self.instrument)
 
     def step(self, f: dict) -> list[dict]:
-        """f: ts_ms, energy, keys {midi: (onset, frame)}."""
+        """f: ts_ms, energy, keys {midi: (onset, frame)}, and where known crest, thump, centroid and sones {midi: loudness}."""
         ts, out = f["ts_ms"], []
         for midi in sorted({*f["keys"], *self.notes}):
             onset, frame = f["keys"].get(midi, (0.0, 0.0))
@@ -225,10 +235,10 @@ class KeySegmenter:
             elif note is None or onset >= self.onset_thr:
                 if note:
                     out += reported(note.end(ts, self.p))
-                self.notes[midi] = Open(midi, 0, f["energy"], ts)
+                self.notes[midi] = struck(midi, f)
                 out.append(self.notes[midi].start())
             else:
-                note.add(f["energy"], 0, 0.0)
+                note.add(f["energy"], 0, f.get("centroid", 0.0), loudness_of(f, midi))
                 note.last = ts
         return out
 
@@ -256,7 +266,7 @@ class PedalSegmenter:
         self.p = profile(self.instrument)
 
     def _open(self, midi: int, f: dict, vel: int) -> dict:
-        self.notes[midi], self.velocities[midi], self.locked[midi] = Open(midi, 0, f["energy"], f["ts_ms"], rise=0.020), vel, LOCKOUT
+        self.notes[midi], self.velocities[midi], self.locked[midi] = struck(midi, f, rise=0.020), vel, LOCKOUT
         self.alive.discard(midi)
         return self.notes[midi].start(vel)
 
@@ -270,7 +280,7 @@ class PedalSegmenter:
         return reported(end)
 
     def step(self, f: dict) -> list[dict]:
-        """f: ts_ms, energy, pedal (onset, offset, frame), keys {midi: (onset, frame, offset, velocity)}."""
+        """f: ts_ms, energy, pedal (onset, offset, frame), keys {midi: (onset, frame, offset, velocity)}, and as for KeySegmenter."""
         onset, offset, frame = f["pedal"]
         if frame >= 0.50 or onset >= 0.40:
             self.pedal = True
@@ -286,15 +296,15 @@ class PedalSegmenter:
             active, off = frame >= self.frame_thr, offset >= OFFSET_P
             vel = 64 if vel != vel else int(half_up(clamp(vel, 1, 127)))
             note = self.notes.get(midi)
-            struck = spike and lock == 0
+            again = spike and lock == 0
             if note is None:
                 ringing = frame >= SUSTAIN_P and not off and f["energy"] > -50
-                if struck or (ringing and midi not in self.alive):
+                if again or (ringing and midi not in self.alive):
                     out.append(self._open(midi, f, vel))
                 continue
-            note.add(f["energy"], 0, 0.0)
+            note.add(f["energy"], 0, f.get("centroid", 0.0), loudness_of(f, midi))
             note.last = ts
-            if struck:
+            if again:
                 out += [*self._close(midi, ts, None), self._open(midi, f, vel)]
             elif off or not active:
                 out += self._close(midi, ts, "PedalSustained" if self.pedal else "DryDamped")
@@ -306,6 +316,7 @@ class PedalSegmenter:
         out = [e for midi in sorted(self.notes) for e in self._close(midi, ts, None)]
         self.alive.clear()
         self.velocities.clear()
+        self.pedal = False
         return out
 
 
@@ -385,22 +396,19 @@ class Envelope:
 
 
 @dataclass
-class StubScorer:
-    """A deterministic stand-in for a neural scorer: zero crossings give the key, the level gives the probabilities."""
-
-    before: float = -120.0
-    hint: int | None = None
-
-    def step(self, samples: list[float], rate: float, energy: float) -> dict[int, tuple[float, float]]:
-        delta, self.before = energy - self.before, energy
-        if energy < -50:
-            self.hint = None
-            return {}
-        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(samples, samples[1:], strict=False))
-        hz = crossings * rate / (2 * max(len(samples), 1))
-        if not 27.5 <= hz <= 4186:
-            return {}
-        key, norm = half_up(midi_of(hz)) - 21, clamp((energy + 50) / 45, 0, 1)
-        onset = (delta > 3 or (self.hint is None and energy > -45) or (self.hint != key and energy > -35 and delta > -0.5)) and delta >= -1.5
-        self.hint = key
-        return {key + 21: (0.7 + 0.3 * norm if onset else 0.0, 0.6 + 0.4 * norm)}
+class Listening:
+    """A segmenter behind the silence gate and the onset debounce. Frames carry ``candidate_ms``, the time of a candidate that this frame confirms, and
+    ``hushed``; a hushed frame ends all notes."""
+
+    machine: object
+    distance_ms: int = 60
+    last: int = 0
+
+    def step(self, f: dict) -> list[dict]:
+        onset = f.get("candidate_ms")
+        onset = onset if onset is not None and onset > self.last + self.distance_ms else None
+        self.last = self.last if onset is None else onset
+        return self.machine.finalize(f["ts_ms"]) if f["hushed"] else self.machine.step(f | {"onset_ms": onset})
+
+    def finalize(self, ts: int) -> list[dict]:
+        return self.machine.finalize(ts)

@@ -35,11 +35,6 @@ def log_mel(frame: Column, bands: int = dsp.MEL_BANDS, rate: int = dsp.MEL_RATE)
     return F.pandas_udf(make, "array<double>")(frame)
 
 
-def square_difference(frame: Column) -> Column:
-    """Normalised square difference by lag."""
-    return _mapped("array<double>", lambda x: dsp.difference(x).tolist())(frame)
-
-
 def polyphony(frame: Column) -> Column:
     """Strength of the first pitch and of the best unrelated one beside it."""
 
@@ -87,24 +82,16 @@ def filtered(hops: DataFrame, hpf_hz: float, ceiling_hz: float, stream: str = "s
             for key, rate, xs in zip(batch[stream], batch["sample_rate"], batch["samples"], strict=True):
                 if key != current:
                     current, stages, thump = key, dsp.band_pass(hpf_hz, ceiling_hz, rate), dsp.Biquad(*dsp.biquad("low", dsp.THUMP_HZ, rate))
+                    levels.append(None)  # the thump is heard from the second hop on, the first that is new to a frame
+                else:
+                    low = thump(np.asarray(xs, float))
+                    levels.append(float(20 * np.log10(np.sqrt((low @ low) / max(len(low), 1)) + 1e-9)))
                 xs = np.asarray(xs, float)
-                low = thump(xs)
-                levels.append(20 * np.log10(np.sqrt((low @ low) / max(len(low), 1)) + 1e-9))
                 for stage in stages:
                     xs = stage(xs)
                 samples.append(xs.tolist())
-            yield batch.assign(samples=samples, thump_dbfs=levels)
+            yield batch.assign(samples=samples, thump_dbfs=pd.array(levels, "Float64"))
 
     kept = hops.select(stream, "hop_idx", "sample_rate", F.col("samples").cast("array<double>").alias("samples"))
     schema = f"{stream} {kept.schema[stream].dataType.simpleString()}, hop_idx bigint, sample_rate int, samples array<double>, thump_dbfs double"
     return kept.repartition(stream).sortWithinPartitions(stream, "hop_idx").mapInPandas(run, schema)
-
-
-def resampled(hops: DataFrame, to: int, stream: str = "stream_id") -> DataFrame:
-    """(stream, sample_rate, samples): each hop resampled by its spectrum to the rate ``to``."""
-
-    @F.pandas_udf("array<double>")
-    def apply(samples: pd.Series, rates: pd.Series) -> pd.Series:
-        return pd.Series([dsp.resample(np.asarray(x, float), int(r), to).tolist() for x, r in zip(samples, rates, strict=True)])
-
-    return hops.select(stream, "hop_idx", F.lit(to).alias("sample_rate"), apply("samples", "sample_rate").alias("samples"))

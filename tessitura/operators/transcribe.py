@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: What every segmenter's events have in common.
-EVENTS = "kind string, midi int, cents int, strike_ms bigint, dbfs double, velocity int, dynamic string, duration_s double, articulation string, damping string, is_mashed boolean, is_flat boolean"
+EVENTS = "kind string, midi int, cents int, strike_ms bigint, dbfs double, velocity int, dynamic string, duration_s double, articulation string, damping string, is_mashed boolean, is_flat boolean, rise_s double, slope double, centroid double, avg_sones double"
 COLUMNS = [c.split()[0] for c in EVENTS.split(", ")]
 
 
@@ -25,7 +26,8 @@ def events_frame(events: list[tuple[object, dict]], stream: str) -> pd.DataFrame
 def folded(frames: DataFrame, machine: Callable[[], object], stream: str = "stream_id", order: str = "ts_ms", frame: Callable[[dict], dict] = plain) -> DataFrame:
     """Events of one machine per stream. A frame whose ``is_silent`` is true ends all its notes and is not given to the machine; so does the stream's end.
 
-    The machine's state is sequential, so a stream is one task's work; its frames are sorted by Spark and pass through in batches, never gathered.
+    The machine's state is sequential, so a stream is one task's work; its frames are sorted by Spark and pass through in batches, never gathered. Frames
+    of one time come in the order of a hash of their values, the same in every run; frames without a time are left out.
     """
     kind = frames.schema[stream].dataType.simpleString()
 
@@ -44,4 +46,6 @@ def folded(frames: DataFrame, machine: Callable[[], object], stream: str = "stre
         if own is not None:
             yield events_frame([(key, e) for e in own.finalize(last)], stream)
 
-    return frames.repartition(stream).sortWithinPartitions(stream, order).mapInPandas(run, f"{stream} {kind}, {EVENTS}")
+    plain_ = [c for c, kind_ in frames.dtypes if "map<" not in kind_]
+    timed = frames.where(F.col(order).isNotNull()).repartition(stream).withColumn("_tie", F.xxhash64(*plain_)).sortWithinPartitions(stream, order, "_tie").drop("_tie")
+    return timed.mapInPandas(run, f"{stream} {kind}, {EVENTS}")

@@ -30,13 +30,17 @@ def numbered(df: DataFrame, stream: str, *order: str) -> DataFrame:
     return df.withColumn("frame_idx", F.row_number().over(Window.partitionBy(stream).orderBy(*order)).cast("bigint") - 1)
 
 
-def frames(hops: DataFrame, hop: int, stream: str = "stream_id", index: str = "hop_idx", samples: str = "samples") -> DataFrame:
-    """Overlapping frames of two hops: each hop and the next one, zero-filled after the last. Adds ``frame``."""
+def frames(hops: DataFrame, hop: int, stream: str = "stream_id", index: str = "hop_idx", samples: str = "samples", newest: dict[str, float] | None = None) -> DataFrame:
+    """Overlapping frames of two hops: each hop and the next one, zero-filled after the last. Adds ``frame``.
+
+    newest: columns that a frame takes from its second hop, with the values of a missing one.
+    """
     spread = overlapped(hops, index, 0, 1)
     w = Window.partitionBy(stream, "block").orderBy(index)
     pad = lambda xs: F.slice(F.concat(F.coalesce(xs, F.expr("CAST(array() AS array<double>)")), F.array_repeat(F.lit(0.0), hop)), 1, hop)
     own = F.col(samples).cast("array<double>")
-    return spread.withColumn("frame", F.concat(pad(own), pad(F.lead(own).over(w)))).where("own").drop("block", "own")
+    later = {c: F.coalesce(F.lead(c).over(w), F.lit(value)) for c, value in (newest or {}).items()}
+    return spread.withColumns({"frame": F.concat(pad(own), pad(F.lead(own).over(w))), **later}).where("own").drop("block", "own")
 
 
 def frame_count(n_samples: Column, hop: int, hangover: int = 5) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessitura.functions import theory
 from tessitura.functions.profiles import instrument_profiles
 from tessitura.operators import notes, onsets
-from tessitura.operators.windows import numbered
+from tessitura.operators.windows import numbered, overlapped
 
 HALF_DAY = 12 * 3600 * 1000
 KEYS = ("click", "error", "purchase", "signup", "view")
@@ -45,8 +45,9 @@ SQL_ONSET_DETECTION = f"""WITH RECURSIVE {SQL_CANDIDATES}, o AS (
 
 def spectral_flux_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rises of the novelty against the frame before (0 before the first)."""
-    w = Window.partitionBy("user_id").orderBy("frame_idx")
-    return frames(spark, sf_dir).select("user_id", "frame_idx", F.round(F.greatest(F.lit(0.0), F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0.0))), 6).alias("flux"))
+    w = Window.partitionBy("user_id", "block").orderBy("frame_idx")
+    df = overlapped(frames(spark, sf_dir), "frame_idx", 1, 0).withColumn("flux", F.round(F.greatest(F.lit(0.0), F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0.0))), 6))
+    return df.where("own").select("user_id", "frame_idx", "flux")
 
 
 SQL_FLUX = f"WITH {SQL_FRAMES} SELECT user_id, frame_idx, round(greatest(0, value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY frame_idx), 0)), 6) AS flux FROM f"

@@ -32,8 +32,9 @@ SQL_FEATURES = f"""WITH v AS (SELECT vec_id, {X} AS x FROM embeddings), w AS (SE
 
 def spectral_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _vectors(spark, sf_dir).withColumn("m", F.transform("x", F.abs))
-    before = F.lag("m").over(Window.partitionBy("label").orderBy("vec_id"))
-    return df.withColumn("before", before).select("vec_id", F.round(signal.spectral_flux(F.col("m"), F.col("before")), 5).alias("flux"))
+    df = win.overlapped(win.numbered(df, "label", "vec_id"), "frame_idx", 1, 0)
+    before = F.lag("m").over(Window.partitionBy("label", "block").orderBy("frame_idx"))
+    return df.withColumn("before", before).where("own").select("vec_id", F.round(signal.spectral_flux(F.col("m"), F.col("before")), 5).alias("flux"))
 
 
 SQL_FLUX = f"""WITH v AS (SELECT vec_id, label, list_transform({X}, lambda a: abs(a)) AS m FROM embeddings), b AS (SELECT *, lag(m) OVER (PARTITION BY label ORDER BY vec_id) AS l FROM v)
@@ -63,8 +64,8 @@ SQL_FRAMES = f"""WITH v AS (SELECT vec_id, label, list_sum(list_transform({X}, l
 
 def mel_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last four vectors of a label as one context, oldest first, padded with the log floor."""
-    w = Window.partitionBy("label").orderBy("vec_id").rowsBetween(-3, 0)
-    df = _vectors(spark, sf_dir).withColumn("seen", F.flatten(F.collect_list("x").over(w)))
+    df = win.overlapped(win.numbered(_vectors(spark, sf_dir), "label", "vec_id"), "frame_idx", 3, 0)
+    df = df.withColumn("seen", F.flatten(F.collect_list("x").over(win.within("label", "frame_idx", 3, 0)))).where("own")
     context = F.concat(F.array_repeat(F.lit(-11.5129), F.lit(256) - F.size("seen")), F.col("seen"))
     return df.select("vec_id", F.size(context).alias("n"), F.round(signal.total(context), 5).alias("total"))
 
@@ -95,7 +96,7 @@ SQL_COUNT = "WITH n AS (SELECT doc_id, ceil((n_chars + 2560) / 512)::BIGINT AS n
 
 def harmonic_sieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     probabilities = F.transform("x", lambda a: F.least(F.abs(a) * 3.0, F.lit(1.0)))
-    out = notes.harmonic_sieve(_vectors(spark, sf_dir).withColumn("p", probabilities), ["vec_id"], "p")
+    out = notes.harmonic_sieve(_vectors(spark, sf_dir).withColumn("p", probabilities), "p")
     return out.select("vec_id", F.posexplode("sieved").alias("bin", "p")).select("vec_id", "bin", F.round("p", 6).alias("p"))
 
 

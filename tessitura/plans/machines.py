@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessitura.operators import playback, segmenters
+from tessitura.operators import playback, samples, segmenters
 from tessitura.operators.tempo import TempoTracker
 from tessitura.operators.transcribe import folded, plain
 from tessitura.plans.events import frames
@@ -80,23 +80,6 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded(_detected(spark, sf_dir).drop("is_silent"), Beats).select("stream_id", F.col("strike_ms").alias("ts_ms"), (60.0 / F.col("duration_s")).alias("bpm"))
 
 
-def stub_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of a label as hops of a stream, scored by the stand-in."""
-
-    def run(batches):
-        key, own = None, None
-        for batch in batches:
-            out = []
-            for vec, label, xs in zip(batch["vec_id"], batch["label"], batch["embedding"], strict=True):
-                if own is None or label != key:
-                    key, own = label, segmenters.StubScorer()
-                out += [(vec, midi, onset, frame) for midi, (onset, frame) in own.step(list(xs), 8000.0, -20.0 + float(xs[0]) * 20).items()]
-            yield pd.DataFrame(out, columns=["vec_id", "midi", "onset_p", "frame_p"])
-
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").repartition("label").sortWithinPartitions("label", "vec_id")
-    return rows.mapInPandas(run, "vec_id bigint, midi int, onset_p double, frame_p double")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as scores: an order is a measure, some with repeats; its lines are notes."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -130,7 +113,32 @@ def played_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_PLAYED = """WITH n AS (SELECT o_custkey, o_orderkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL), r AS (SELECT *, max(CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey END) OVER (PARTITION BY o_custkey) AS last FROM n)
     SELECT o_custkey::VARCHAR AS score, sum(n * CASE WHEN o_orderkey <= last THEN 2 ELSE 1 END)::BIGINT AS notes, sum(CASE WHEN o_orderkey <= last THEN 2 ELSE 1 END)::BIGINT AS measures FROM r GROUP BY 1"""
 
+def volta_playback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as scores of their orders; of every four measures the first opens a repeat, the next are its first and second ending."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    bars = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("score"), (F.row_number().over(w) - 1).alias("measure"))
+    row = lambda kind, ord_, value=None: F.struct(F.lit(kind).alias("kind"), F.lit(value).cast("string").alias("value"), F.lit(ord_).alias("ord"))
+    own = F.when(F.col("measure") % 4 == 0, F.array(row("Measure", 0), row("RepeatStart", 1))).when(F.col("measure") % 4 == 1, F.array(row("Measure", 0), row("EndingStart", 1, "1"), row("EndingStop", 2, "1"), row("RepeatEnd", 3)))
+    own = own.when(F.col("measure") % 4 == 2, F.array(row("Measure", 0), row("EndingStart", 1, "2"), row("EndingStop", 2, "2"))).otherwise(F.array(row("Measure", 0)))
+    rows = bars.select(F.col("score").cast("string").alias("score"), "measure", F.inline(own)).withColumn("times", F.lit(None).cast("int"))
+    return playback.playback(rows)
+
+
+SQL_VOLTAS_PLAYED = """WITH b AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS measure, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+    s AS (SELECT *, unnest(CASE measure % 4 WHEN 0 THEN CASE WHEN measure + 1 < n THEN [0, 2] ELSE [0] END WHEN 1 THEN [1] WHEN 2 THEN [3] ELSE [4] END) AS slot FROM b)
+    SELECT o_custkey::VARCHAR AS score, (row_number() OVER (PARTITION BY o_custkey ORDER BY measure // 4, slot) - 1)::INT AS pos, measure::INT AS measure FROM s"""
+
+
+def heard_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a nation as a stream of samples, each a tone with a rest after it; the notes that are heard."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    tones = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_nationkey", F.row_number().over(w).alias("nth"), (F.lit(440.0) * F.pow(F.lit(2.0), (F.col("s_suppkey") % 24 - 12) / 12.0)).alias("hz"))
+    hops = tones.select(F.col("s_nationkey").alias("stream_id"), ((F.col("nth") - 1) * 24).alias("first"), "hz", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("k"))
+    value = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.when(F.col("k") < 18, F.lit(0.5) * F.sin(F.lit(2 * math.pi) * F.col("hz") * (F.col("k") * 512 + i) / 44100.0)).otherwise(0.0))
+    return samples.notes(hops.select("stream_id", (F.col("first") + F.col("k")).cast("bigint").alias("hop_idx"), F.lit(44100).alias("sample_rate"), value.alias("samples")))
+
+
 QUERIES = {
-    "mono_notes": (mono_notes, None), "pedalled_notes": (pedalled_notes, None), "hybrid_notes": (hybrid_notes, None), "envelope_notes": (envelope_notes, None), "beats": (beats, None), "stub_scores": (stub_scores, None),
-    "score_parse": (score_parse, SQL_PARSE), "played_notes": (played_notes, SQL_PLAYED),
+    "mono_notes": (mono_notes, None), "pedalled_notes": (pedalled_notes, None), "hybrid_notes": (hybrid_notes, None), "envelope_notes": (envelope_notes, None), "beats": (beats, None),
+    "volta_playback": (volta_playback, SQL_VOLTAS_PLAYED), "heard_notes": (heard_notes, None), "score_parse": (score_parse, SQL_PARSE), "played_notes": (played_notes, SQL_PLAYED),
 }

@@ -237,11 +237,11 @@ def best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as input configurations of their supplier as device."""
     pick = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (c % len(values) + 1).cast("int"))
     df = _read(spark, sf_dir, "lineitem").select("l_suppkey", pick((1, 2, 4, 6), F.col("l_partkey")).alias("channels"), pick((44100, 48000, 96000, 16000), F.col("l_orderkey")).alias("rate"), pick(("F32", "I32", "I16", "U16"), F.col("l_linenumber")).alias("format"))
-    return measures.first_config(df.where("channels > 2 OR rate > 48000").distinct(), "l_suppkey")
+    return measures.first_config(df.distinct(), "l_suppkey")
 
 
 SQL_CONFIG = """WITH c AS (SELECT DISTINCT l_suppkey, [1, 2, 4, 6][l_partkey % 4 + 1] AS channels, [44100, 48000, 96000, 16000][l_orderkey % 4 + 1] AS rate, ['F32', 'I32', 'I16', 'U16'][l_linenumber % 4 + 1] AS format FROM lineitem),
-    t AS (SELECT *, CASE WHEN channels <= 2 AND rate IN (44100, 48000) THEN 1 WHEN rate IN (44100, 48000) THEN 2 WHEN channels <= 2 THEN 3 ELSE 4 END::INT AS tier FROM c WHERE channels > 2 OR rate > 48000)
+    t AS (SELECT *, CASE WHEN channels <= 2 AND rate IN (44100, 48000) THEN 1 WHEN rate IN (44100, 48000) THEN 2 WHEN channels <= 2 THEN 3 ELSE 4 END::INT AS tier FROM c)
     SELECT l_suppkey, channels, rate, format, tier FROM t QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY tier, CASE WHEN tier >= 3 THEN -rate ELSE 0 END, list_position(['F32', 'I32', 'I16', 'U16'], format), rate, channels) = 1"""
 
 
@@ -316,14 +316,47 @@ SQL_RESPONSE = "SELECT p_name AS title, p_brand AS composer, p_size AS song_leng
 
 
 def library_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sheets with their place, the last saved first."""
+    """The composers of the library, the one with the last saved sheet first."""
     ranked = sheets(spark, sf_dir).groupBy("composer").agg(F.max("saved_at").alias("saved_at"), F.count(F.lit(1)).alias("n"))
     return ranked.orderBy(F.desc("saved_at"))
 
 
 SQL_LISTING = f"WITH {SQL_SHEETS} SELECT composer, max(saved_at) AS saved_at, count(*) AS n FROM s GROUP BY 1 ORDER BY 2 DESC"
 
+def score_to_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names as marks: their level as a detector names it, articulations, and a name as a command line takes it."""
+    mark = F.element_at(F.array(*[F.lit(x) for x in ("ppp", "sfz", "mf", "n", "FFF", "x", " p ")]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("Normal", "Accent", "Marcato", "Legato", "Tenuto")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    level = theory.level_from_mark(mark)
+    return _read(spark, sf_dir, "part").select("p_partkey", level.alias("level"), theory.audio_level(level).alias("audio_level"), theory.audio_articulation(kind).alias("audio_articulation"), theory.alias_key(F.concat(F.lit("Alto-"), F.col("p_brand"), F.lit("_x y"))).alias("alias"))
+
+
+SQL_AUDIO = f"""WITH m AS (SELECT p_partkey, p_brand, lower(trim(['ppp', 'sfz', 'mf', 'n', 'FFF', 'x', ' p '][p_partkey % 7 + 1])) AS mark, ['Normal', 'Accent', 'Marcato', 'Legato', 'Tenuto'][p_partkey % 5 + 1] AS kind FROM part),
+    l AS (SELECT *, CASE WHEN mark IN ('ppp', 'pp', 'p', 'mp', 'mf', 'f', 'ff', 'fff') THEN mark {' '.join(f"WHEN mark = '{k}' THEN '{v}'" for k, v in theory.MARK_LEVEL.items())} ELSE 'Other' END AS level FROM m)
+    SELECT p_partkey, level, CASE WHEN level = 'Other' THEN 'mf' ELSE level END AS audio_level, CASE WHEN kind = 'Accent' THEN 'Marcato' ELSE kind END AS audio_articulation,
+    replace(replace(replace(lower('Alto-' || p_brand || '_x y'), '-', ''), '_', ''), ' ', '') AS alias FROM l"""
+
+
+def library_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of some keys, with the defaults of a table for what is missing."""
+    own = sheets(spark, sf_dir).withColumn("genres", F.lit(None).cast("string")).withColumn("song_length_bars", F.when(F.col("saved_at") % 2 == 0, F.col("song_length_bars")))
+    keys = own.where("saved_at % 3 = 0").select("mxl")
+    return library.with_defaults(library.by_key(own, keys)).select("mxl", "saved_at", "genres", "song_length_bars")
+
+
+SQL_BY_KEY = f"WITH {SQL_SHEETS}, k AS (SELECT DISTINCT mxl FROM s WHERE saved_at % 3 = 0) SELECT mxl, coalesce(saved_at, 0) AS saved_at, '' AS genres, CASE WHEN saved_at % 2 = 0 THEN coalesce(song_length_bars, 0) ELSE 0 END AS song_length_bars FROM s WHERE mxl IN (SELECT mxl FROM k)"
+
+
+def library_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets inserted only where their key is absent."""
+    own = sheets(spark, sf_dir)
+    return library.insert_absent(own.where("saved_at % 4 != 0"), own.withColumn("saved_at", F.col("saved_at") + 1)).groupBy("mxl").agg(F.count(F.lit(1)).alias("n"), F.max("saved_at").alias("saved_at"))
+
+
+SQL_INSERTS = f"WITH {SQL_SHEETS}, t AS (SELECT * FROM s WHERE saved_at % 4 <> 0), u AS (SELECT mxl, saved_at FROM t UNION ALL SELECT mxl, saved_at + 1 FROM s WHERE mxl NOT IN (SELECT mxl FROM t)) SELECT mxl, count(*) AS n, max(saved_at) AS saved_at FROM u GROUP BY 1"
+
 QUERIES = {
+    "score_to_audio": (score_to_audio, SQL_AUDIO), "library_by_key": (library_by_key, SQL_BY_KEY), "library_inserts": (library_inserts, SQL_INSERTS),
     "note_names": (note_names, SQL_NOTE_NAMES), "pitch_scales": (scales, SQL_SCALES), "loudness_levels": (loudness_levels, SQL_LEVELS), "articulations": (articulations, SQL_ARTICULATIONS), "pitch_range": (pitch_range, SQL_RANGE),
     "voicing": (voicing, SQL_VOICING), "direction_words": (direction_words, SQL_DIRECTIONS), "volta_passes": (volta_passes, SQL_VOLTAS), "tempo_names": (tempo_names, SQL_TEMPO), "sounding_pitch": (sounding_pitch, SQL_SOUNDING),
     "cursor_positions": (cursor_positions, SQL_CURSOR), "carried_state": (carried_state, SQL_CARRIED), "note_clusters": (note_clusters, SQL_CLUSTERS), "distinct_attributes": (distinct_attributes, SQL_DISTINCT),

@@ -62,7 +62,7 @@ def wav_hops(files: DataFrame, name: str = "path", content: str = "content") ->
                 except ValueError as e:
                     yield pd.DataFrame({"stream_id": [stream], "hop_idx": [None], "sample_rate": [None], "samples": [None], "error": [str(e)]})
                     continue
-                n = -(-(len(x) + HANGOVER * HOP) // HOP) + 1
+                n = -(-(len(x) + HANGOVER * HOP) // HOP)  # a frame begins at each; what follows the last is silent
                 padded = np.concatenate([x, np.zeros(n * HOP - len(x))])
                 for first in range(0, n, 256):
                     part = padded[first * HOP : (first + 256) * HOP].reshape(-1, HOP)

@@ -108,7 +108,7 @@ def test_wav_hops_and_rejects(spark):
     assert rate == 44100 and x.tolist() == [0.25, -0.5]
     files = [("good", wav(np.zeros(1000))), ("empty", wav([])), ("slow", wav([1], rate=4000)), ("text", b"hello"), ("none", None)]
     df = audio.wav_hops(spark.createDataFrame([(a, None if b is None else bytearray(b)) for a, b in files], "path string, content binary"))
-    assert df.where("stream_id = 'good' AND error IS NULL").count() == 8 and df.where("size(samples) != 512").count() == 0
+    assert df.where("stream_id = 'good' AND error IS NULL").count() == 7 and df.where("size(samples) != 512").count() == 0
     assert sorted(r["stream_id"] for r in df.where("error IS NOT NULL").collect()) == ["empty", "none", "slow", "text"]
 
 
@@ -122,6 +122,29 @@ def test_numbers_of_voltas():
     assert [playback.includes(n, t) for n, t in (("1", 1), ("1, 2", 2), ("1.", 1), ("1-3", 2), ("1 2", 2), (None, 1))] == [True, True, True, True, False, False]
 
 
+def jump(kind):
+    return {"kind": "Jump", "value": kind, "times": None}
+
+
+BACK = {"kind": "RepeatEnd", "value": None, "times": None}
+
+
+@pytest.mark.parametrize(("measures", "want"), [
+    ([[jump("Segno")], [jump("DaCapo")], [jump("DalSegno")]], [0, 1, 0, 1, 2]),  # one jump in all
+    ([[], [BACK, jump("DaCapo")], []], [0, 1, 0, 1, 2]),  # a jump goes before the repeat of its measure, which then counts as taken
+    ([[], [BACK, jump("Fine")], [jump("DaCapo")], []], [0, 1, 0, 1, 2, 0, 1]),  # Fine ends at once, also in a measure with a repeat
+    ([[jump("ToCoda")], [jump("DaCapo")], [], [jump("Coda")]], [0, 1, 0, 3]),
+    ([[], [{**BACK, "times": 4}], []], [0, 1] * 4 + [2]),
+    ([], []),
+])
+def test_scripts_of_jumps(measures, want):
+    assert playback.order(measures) == want
+
+
+def test_endless_repeats_stop():
+    assert len(playback.order([[{**BACK, "times": 10**6}]])) == 1024
+
+
 @pytest.mark.parametrize("bad", [b"", b"<a", b"PK\x03\x04zz"])
 def test_broken_documents_raise(bad):
     with pytest.raises((ValueError, SyntaxError, zipfile.BadZipFile)):

@@ -93,19 +93,56 @@ def test_envelope_reattacks_after_a_dip():
     assert kinds(got) == [["start"], [], [], [], [], [], ["end", "start"], ["end"]] and got[6][0]["rise_s"] == pytest.approx(0.04)
 
 
-def test_stub_scorer_names_the_key():
-    x = np.sin(2 * np.pi * 440 * np.arange(2048) / 44100 + 0.1)
-    s = S.StubScorer()
-    first, again = s.step(x.tolist(), 44100, -10.0), s.step(x.tolist(), 44100, -10.0)
-    assert list(first) == [69] and first[69][0] > 0.7 and again[69][0] == 0.0 and s.step(x.tolist(), 44100, -60.0) == {}
-
-
 def test_tempo_of_impulses():
     t = TempoTracker()
     out = [t.step(2.0 if i % 43 == 0 else 0.0) for i in range(600)]
     assert abs(out[-1]["bpm"] - 120) < 15 and 10 <= sum(o["beat"] for o in out[100:]) <= 16
 
 
+def test_cents_are_those_of_the_nearest_semitone():
+    m = S.MonoSegmenter()
+    m.step(mono(440, 0.95, -10, None, 1000))
+    for i in range(9):
+        m.step(mono(440 * 2 ** (0.6 / 12), 0.95, -10, None, 1012 + 12 * i))
+    assert m.finalize(1200)[0]["cents"] == -36
+
+
+def test_keys_carry_what_the_frame_says():
+    frame = lambda ts, p, sones: {"ts_ms": ts, "energy": -20.0, "crest": 17.0, "thump": -10.0, "centroid": 900.0, "keys": {60: (0.0, p)}, "sones": {60: sones}}
+    m = S.KeySegmenter("Piano")
+    start = m.step(frame(0, 0.9, 8.0))[0]
+    m.step(frame(100, 0.9, 2.0))
+    end = m.step(frame(200, 0.1, 0.0))[0]
+    assert start["dynamic"] == S.level(S.phons(8.0), S.PHONS) and end["is_mashed"] and end["centroid"] == 900.0 and end["avg_sones"] == pytest.approx(5.0)
+    m = S.PedalSegmenter()
+    m.step({**frame(0, 0.9, 4.0), "pedal": (0.0, 0.0, 0.9), "keys": {60: (0.9, 0.9, 0.0, 80.0)}})
+    assert m.pedal and m.finalize(100)[0]["is_mashed"] and not m.pedal
+
+
+def test_keys_by_state_equal_keys_by_windows(spark):
+    from tessitura.functions.profiles import instrument_profiles
+    from tessitura.operators import notes
+
+    rng, rows = np.random.default_rng(9), []
+    for s in range(3):
+        for i in range(120):
+            for midi in (60, 64):
+                rows.append((s, midi, i, 1000 + 20 * i, float(rng.choice([0.1, 0.9], p=[0.3, 0.7])), float(rng.choice([0.0, 0.8], p=[0.8, 0.2])), float(rng.uniform(-40, -5)), 0, 15.5, -10.0, 700.0, float(rng.uniform(0.5, 9))))
+    names = "stream int, midi int, frame_idx int, ts_ms bigint, frame_p double, onset_p double, dbfs double, cents int, crest double, thump double, centroid double, sones double"
+    df = spark.createDataFrame(rows, names)
+    found = notes.accumulated(notes.islands(df, ["stream", "midi"], "frame_idx", "ts_ms", "frame_p", "onset_p", 0.4, 0.5), ["stream", "midi"], "frame_idx", "ts_ms", "dbfs", "cents", "crest", "thump", "centroid", "sones")
+    ends = {(r["stream"], r["midi"], r["strike_ms"]): (r["note_duration"], r["velocity"], r["dynamic"], r["articulation"], r["is_mashed"]) for r in notes.ends(found, instrument_profiles(spark), "Piano").collect()}
+    want = {}
+    for s in range(3):
+        for midi in (60, 64):  # an energy of its own for each key, so one machine a key
+            m = S.KeySegmenter("Piano")
+            for r in (r for r in rows if r[:2] == (s, midi)):
+                for e in m.step({"ts_ms": r[3], "energy": r[6], "crest": r[8], "thump": r[9], "centroid": r[10], "keys": {midi: (r[5], r[4])}, "sones": {midi: r[11]}}):
+                    if e["kind"] == "end":
+                        want[s, midi, e["strike_ms"]] = (e["duration_s"], e["velocity"], e["dynamic"], e["articulation"], e["is_mashed"])
+    assert ends == want and len(want) > 40
+
+
 def stream_rows():
     rng = np.random.default_rng(4)
     rows = []
