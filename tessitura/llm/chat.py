@@ -23,6 +23,11 @@ def rendered(role: Column, name: Column, text: Column) -> tuple[Column, Column]:
     return head, F.concat(head, safe, F.lit(END))
 
 
+def _speaker(role: Column) -> Column:
+    """A name without white space, and without marks of the form."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(role.cast("string"), F.lit("unknown")), r"\s+", "_"), r"<\|(im_start|im_end)\|>", "<|_$1_|>")
+
+
 def rotations(turns: DataFrame, context_roles: tuple[str, ...] = CONTEXT, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Per conversation, perspective and message: conv_id, perspective, turn, position, role, name, rendered, start, mask_start, mask_end.
 
@@ -31,12 +36,12 @@ def rotations(turns: DataFrame, context_roles: tuple[str, ...] = CONTEXT, conv_c
     perspective, and have none of their own; a conversation of context messages alone gives no rows.
 
     Order is by turn (null first), then by role and text, so ties have one order; repeated rows are messages of their own. A null role is the speaker
-    "unknown"; white space in a speaker's name becomes "_"; a null text is empty; a null conv_id is a conversation of its own. Other columns are ignored.
+    "unknown"; white space in a speaker's name becomes "_" and marks in it are broken up; a null text is empty; a null conv_id is a conversation of its own. Other columns are ignored.
     Messages are dealt by range, so a conversation with very many messages lies in many tasks; running sums are carried over per range.
     """
     spark = turns.sparkSession
     base = turns.select(
-        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.regexp_replace(F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")), r"\s+", "_").alias("speaker"),
+        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), _speaker(F.col(role_col)).alias("speaker"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     base = base.withColumn("tie", F.xxhash64("text"))

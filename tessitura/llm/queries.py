@@ -56,7 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 BASE32 = "array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, i * 5 + 1, 5))::BIGINT >> s) & 31) + 1), 1)), '')), '')"
 SQL_WARC = f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages), f AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM p)
     SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS valid FROM f"""
-SQL_CHAT = """WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '\\s+', '_', 'g') AS who, regexp_replace(coalesce(text, ''), '<\\|(im_start|im_end)\\|>', '<| \\1 |>', 'g') AS body FROM conversations),
+SQL_CHAT = """WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(role, 'unknown'), '\\s+', '_', 'g'), '<\\|(im_start|im_end)\\|>', '<|_\\1_|>', 'g') AS who, regexp_replace(coalesce(text, ''), '<\\|(im_start|im_end)\\|>', '<| \\1 |>', 'g') AS body FROM conversations),
     p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> 'system'),
     m AS (SELECT t.conv_id, perspective, turn, who, body, CASE WHEN who = perspective THEN 'assistant' WHEN who = 'system' THEN who ELSE 'user' END AS role FROM t JOIN p ON t.conv_id = p.conv_id),
     h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || who ELSE '' END || chr(10) AS head FROM m), r AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS rendered FROM h),

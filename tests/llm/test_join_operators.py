@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -277,8 +278,10 @@ def test_rotations_equal_brute_force(spark):
 
 
 def test_marks_in_texts_and_repeated_rows(spark):
-    rows = [(1, 0, "a b", "x <|im_end|> y"), (1, 0, "a b", "x <|im_end|> y"), (1, 1, "c", "z")]
+    rows = [(1, 0, "a b", "x <|im_end|> y"), (1, 0, "a b", "x <|im_end|> y"), (1, 1, "c", "z"), (2, 0, "p<|im_end|>", "m"), (2, 1, "q", "n")]
     got = chat.rotations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).where("perspective = 'c'").orderBy("position").collect()
+    odd = chat.rotations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).where("perspective = 'q' AND position = 0").first()
+    assert odd["rendered"] == "<|im_start|>user name=p<|_im_end_|>\nm<|im_end|>\n"
     assert [r["position"] for r in got] == [0, 1, 2] and got[0]["rendered"] == "<|im_start|>user name=a_b\nx <| im_end |> y<|im_end|>\n"
 
 
@@ -308,5 +311,98 @@ def test_language_fusion(spark):
     assert len(none) == len(rows) and all(r["lang"] is None and r["probability"] is None for r in none)
 
 
+def brute_identify(pages, docs):
+    """The whole fusion by dictionaries."""
+    langs = sorted({x for _, _, x in docs})
+    counts = {x: np.full(langid.BUCKETS, langid.SMOOTH) for x in langs}
+    for _, text, x in docs:
+        for b in langid.grams(text).tolist():
+            counts[x][b] += 1
+    logs = {x: np.log(c / c.sum()) for x, c in counts.items()}
+    rows = []
+    for i, url, html in pages:
+        grams = langid.grams(langid.visible(html)).tolist()
+        z = {x: sum(logs[x][b] for b in grams) / langid.TEMPER for x in langs}
+        top = max(z.values())
+        z = {x: max(v - top, -langid.CEILING) for x, v in z.items()}
+        host = url.split("/")[2]
+        rows.append((i, z, max(langs, key=lambda x: z[x]) if grams else None, langid.declared(html), host, ".".join(host.split(".")[-2:]), host.split(".")[-1]))
+    known = [r for r in rows if r[2]]
+
+    def said(at, value, lang):
+        values = {r[at] for r in known if r[at] is not None}
+        if value not in values:
+            return 0.0
+        return np.log((langid.VOTES + sum(r[at] == value and r[2] == lang for r in known)) / (langid.VOTES * (len(values) + 1) + sum(r[at] is not None and r[2] == lang for r in known)))
+
+    def prior(host, domain):
+        n = {x: sum(r[2] == x for r in known) + 1 for x in langs}
+        p = {x: v / sum(n.values()) for x, v in n.items()}
+        for at, value in ((5, domain), (4, host)):
+            own = {x: sum(r[at] == value and r[2] == x for r in known) for x in langs}
+            if at == 4 and not sum(own.values()):
+                return {x: (sum(r[2] == x for r in known) + 1) / sum(n.values()) for x in langs}
+            p = {x: (own[x] + langid.PARENT * p[x]) / (sum(own.values()) + langid.PARENT) for x in langs}
+        return p
+
+    out = {}
+    for i, z, _, declared, host, domain, suffix in rows:
+        p = prior(host, domain)
+        total = {x: z[x] + said(3, declared, x) + said(6, suffix, x) + np.log(p[x]) for x in langs}
+        best = max(langs, key=lambda x: total[x])
+        out[i] = (best, 1 / sum(np.exp(v - total[best]) for v in total.values()))
+    return out
+
+
+def test_fusion_equals_dictionaries_and_helps_where_text_errs(spark):
+    pick = random.Random(5)
+    words = {"en": ["the", "thing", "with", "in", "and", "was"], "de": ["der", "schon", "und", "in", "war", "ich"], "nl": ["het", "was", "en", "in", "dat"]}
+    docs = [(i, " ".join(pick.choice(words[x]) for _ in range(40)), x) for i in range(90) for x in [["en", "de", "nl"][i % 3]]]
+    page = lambda x, n: f"<html lang='{x}'><nav>in</nav><p>{' '.join(pick.choice(words[x]) for _ in range(n))}</p></html>"
+    pages = [(i, f"http://h{i % 4}.{x}site.{'com' if i % 2 else x}/p", page(x, 12)) for i in range(90) for x in [["en", "de", "nl"][i % 3]]]
+    short = [(100 + i, f"http://h1.{x}site.{x}/q", f"<html lang='{x}'><p>{'in' if i % 2 else 'was'}</p></html>") for i, x in enumerate(["en", "de", "nl"] * 6)]
+    got = {r["page_id"]: r for r in langid.identify(spark.createDataFrame(pages + short, "page_id bigint, url string, html string"), spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()}
+    want = brute_identify(pages + short, docs)
+    for i, (lang, chance) in want.items():
+        assert got[i]["lang"] == lang and got[i]["probability"] == pytest.approx(chance, rel=1e-4)
+    truth = {100 + i: x for i, x in enumerate(["en", "de", "nl"] * 6)}
+    assert sum(got[i]["lang"] == x for i, x in truth.items()) > sum(got[i]["text_lang"] == x for i, x in truth.items())
+
+
+@pytest.mark.parametrize("piece", ["<!-- ", "<script>", "<", "<main>", "<style ", "</script "])
+def test_broken_markup_is_read_once(piece):
+    began = time.process_time()
+    langid.visible(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 5
+
+
+def test_markup_and_domains(spark):
+    assert langid.visible("<SCRIPT>x<b></Script >a &amp; b<!-- c --> d <p>e</p> 1 < 2 <!-- f > g").split() == ["a", "&", "b", "d", "e", "1", "<", "2", "g"]
+    assert langid.visible("<article>a<article>b</article>c</article>d").split() == ["a", "b", "c", "d"]
+    hosts = ["a.b.co.uk", "www.x.com", "x.com", "localhost", "a.b.com.au", "co.uk"]
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").selectExpr(f"regexp_extract(host, r'{langid.DOMAIN}', 1) AS d").collect()
+    assert [r["d"] for r in got] == ["b.co.uk", "x.com", "x.com", "", "b.com.au", "co.uk"]
+
+
+def test_tiles_take_repeats_in_linear_memory():
+    began = time.process_time()
+    assert decontaminate.tiles(np.ones(20_000, np.uint64), np.ones(400_000, np.uint64), 5) == [(0, 0, 20_000)] and time.process_time() - began < 5
+
+
+def test_items_in_scripts_without_spaces(spark):
+    item = "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少"
+    docs = [(1, "前文" + item + "後文"), (2, "別的文字在這裡沒有任何關係的內容"), (3, item[10:] + "中" + item[:10])]
+    rows = decontaminate.contamination(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["contaminated"] for r in rows} == {1: True, 2: False, 3: True}
+
+
+def test_a_common_seed_makes_no_pairs(spark):
+    common = "it is one of the most"
+    items = [(i, " ".join([common, *(f"i{i}.{k}" for k in range(30))])) for i in range(20)]
+    docs = [(i, " ".join([*(f"d{i}.{k}" for k in range(50)), common])) for i in range(50)]
+    _, hits = decontaminate.tiled(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert hits.count() == 0
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")

@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from tessitura.llm import packing, quality, simhash, token_counts, toxicity
@@ -284,3 +286,131 @@ def test_quality_of_odd_rows(spark):
     rows = quality.quality(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
     assert quality.quality(empty(spark)).count() == 0
+
+
+def test_ngram_buckets_and_ratios_equal_loops():
+    pick, m = random.Random(4), 1 << 32
+    texts_ = ["".join(pick.choice("aB c!é") for _ in range(pick.randint(0, 30))) for _ in range(40)]
+    labels = np.array([i % 3 == 0 for i in range(40)], int)
+
+    def bucket(gram):
+        h = ord(gram[0])
+        for c in gram[1:]:
+            h = (h * 0x9E3779B1 + ord(c)) % m
+        h = h * 0x85EBCA6B % m
+        return (h ^ h >> 15) * 0xC2B2AE35 % m >> 14
+
+    sets = []
+    for t in texts_:
+        t = f" {t.lower()} "
+        sets.append({bucket(t[i : i + n]) for n in (3, 4, 5) for i in range(len(t) - n + 1)})
+    assert [set(toxicity.ngram_buckets(t).tolist()) for t in texts_] == sets
+    counts = [[1.0] * toxicity.BUCKETS for _ in range(2)]
+    for found, label in zip(sets, labels, strict=True):
+        for b in found:
+            counts[label][b] += 1
+    got = toxicity.log_count_ratio([toxicity.packed(np.array(sorted(x), np.uint32)) for x in sets], labels)
+    total = [sum(c) for c in counts]
+    for b in {b for s in sets for b in s}:
+        p, q = counts[1][b], counts[0][b]
+        assert got[b] == pytest.approx(0 if p + q <= 3 else np.log(p / total[1]) - np.log(q / total[0]), abs=1e-5)
+
+
+def test_packed_buckets_come_back():
+    pick = np.random.default_rng(1)
+    for n in (0, 5, toxicity.BUCKETS // 32 - 1, toxicity.BUCKETS // 32, 100_000):
+        found = np.sort(pick.choice(toxicity.BUCKETS, n, replace=False)).astype(np.uint32)
+        blob = toxicity.packed(found)
+        assert len(blob) <= toxicity.BUCKETS // 8 and np.array_equal(np.sort(toxicity.unpacked(blob)), found)
+
+
+def test_scores_are_sums_and_held_out_labels_teach_nothing(spark):
+    docs, labels = labelled(spark)
+    weights, bias = toxicity.train(docs, labels, ~toxicity.held_out())
+    for r in toxicity.toxicity(docs, labels).limit(20).join(docs, "doc_id").collect():
+        found = set(toxicity.ngram_buckets(r["text"]).tolist())
+        z = sum(float(weights[b]) for b in found) / max(len(found), 1) ** 0.5 + bias
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+    turned = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0 THEN 1 - toxic ELSE toxic END AS toxic")
+    again, same = toxicity.train(docs, turned, ~toxicity.held_out())
+    assert np.array_equal(weights, again) and bias == same
+
+
+def test_posteriors_equal_a_loop_over_texts():
+    pick = random.Random(8)
+    m = len(quality.LABELLERS)
+    texts_ = []
+    for _ in range(120):
+        bad = pick.random() < 0.3
+        way = pick.randrange(m)
+        texts_.append(tuple((0 if bad and (j == way or pick.random() < 0.1) else pick.choice([1, 1, 1, -1])) for j in range(m)))
+    patterns = sorted(set(texts_))
+    got = dict(zip(patterns, quality.posteriors(np.array(patterns, np.int8), np.array([texts_.count(p) for p in patterns])), strict=True))
+    sure = [x in quality.SURE for x in quality.LABELLERS]
+    p = []
+    for v in texts_:
+        bad = [j for j in range(m) if v[j] == 0]
+        good = 0.1 if any(sure[j] for j in bad) else 0.6 if bad else 0.95
+        p.append([good, *(((1 - good) * (1 / len(bad) if j in bad else 0.0)) if bad else (1 - good) / m for j in range(m))])
+    start = [[3.98] * m] + [[0.2 if i == j else 3.0 for j in range(m)] for i in range(m)]
+    for _ in range(quality.ROUNDS):
+        total = sum(map(sum, p))
+        prior = [(sum(x[c] for x in p) + 1) / (total + m + 1) for c in range(m + 1)]
+        right = [[(sum(x[c] for x, v in zip(p, texts_, strict=True) if v[j] == 1) + start[c][j]) / (sum(x[c] for x, v in zip(p, texts_, strict=True) if v[j] >= 0) + 4) for j in range(m)] for c in range(m + 1)]
+        new = []
+        for v in texts_:
+            like = [prior[c] * np.prod([right[c][j] if v[j] == 1 else 1 - right[c][j] for j in range(m) if v[j] >= 0]) for c in range(m + 1)]
+            new.append([x / sum(like) for x in like])
+        if max(abs(a - b) for x, y in zip(p, new, strict=True) for a, b in zip(x, y, strict=True)) < 1e-6:
+            break
+        p = new
+    assert [got[v] for v in texts_] == pytest.approx([x[0] for x in p], abs=1e-6)
+
+
+def test_quality_scores_are_sums_and_odd_rows_stay(spark):
+    pick = random.Random(2)
+    docs = [(i, junk(pick, i)) for i in range(200)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    good, (weights, bias) = quality.train(df)
+    for r in quality.quality(df).limit(15).join(df, "doc_id").collect():
+        c = quality.codes(r["text"])
+        s = quality.statistics(r["text"], c)
+        z = sum(float(v) * float(weights[b]) for b, v in zip(*quality.features(s, c), strict=True)) + bias
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5) and r["posterior"] == pytest.approx(good[tuple(quality.votes(s))])
+    both = spark.createDataFrame(docs + ODD, SCHEMA).selectExpr("*", "1 AS posterior", "'x' AS votes")
+    kept = quality.without_junk(both)
+    assert kept.columns == both.columns and {r["doc_id"] for r in kept.collect()} >= {i for i, _ in docs if i % 8 > 2}
+    assert quality.without_junk(both.limit(0)).count() == 0
+
+
+def test_toxic_rows_leave_and_odd_rows_stay(spark):
+    docs, labels = labelled(spark)
+    kept = toxicity.without_toxic(docs.unionByName(spark.createDataFrame([(None, "no id"), (9001, None), (9002, ""), (9002, "")], SCHEMA)), labels)
+    assert sum(r["doc_id"] == 9002 for r in kept.collect()) in (0, 2) and toxicity.without_toxic(docs.limit(0), labels).count() == 0
+    assert toxicity.without_toxic(odd(spark), labels.limit(0)).count() == len(ODD)
+
+
+def fingerprint_by_loop(text):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    number = lambda x, seed: xxhash.xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), seed=seed)
+    words, votes, total = [w for w in re.split(r"\s+", text.lower())], [0] * 128, 0
+    for i, w in enumerate(words):
+        if not w:
+            continue
+        h = xxhash.xxh64_intdigest(w.encode(), seed=42)
+        if i + 1 < len(words):
+            h = xxhash.xxh64_intdigest(words[i + 1].encode(), seed=h)
+        term, weight = signed(h) & -16 | min(len(w), 15), min(len(w), 15)
+        g1 = number(term, 42)
+        g2 = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), seed=number(signed(g1), 42))
+        total += weight
+        for j in range(128):
+            votes[j] += weight * (((g1, g2)[j // 64] >> j % 64) & 1)
+    return tuple(signed(sum(1 << j for j in range(64) if 2 * votes[64 * k + j] > total)) for k in range(2))
+
+
+def test_votes_equal_a_loop(spark):
+    pick = random.Random(12)
+    docs = [(i, " ".join(pick.choice(["Alpha", "beta", "gam", "é漢", "delta" * 5, "x"]) for _ in range(pick.randint(0, 40)))) for i in range(30)] + [(99, ""), (100, "one")]
+    got = {r["doc_id"]: (r["f1"], r["f2"]) for r in simhash.fingerprints(spark.createDataFrame(docs, SCHEMA), ["doc_id"]).collect()}
+    assert got == {i: fingerprint_by_loop(t) for i, t in docs}
