@@ -95,7 +95,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scores.score_rows(documents(spark, sf_dir))
+    rows = scores.score_rows(documents(spark, sf_dir), fields=("score", "kind", "midi", "start", "duration"))
     return rows.groupBy("score").agg(F.count_if(F.col("kind") == "Note").alias("notes"), F.count_if(F.col("kind") == "Measure").alias("measures"), F.sum(F.when(F.col("kind") == "Note", F.col("midi"))).cast("bigint").alias("midi_sum"), F.max(F.when(F.col("kind") == "Note", F.col("start") + F.col("duration"))).alias("longest"))
 
 
@@ -105,7 +105,7 @@ SQL_PARSE = f"""WITH n AS (SELECT o_custkey, o_orderkey, sum((l_suppkey % 5 + 3)
 
 
 def played_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scores.score_rows(documents(spark, sf_dir))
+    rows = scores.score_rows(documents(spark, sf_dir), fields=("score", "measure", "ord", "kind", "start", "duration", "midi", "velocity", "dynamic", "articulation", "tie", "part", "plays"))
     return playback.unrolled_notes(rows).groupBy("score").agg(F.count(F.lit(1)).alias("notes"), F.countDistinct("pos").alias("measures"))
 
 

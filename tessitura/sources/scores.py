@@ -11,11 +11,12 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import theory
+from tessitura.operators import playback
 
 # Steps, articulations in the order of their notation, ornaments.
 STEPS = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
@@ -23,7 +24,7 @@ ARTICULATIONS = {"staccato": "Staccato", "staccatissimo": "Staccato", "spiccato"
 ORNAMENTS = {"trill-mark": "Trill", "turn": "Turn", "inverted-turn": "InvertedTurn", "mordent": "Mordent", "inverted-mordent": "InvertedMordent", "tremolo": "Tremolo", "shake": "Shake", "schleifer": "Schleifer"}
 SCHEMA = (
     "score string, measure int, number string, ord int, kind string, start int, duration int, part int, midi int, step string, alter int, octave int, velocity int, dynamic string, articulation string, tie string, voice int, staff int, "
-    "is_grace boolean, is_chord boolean, fermata boolean, ornament string, pedaled boolean, value string, amount double, location string, times int, divisions int, implicit boolean, title string, composer string, instruments array<string>, error string"
+    "is_grace boolean, is_chord boolean, fermata boolean, ornament string, pedaled boolean, value string, amount double, location string, times int, divisions int, implicit boolean, title string, movement string, composer string, instruments array<string>, error string, plays array<int>"
 )
 
 
@@ -61,8 +62,10 @@ def metadata(root: ElementTree.Element) -> dict:
         elif e.tag == "score-part":
             own = text(e, "part-name", "")
             names.append((e.get("id"), own if not group else group if not own else own if group.lower() in own.lower() else f"{group} - {own}"))
+    work, movement, number = text(root, "work/work-title"), text(root, "movement-title"), text(root, "movement-number")
     return {
-        "title": text(root, "work/work-title") or text(root, "movement-title") or credit("title") or "Unknown Title",
+        "title": work or movement or credit("title") or "Unknown Title",
+        "movement": (movement if work else None) or number,
         "composer": next((n for t, n in creators if t == "composer" and n), None) or next((n for _, n in creators if n), None) or credit("composer") or "Unknown Composer",
         "parts": names,
     }
@@ -249,7 +252,7 @@ def parse_score(data: bytes, target: str | None = None) -> Iterator[dict]:
     names = [n for _, n in found["parts"]]
     staves = next((whole(text(e, "staves"), 1) for _, parts in measures for _, es in parts for e in es if e.tag == "attributes" and e.find("staves") is not None), 1)
     listed = ("Parts", len(names)) if len(names) > 1 else ("Staves", staves) if staves > 1 else ("Parts", max(len(names), 1))
-    yield {"kind": "Meta", "title": found["title"], "composer": found["composer"], "instruments": names, "value": listed[0], "times": listed[1], "amount": float(len(measures))}
+    yield {"kind": "Meta", "title": found["title"], "movement": found["movement"], "composer": found["composer"], "instruments": names, "value": listed[0], "times": listed[1], "amount": float(len(measures))}
     parser = Parser(chosen(found["parts"], target))
     for i, (m, parts) in enumerate(measures):
         seen, rows = set(), []
@@ -263,20 +266,52 @@ def parse_score(data: bytes, target: str | None = None) -> Iterator[dict]:
             yield {"measure": i, "number": m.get("number"), "ord": n, **r}
 
 
-def score_rows(documents: DataFrame, name: str = "path", content: str = "content", target: str | None = None) -> DataFrame:
-    """(name, bytes) -> rows of SCHEMA; a document that can't be parsed gives one row of kind Error. Nulls count as such."""
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+#: Rows that are turned into columns together.
+ROWS = 1 << 14
+ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+
+
+def with_plays(rows: list[dict]) -> list[dict]:
+    """Rows of a score with ``plays``: the places in playing order at which their measure is played."""
+    measures: list[list[dict]] = [[] for r in rows if r["kind"] == "Measure"]
+    for r in rows:
+        if r["kind"] in playback.KINDS:
+            measures[r["measure"]].append(r)
+    plays: list[list[int]] = [[] for _ in measures]
+    for pos, measure in enumerate(playback.order(measures)):
+        plays[measure].append(pos)
+    return [r | {"plays": plays[r["measure"]]} if r.get("measure") is not None else r for r in rows]
+
+
+def score_rows(documents: DataFrame, name: str = "path", content: str = "content", target: str | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+    """(name, bytes) -> rows of SCHEMA, or of those ``fields`` of it; a document that can't be parsed gives one row of kind Error. Nulls count as such."""
+    kinds = {c.split()[0]: c.split()[1] for c in SCHEMA.split(", ")}
+    kinds = {c: k for c, k in kinds.items() if not fields or c in fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def columns() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in held], ARROW[k]) for c, k in kinds.items()], list(kinds))
+            held.clear()
+            return made
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for score, data in zip(batch["score"], batch["data"], strict=True):
+            for score, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows = list(parse_score(bytes(data or b""), target))
+                    rows = list(parse_score(data or b"", target))
+                    rows = with_plays(rows) if "plays" in kinds else rows
                 except (ValueError, ElementTree.ParseError, zipfile.BadZipFile) as e:
                     rows = [{"kind": "Error", "error": str(e)}]
-                yield pd.DataFrame([{c: r.get(c) for c in columns} | {"score": score} for r in rows], columns=columns, dtype=object)
-
-    return documents.select(F.col(name).cast("string").alias("score"), F.col(content).cast("binary").alias("data")).mapInPandas(run, SCHEMA)
+                for r in rows:
+                    r["score"] = score
+                    held.append(r)
+                    if len(held) >= ROWS:
+                        yield columns()
+        yield columns()
+
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
+    return documents.select(F.col(name).cast("string").alias("score"), F.col(content).cast("binary").alias("data")).mapInArrow(run, schema)
 
 
 def read_scores(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:

@@ -122,6 +122,19 @@ def test_numbers_of_voltas():
     assert [playback.includes(n, t) for n, t in (("1", 1), ("1, 2", 2), ("1.", 1), ("1-3", 2), ("1 2", 2), (None, 1))] == [True, True, True, True, False, False]
 
 
+def test_rows_that_know_their_plays_equal_the_join(spark):
+    data = score("<barline location='left'><repeat direction='forward'/></barline>" + note("C", 4, 4), note("D", 4, 4) + "<barline><repeat direction='backward'/></barline>", note("E", 4, 4))
+    df = scores.score_rows(spark.createDataFrame([(x, bytearray(data)) for x in "ab"], "path string, content binary"))
+    one, two = (sorted(map(repr, map(tuple, playback.unrolled_notes(x).collect()))) for x in (df, df.drop("plays")))
+    assert one == two and len(one) == 10
+
+
+def test_movements():
+    title = lambda head: (lambda m: (m["title"], m["movement"]))(rows(score(note("C", 4, 4), head=head + HEAD), None, "Meta")[0])
+    work, movement, number = "<work><work-title>W</work-title></work>", "<movement-title>M</movement-title>", "<movement-number>2</movement-number>"
+    assert [title(x) for x in (work + movement + number, work + number, number + movement, number, "")] == [("W", "M"), ("W", "2"), ("M", "2"), ("Unknown Title", "2"), ("Unknown Title", None)]
+
+
 def jump(kind):
     return {"kind": "Jump", "value": kind, "times": None}
 
