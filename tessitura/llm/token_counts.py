@@ -18,8 +18,8 @@ from tessitura.llm.common import batches, strings
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE. White space is spelled out: the regex module's \s also takes U+001C..U+001F.
 SPACE = r"\t\n\v\f\r\x85\p{Z}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Pieces up to this length and this many of them (and as many older ones) are remembered by a task.
-KEPT_CHARS, KEPT_PIECES = 64, 1 << 16
+#: Pieces up to this length and this many of them (and as many older ones) are remembered by a worker: some 60 MB when full.
+KEPT_CHARS, KEPT_PIECES = 64, 1 << 18
 PLACE = (1 << 40) - 1
 
 
@@ -56,10 +56,6 @@ class MergeCounter(dict):
             self[piece] = found
         return found
 
-    def forget(self) -> None:
-        self.clear()
-        self.old.clear()
-
     def merge(self, symbols: str) -> int:
         """Merges the lowest-ranked adjacent pair, the leftmost of equals, until none is left; O(n log n)."""
         n, ranks = len(symbols), self.ranks
@@ -110,7 +106,7 @@ _loaded: dict[str, MergeCounter] = {}
 
 
 def counter(path: str) -> MergeCounter:
-    """One per worker process; a task forgets its pieces at its end."""
+    """One per worker process, with its memo of at most 2 * KEPT_PIECES pieces."""
     if path not in _loaded:
         _loaded[path] = MergeCounter.from_file(local_file(path))
     return _loaded[path]
@@ -130,7 +126,6 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
             texts = strings(batch.column(1))
             n = [own.count(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
-        own.forget()
 
     kept = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     out = kept.mapInArrow(count, f"id {kept.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
