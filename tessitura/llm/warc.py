@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import batches, fresh_path, partitions, stored
+from tessitura.llm.common import KeyFilter, batches, fresh_path, lean, partitions, passing, stored
 
 CHUNK = 1 << 18
 #: An archive is closed beyond this size.
@@ -145,7 +145,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         sink, names, size = None, [], 0
-        for batch in batches(rows):
+        for batch in batches(rows, 8 << 20):
             for r in batch.to_pylist():
                 if sink is None:
                     names.append(f"{base}/{uuid.uuid4().hex}.warc.gz")
@@ -160,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
             sink.close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["path"])
 
-    return stored(pages.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "path string"), "warc-names")
+    return stored(pages.select("page_id", "url", "payload", "refers_to").mapInArrow(lean(write), "path string"), "warc-names")
 
 
 def read_archives(paths: DataFrame, folder: str) -> DataFrame:
@@ -188,7 +188,7 @@ def read_archives(paths: DataFrame, folder: str) -> DataFrame:
                     yield batch(found)
 
     n = partitions(paths.sparkSession)
-    return paths.repartition(n, "path").mapInArrow(read, "page_id bigint, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, valid boolean")
+    return paths.repartition(n, "path").mapInArrow(lean(read), "page_id bigint, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, valid boolean")
 
 
 def roundtrip(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -203,9 +203,12 @@ def roundtrip(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url
     base = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     base = base.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("bigint"))
     firsts = base.where(F.col("n") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")).where("copies > 1 AND first IS NOT NULL")
-    # the keys differ from the grouping's, so both sides are dealt anew and a payload that very many rows share is split by adaptive execution
-    met = base.join(firsts.select("sha", "n", "first"), ["sha", "n"], "left")
-    paths = write_archives(met.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))), folder)
+    firsts = stored(firsts.select("sha", "n", "first", F.xxhash64("sha").alias("key")), "warc-firsts")
+    # only payloads that may have copies are shuffled; the join's keys differ from the grouping's, so a payload that very many rows share is split
+    known, keyed = pages.sparkSession.sparkContext.broadcast(KeyFilter.of(firsts.select("key"))), base.withColumn("key", F.xxhash64("sha"))
+    copied = passing(keyed, "key", known).join(firsts.drop("key"), ["sha", "n"], "left").select("page_id", "url", "payload", "first")
+    alone = passing(keyed, "key", known, False).select("page_id", "url", "payload", F.lit(None).cast("bigint").alias("first"))
+    paths = write_archives(alone.unionByName(copied).withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))), folder)
     read = stored(read_archives(paths, folder), "warc-read")
     responses = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("to_id"), F.col("payload_digest").alias("to_digest")).agg(F.max("payload_bytes").alias("to_bytes"))
     out = read.join(responses, (F.col("refers_to") == F.col("to_id")) & (F.col("payload_digest") == F.col("to_digest")), "left")
