@@ -29,6 +29,8 @@ PIECES_OF_TEXT = regex.compile(SPELLED_PATTERN)
 K1, B = 1.2, 0.75
 #: Bits of a document's key and of the key's prefix (the driver sums documents by prefix), and documents of a shard.
 KEY_BITS, PREFIX_BITS, SHARD_DOCS = 24, 12, 1024
+#: The directions of keys are fitted on so many documents (those of the smallest hash of their place), over terms folded to so many features.
+FIT_SAMPLE, FOLDED, PRIME = 2048, 1024, 1_000_000_007
 #: Terms in more than this share of a shard's documents have a row of weights for all of them.
 COMMON = 1 / 8
 SHARD_SEQUENCES, SHARD_BITS = 1 << 62, 14
@@ -120,19 +122,51 @@ def corpus_statistics(rows: DataFrame, size: int, kind: np.dtype) -> tuple[np.nd
     return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), float(mean or 1.0)
 
 
+def _weighted(terms: bytes, counts: bytes, idf: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and their BM25-like weights, of length 1 together."""
+    t, n = np.frombuffer(terms, kind), np.frombuffer(counts, "<u2").astype(np.float32)
+    weight = idf[t] * n / (n + np.float32(K1))
+    return t, weight / max(float(np.sqrt(weight @ weight)), 1e-6)
+
+
+def _directions(rows: DataFrame, idf: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of KEY_BITS numbers per term, the sample's mean place): the principal directions of a bounded sample's folded terms, the widest first."""
+    fold = np.random.default_rng(7)
+    place, sign = fold.integers(0, FOLDED, len(idf)), fold.choice(np.array([-1, 1], np.float32), len(idf))
+    shared = rows.sparkSession.sparkContext.broadcast((idf, place, sign))  # numbers per vocabulary entry
+
+    def folded(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, plus = shared.value
+        for batch in batches_:
+            out = []
+            for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                t, weight = _weighted(t, c, own, kind)
+                out.append(np.bincount(at[t], plus[t] * weight, FOLDED).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array(out, pa.binary())], ["seq", "x"])
+
+    # about twice as many as wanted are ranked, whatever the table's size
+    near = F.pmod(F.xxhash64("seq"), F.lit(PRIME)) < int(min(1.0, 2 * FIT_SAMPLE / max(rows.count(), 1)) * PRIME)
+    sample = rows.where(near).select("seq", "terms", "counts").orderBy(F.xxhash64("seq"), "seq").limit(FIT_SAMPLE)
+    found = sample.mapInArrow(lean(folded), "seq bigint, x binary").toArrow().sort_by("seq")  # FIT_SAMPLE rows of FOLDED numbers
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), "<f4").reshape(-1, FOLDED).astype(float)
+    mean = x.mean(0) if len(x) else np.zeros(FOLDED)
+    _, vectors = np.linalg.eigh((x - mean).T @ (x - mean))
+    widest = vectors[:, ::-1][:, :KEY_BITS]
+    return (sign[:, None] * widest[place]).astype(np.float32), (mean @ widest).astype(np.float32)
+
+
 def _keyed(rows: DataFrame, idf: np.ndarray, kind: np.dtype) -> DataFrame:
-    """Adds ``key``: the signs of KEY_BITS random projections of the idf-weighted terms."""
-    shared = rows.sparkSession.sparkContext.broadcast(idf)  # one number per vocabulary entry
+    """Adds ``key``: on which side of the mean the terms lie along each principal direction, the widest direction in the highest bit."""
+    shared = rows.sparkSession.sparkContext.broadcast((idf, *_directions(rows, idf, kind)))  # numbers per vocabulary entry
 
     def make(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        planes = np.random.default_rng(7).standard_normal((len(own), KEY_BITS), np.float32)
+        own, planes, mean = shared.value
+        bits = 1 << np.arange(KEY_BITS)[::-1]
         for batch in batches_:
             keys = []
             for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                t = np.frombuffer(t, kind)
-                weight = own[t] ** 2 * np.log1p(np.frombuffer(c, "<u2").astype(np.float32))
-                keys.append(int(((weight @ planes[t]) > 0) @ (1 << np.arange(KEY_BITS))))
+                t, weight = _weighted(t, c, own, kind)
+                keys.append(int((weight @ planes[t] > mean) @ bits))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int32())], [*batch.schema.names, "key"])
 
     return rows.mapInArrow(lean(make), "id bigint, tokens bigint, seq bigint, tail binary, terms binary, counts binary, key int")
