@@ -13,6 +13,7 @@ from tessitura.operators.tempo import TempoTracker
 from tessitura.operators.transcribe import folded, plain
 from tessitura.plans.events import frames
 from tessitura.sources import scores
+from tessitura.tables import stored
 
 
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +106,8 @@ SQL_PARSE = f"""WITH n AS (SELECT o_custkey, o_orderkey, sum((l_suppkey % 5 + 3)
 
 
 def played_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scores.score_rows(documents(spark, sf_dir), fields=("score", "measure", "ord", "kind", "start", "duration", "midi", "velocity", "dynamic", "articulation", "tie", "part", "plays"))
-    return playback.unrolled_notes(rows).groupBy("score").agg(F.count(F.lit(1)).alias("notes"), F.countDistinct("pos").alias("measures"))
+    rows = scores.score_rows(documents(spark, sf_dir), fields=("score", "measure", "ord", "kind", "value", "times", "start", "duration", "midi", "velocity", "dynamic", "articulation", "tie", "part"))
+    return playback.unrolled_notes(stored(rows, "score-rows")).groupBy("score").agg(F.count(F.lit(1)).alias("notes"), F.countDistinct("pos").alias("measures"))
 
 
 #: A backward repeat without a forward one goes back to the measure after the last repeat, so every measure up to the last repeat is played twice.
@@ -129,6 +130,24 @@ SQL_VOLTAS_PLAYED = """WITH b AS (SELECT o_custkey, row_number() OVER (PARTITION
     SELECT o_custkey::VARCHAR AS score, (row_number() OVER (PARTITION BY o_custkey ORDER BY measure // 4, slot) - 1)::INT AS pos, measure::INT AS measure FROM s"""
 
 
+def jump_playback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as scores of their orders: measure 0 opens a repeat, a third of the way on it ends where the way to the coda leaves, at two thirds the score begins anew, and the last measure is the coda."""
+    w = Window.partitionBy("o_custkey")
+    bars = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("string").alias("score"), (F.row_number().over(w.orderBy("o_orderkey")) - 1).alias("measure"), F.count(F.lit(1)).over(w).cast("int").alias("n"))
+    at, third = F.col("measure"), F.floor(F.col("n") / 3)
+    mark = lambda here, kind, ord_, value=None: F.when(here, F.struct(F.lit(kind).alias("kind"), F.lit(value).cast("string").alias("value"), F.lit(ord_).alias("ord")))
+    everywhere, long = F.lit(True), F.col("n") >= 6
+    own = F.array(mark(everywhere, "Measure", 0), mark(at == 0, "RepeatStart", 1), mark(long & (at == third), "Jump", 2, "ToCoda"), mark(long & (at == third), "RepeatEnd", 3), mark(long & (at == 2 * third), "Jump", 4, "DaCapo"), mark(at == F.col("n") - 1, "Jump", 5, "Coda"))
+    rows = bars.select("score", "measure", F.inline(F.array_compact(own))).withColumn("times", F.lit(None).cast("int"))
+    return playback.playback(rows)
+
+
+#: Legs by the rules: the repeated start twice, on to the D.C., the repeated start twice again (the repeat comes after the way to the coda), then the coda.
+SQL_JUMPS_PLAYED = """WITH b AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS measure, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders), t AS (SELECT *, n // 3 AS third FROM b),
+    l AS (SELECT *, unnest(CASE WHEN n < 6 THEN [0] WHEN measure <= third THEN [0, 1, 3, 4] || CASE WHEN measure = n - 1 THEN [5] ELSE [] END WHEN measure <= 2 * third THEN [2] || CASE WHEN measure = n - 1 THEN [5] ELSE [] END WHEN measure = n - 1 THEN [5] ELSE [] END) AS leg FROM t)
+    SELECT o_custkey::VARCHAR AS score, (row_number() OVER (PARTITION BY o_custkey ORDER BY leg, measure) - 1)::INT AS pos, measure::INT AS measure FROM l"""
+
+
 def heard_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of a nation as a stream of samples, each a tone with a rest after it; the notes that are heard."""
     w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
@@ -140,5 +159,5 @@ def heard_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "mono_notes": (mono_notes, None), "pedalled_notes": (pedalled_notes, None), "hybrid_notes": (hybrid_notes, None), "envelope_notes": (envelope_notes, None), "beats": (beats, None),
-    "volta_playback": (volta_playback, SQL_VOLTAS_PLAYED), "heard_notes": (heard_notes, None), "score_parse": (score_parse, SQL_PARSE), "played_notes": (played_notes, SQL_PLAYED),
+    "volta_playback": (volta_playback, SQL_VOLTAS_PLAYED), "jump_playback": (jump_playback, SQL_JUMPS_PLAYED), "heard_notes": (heard_notes, None), "score_parse": (score_parse, SQL_PARSE), "played_notes": (played_notes, SQL_PLAYED),
 }

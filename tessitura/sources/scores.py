@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import theory
-from tessitura.operators import playback
 
 # Steps, articulations in the order of their notation, ornaments.
 STEPS = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
@@ -24,7 +23,7 @@ ARTICULATIONS = {"staccato": "Staccato", "staccatissimo": "Staccato", "spiccato"
 ORNAMENTS = {"trill-mark": "Trill", "turn": "Turn", "inverted-turn": "InvertedTurn", "mordent": "Mordent", "inverted-mordent": "InvertedMordent", "tremolo": "Tremolo", "shake": "Shake", "schleifer": "Schleifer"}
 SCHEMA = (
     "score string, measure int, number string, ord int, kind string, start int, duration int, part int, midi int, step string, alter int, octave int, velocity int, dynamic string, articulation string, tie string, voice int, staff int, "
-    "is_grace boolean, is_chord boolean, fermata boolean, ornament string, pedaled boolean, value string, amount double, location string, times int, divisions int, implicit boolean, title string, movement string, composer string, instruments array<string>, error string, plays array<int>"
+    "is_grace boolean, is_chord boolean, fermata boolean, ornament string, pedaled boolean, value string, amount double, location string, times int, divisions int, implicit boolean, title string, movement string, composer string, instruments array<string>, error string"
 )
 
 
@@ -268,19 +267,7 @@ def parse_score(data: bytes, target: str | None = None) -> Iterator[dict]:
 
 #: Rows that are turned into columns together.
 ROWS = 1 << 14
-ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
-
-
-def with_plays(rows: list[dict]) -> list[dict]:
-    """Rows of a score with ``plays``: the places in playing order at which their measure is played."""
-    measures: list[list[dict]] = [[] for r in rows if r["kind"] == "Measure"]
-    for r in rows:
-        if r["kind"] in playback.KINDS:
-            measures[r["measure"]].append(r)
-    plays: list[list[int]] = [[] for _ in measures]
-    for pos, measure in enumerate(playback.order(measures)):
-        plays[measure].append(pos)
-    return [r | {"plays": plays[r["measure"]]} if r.get("measure") is not None else r for r in rows]
+ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
 def score_rows(documents: DataFrame, name: str = "path", content: str = "content", target: str | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
@@ -300,7 +287,6 @@ def score_rows(documents: DataFrame, name: str = "path", content: str = "content
             for score, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     rows = list(parse_score(data or b"", target))
-                    rows = with_plays(rows) if "plays" in kinds else rows
                 except (ValueError, ElementTree.ParseError, zipfile.BadZipFile) as e:
                     rows = [{"kind": "Error", "error": str(e)}]
                 for r in rows:

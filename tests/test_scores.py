@@ -25,11 +25,25 @@ def rows(data, target=None, *kinds):
     return [r for r in scores.parse_score(data, target) if not kinds or r["kind"] in kinds]
 
 
-def played(data):
-    found = rows(data)
-    n = sum(r["kind"] == "Measure" for r in found)
-    measures = [[r for r in found if r.get("measure") == i and r["kind"] in ("RepeatStart", "RepeatEnd", "EndingStart", "EndingStop", "Jump")] for i in range(n)]
-    return [i + 1 for i in playback.order(measures)]
+ROW = "score string, measure int, ord int, kind string, value string, times int"
+
+
+def orders(spark, scripts):
+    """Measures in playing order, from 0, of scores given by the marks of their measures."""
+    data = [(str(s), m, o, *r) for s, measures in enumerate(scripts) for m, marks in enumerate(measures) for o, r in enumerate([("Measure", None, None), *((r["kind"], r.get("value"), r.get("times")) for r in marks)])]
+    out = [[] for _ in scripts]
+    for r in sorted(playback.playback(spark.createDataFrame(data, ROW)).collect(), key=lambda r: r["pos"]):
+        assert r["pos"] == len(out[int(r["score"])])
+        out[int(r["score"])].append(r["measure"])
+    return out
+
+
+def played(spark, *documents):
+    scripts = []
+    for data in documents:
+        found = rows(data)
+        scripts.append([[r for r in found if r.get("measure") == i and r["kind"] in playback.KINDS] for i in range(sum(r["kind"] == "Measure" for r in found))])
+    return [[i + 1 for i in order] for order in orders(spark, scripts)]
 
 
 def test_chord_and_dynamics():
@@ -58,24 +72,24 @@ def test_pedal_octave_fermata_and_trill():
 
 def test_tie_across_a_repeat(spark):
     data = score(note("C", 4, 4, "<tie type='start'/>") + "<barline><repeat direction='backward'/></barline>", note("C", 4, 4, "<tie type='stop'/>"))
-    assert played(data) == [1, 1, 2]
+    assert played(spark, data) == [[1, 1, 2]]
     df = scores.score_rows(spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"<x/>")), ("c", None)], "path string, content binary"))
     assert playback.unrolled_notes(df).count() == 3 and playback.unrolled_notes(df, True).count() == 2
     assert sorted(r["score"] for r in df.where("kind = 'Error'").collect()) == ["b", "c"]
 
 
-def test_voltas():
+def test_voltas(spark):
     end = lambda n, kind, more="": f"<barline><ending number='{n}' type='{kind}'/>{more}</barline>"
     data = score(note("A", 3, 2), "<barline location='left'><repeat direction='forward'/></barline>" + note("B", 3, 2), end("1, 2", "start") + note("F", 4, 2) + end("1, 2", "stop", "<repeat direction='backward' times='3'/>"), end(3, "start") + note("G", 4, 2) + end(3, "stop"), note("A", 4, 2))
-    assert played(data) == [1, 2, 3, 2, 3, 2, 4, 5]
+    assert played(spark, data) == [[1, 2, 3, 2, 3, 2, 4, 5]]
 
 
-def test_jumps():
+def test_jumps(spark):
     words = lambda w: f"<direction><direction-type><words>{w}</words></direction-type></direction>"
-    assert played(score(note("C", 4, 4), words("Fine") + note("D", 4, 4), words("D.C.") + note("E", 4, 4))) == [1, 2, 3, 1, 2]
     sign = "<direction><direction-type><segno/></direction-type></direction>"
-    assert played(score(note("C", 4, 4), sign + note("D", 4, 4), words("D.S.") + note("E", 4, 4))) == [1, 2, 3, 2, 3]
-    assert len(played(score("<barline><repeat direction='backward' times='5000'/></barline>"))) == 1024
+    fine, segno, endless = score(note("C", 4, 4), words("Fine") + note("D", 4, 4), words("D.C.") + note("E", 4, 4)), score(note("C", 4, 4), sign + note("D", 4, 4), words("D.S.") + note("E", 4, 4)), score("<barline><repeat direction='backward' times='5000'/></barline>")
+    one, two, three = played(spark, fine, segno, endless)
+    assert one == [1, 2, 3, 1, 2] and two == [1, 2, 3, 2, 3] and three == [1] * 1024
 
 
 def test_parts_names_and_filters():
@@ -122,15 +136,10 @@ def test_settings_fall_back(spark, tmp_path):
     assert audio.read_settings(spark, str(tmp_path / "s.json")) == audio.SETTINGS | {"username": "x"}
 
 
-def test_numbers_of_voltas():
-    assert [playback.includes(n, t) for n, t in (("1", 1), ("1, 2", 2), ("1.", 1), ("1-3", 2), ("1 2", 2), (None, 1))] == [True, True, True, True, False, False]
-
-
-def test_rows_that_know_their_plays_equal_the_join(spark):
-    data = score("<barline location='left'><repeat direction='forward'/></barline>" + note("C", 4, 4), note("D", 4, 4) + "<barline><repeat direction='backward'/></barline>", note("E", 4, 4))
-    df = scores.score_rows(spark.createDataFrame([(x, bytearray(data)) for x in "ab"], "path string, content binary"))
-    one, two = (sorted(map(repr, map(tuple, playback.unrolled_notes(x).collect()))) for x in (df, df.drop("plays")))
-    assert one == two and len(one) == 10
+def test_numbers_of_voltas(spark):
+    numbers = ["1", "1, 2", "1.", "1-3", " 1 - 3 . ", "1 2", None, "x", "", "12,7"]
+    found = spark.createDataFrame([(n,) for n in numbers], "n string").select(playback.turns(playback.F.col("n"))).collect()
+    assert [[tuple(t) for t in r[0]] for r in found] == [[(1, 1)], [(1, 1), (2, 2)], [(1, 1)], [(1, 3)], [(1, 3)], [], [], [], [], [(12, 12), (7, 7)]]
 
 
 def test_movements():
@@ -143,23 +152,39 @@ def jump(kind):
     return {"kind": "Jump", "value": kind, "times": None}
 
 
-BACK = {"kind": "RepeatEnd", "value": None, "times": None}
+BACK, FORTH, STOP = {"kind": "RepeatEnd"}, {"kind": "RepeatStart"}, {"kind": "EndingStop"}
+
+
+def volta(number):
+    return {"kind": "EndingStart", "value": number}
 
 
-@pytest.mark.parametrize(("measures", "want"), [
+#: Marks of measures, and the order in which the rules have them played.
+SCRIPTS = [
     ([[jump("Segno")], [jump("DaCapo")], [jump("DalSegno")]], [0, 1, 0, 1, 2]),  # one jump in all
     ([[], [BACK, jump("DaCapo")], []], [0, 1, 0, 1, 2]),  # a jump goes before the repeat of its measure, which then counts as taken
     ([[], [BACK, jump("Fine")], [jump("DaCapo")], []], [0, 1, 0, 1, 2, 0, 1]),  # Fine ends at once, also in a measure with a repeat
     ([[jump("ToCoda")], [jump("DaCapo")], [], [jump("Coda")]], [0, 1, 0, 3]),
     ([[], [{**BACK, "times": 4}], []], [0, 1] * 4 + [2]),
+    ([[FORTH], [jump("ToCoda"), BACK], [jump("DaCapo")], [jump("Coda")]], [0, 1, 0, 1, 2, 0, 1, 0, 1, 3]),  # the repeat stands behind the way to the coda and goes first
+    ([[], [volta("1"), jump("DaCapo"), BACK], [volta("2")], []], [0, 1, 0, 2, 3]),  # the repeat behind a D.C. counts: the second turn follows
+    ([[FORTH], [volta("1"), STOP, BACK], [volta("2"), STOP, BACK], [volta("3"), STOP], []], [0, 1, 0, 2, 0, 3, 4]),
+    ([[], [volta("2")], [], [STOP], []], [0, 4]),  # voltas of another turn are skipped to their end
+    ([[], [volta("1")], [], [BACK]], [0, 1, 2, 3, 2, 3]),  # a section begins where a volta is left
+    ([[jump("Coda")], [jump("DalSegno")], [jump("Segno"), jump("ToCoda")], [jump("DaCapo")]], [0, 1, 2, *[0, 1, 2] * 340, 0]),  # for ever
+    ([[FORTH, FORTH], [BACK, {**BACK, "times": 9}], [FORTH], [], [BACK]], [0, 1, 0, 1, 2, 3, 4, 2, 3, 4]),  # of several signs the first counts
     ([], []),
-])
-def test_scripts_of_jumps(measures, want):
-    assert playback.order(measures) == want
+    ([[]], [0]),
+]
+
+
+def test_scripts_of_repeats_voltas_and_jumps(spark):
+    assert orders(spark, [measures for measures, _ in SCRIPTS]) == [want for _, want in SCRIPTS]
 
 
-def test_endless_repeats_stop():
-    assert len(playback.order([[{**BACK, "times": 10**6}]])) == 1024
+def test_playback_is_free_of_python(spark):
+    plan = playback.playback(spark.createDataFrame([], ROW))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 @pytest.mark.parametrize("bad", [b"", b"<a", b"PK\x03\x04zz"])
