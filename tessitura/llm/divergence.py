@@ -9,13 +9,15 @@ task holds more than a bounded number of terms, however many there are. Counts b
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,10 @@ from tessitura.llm.common import batches, lean, partitions, stored
 SCALE = 1_000_000_000
 #: Kept terms in the automata that every task holds, none of them longer than HEAD_BYTES (so they take at most 8 MB), and about as many in each shard.
 HEAD, HEAD_BYTES, SHARD = 1 << 17, 64, 1 << 17
-#: Entries of a task's counts, and bytes of text for shards, before they are given out.
-MOST_COUNTS, MOST_BYTES = 1 << 18, 8 << 20
+#: Entries of a task's frequencies, occurrences of its head terms, and bytes of text for shards, before they are given out.
+MOST_COUNTS, MOST_PLACES, MOST_BYTES = 1 << 18, 1 << 22, 8 << 20
+#: Places of head terms whose counts travel in one array.
+STRETCH_BITS = 12
 #: Term occurrences (by document frequency) after which a shard's texts are dealt to several tasks.
 SHARD_LOAD = 1 << 26
 #: Fixed rule: terms are runs of ASCII letters and of bytes of other characters; A-Z are lower-cased, all else is a space.
@@ -63,20 +67,21 @@ def vocabulary(docs: DataFrame, least: int) -> DataFrame:
 
 
 class Automaton:
-    """Counts the terms of one set in texts: a term matches where a delimiter stands on both sides, and neighbours share theirs."""
+    """Finds the terms of one list in texts: a term matches where a delimiter stands on both sides, and neighbours share theirs."""
 
     def __init__(self, terms: list[bytes]):
         self.terms = set(terms)
         self.inner = ahocorasick.Automaton()
-        for t in terms:
-            self.inner.add_word(f" {t.decode()} ", t)
+        for i, t in enumerate(terms):
+            self.inner.add_word(f" {t.decode()} ", i)
         if terms:
             self.inner.make_automaton()
 
-    def count(self, terms: list[bytes]) -> Counter[bytes]:
+    def places(self, terms: list[bytes]) -> Iterator[int]:
+        """For each occurrence of a listed term, its place in the list."""
         if not self.terms or not terms:
-            return Counter()
-        return Counter(map(itemgetter(1), self.inner.iter(f" {b' '.join(terms).decode()} ")))
+            return iter(())
+        return map(itemgetter(1), self.inner.iter(f" {b' '.join(terms).decode()} "))
 
 
 #: The head's automata of the last job whose tasks ran in this worker.
@@ -84,21 +89,20 @@ _head: dict[str, dict[str, Automaton]] = {}
 
 
 def _shard(lang: str, term: bytes, shards: int) -> int:
-    return xxhash.xxh3_64_intdigest(term, seed=len(lang)) % shards
+    return zlib.crc32(term, len(lang)) % shards
 
 
 def _recounted(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """lang, source, term, n: occurrences of the kept terms by group."""
     spark = docs.sparkSession
-    tail_size, tail_load = kept.agg(F.count(F.lit(1)), F.sum("df")).first()
+    size, load = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).first()
     top = kept.where(F.octet_length("term") <= HEAD_BYTES).orderBy(F.col("df").desc(), "lang", "term").limit(HEAD).select("lang", "term").toArrow()  # at most HEAD short terms
     head: dict[str, list[bytes]] = {}
     for lang, term in zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True):
         head.setdefault(lang, []).append(term.encode())
-    shards = max(1, -(-(tail_size - top.num_rows) // SHARD))
-    salts = 1 + (tail_load or 0) // (shards * SHARD_LOAD)
-    known = spark.sparkContext.broadcast(head)
-    mark = uuid.uuid4().hex
+    shards = max(1, -(-(size - top.num_rows) // SHARD))
+    salts = 1 + load // (shards * SHARD_LOAD)
+    known, mark = spark.sparkContext.broadcast(head), uuid.uuid4().hex
 
     def head_of(lang: str) -> Automaton:
         if mark not in _head:
@@ -109,75 +113,131 @@ def _recounted(docs: DataFrame, kept: DataFrame) -> DataFrame:
             own[lang] = Automaton(known.value.get(lang, []))
         return own[lang]
 
-    #: kind 0: counts of head terms; kind 1: a shard's text
-    fields = "kind int, shard int, salt int, lang string, source string, term string, n bigint"
-
     def first(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], Counter[bytes]] = {}
+        """Head terms' counts, as sparse arrays of a group and a stretch of places; other terms, as texts of a group and a shard."""
+        places: dict[tuple[str, str], list[int]] = {}
         texts: dict[tuple[int, str, str], list[bytes]] = {}
-        size = turn = 0
-
-        def given() -> Iterator[pa.RecordBatch]:
-            nonlocal turn
-            turn += 1
-            out = [(0, 0, 0, lang, source, t, n) for (lang, source), c in counts.items() for t, n in c.items()]
-            out += [(1, k, turn % salts, lang, source, b" ".join(t), 0) for (k, lang, source), t in texts.items()]
-            for at in range(0, len(out), 1 << 14):
-                cols = list(zip(*out[at : at + (1 << 14)], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int32()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:5]), pa.array(cols[5], pa.binary()).cast(pa.string()), pa.array(cols[6], pa.int64())],
-                    ["kind", "shard", "salt", "lang", "source", "term", "n"],
-                )
-            counts.clear()
+        size = found = turn = 0
+
+        def given(counts: list, dealt: list) -> pa.RecordBatch:
+            cols = list(zip(*counts, *dealt, strict=True))
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            made[4] = made[4].cast(pa.string())
+            return pa.RecordBatch.from_arrays(made, ["part", "salt", "lang", "source", "text", "places", "ns"])
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for (lang, source), all_ in places.items():
+                at, n = np.unique(np.array(all_, np.int64), return_counts=True)
+                cuts = np.flatnonzero(np.diff(at >> STRETCH_BITS)) + 1
+                out = [(int(a[0] >> STRETCH_BITS), 0, lang, source, None, a & (1 << STRETCH_BITS) - 1, m) for a, m in zip(np.split(at, cuts), np.split(n, cuts), strict=True) if len(a)]
+                if out:
+                    yield given(out, [])
+            places.clear()
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            if texts:
+                yield given([], [(k, turn % salts, lang, source, b" ".join(t), None, None) for (k, lang, source), t in texts.items()])
             texts.clear()
 
         for batch in batches(rows, MOST_BYTES):
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 terms, own = _terms(text), head_of(lang)
-                counts.setdefault((lang, source), Counter()).update(own.count(terms))
-                for t in terms:
-                    if t not in own.terms:
-                        texts.setdefault((_shard(lang, t, shards), lang, source), []).append(t)
-                        size += len(t) + 1
-            if size >= MOST_BYTES or sum(map(len, counts.values())) >= MOST_COUNTS:
-                yield from given()
-                size = 0
-        yield from given()
+                group = places.setdefault((lang, source), [])
+                found -= len(group)
+                group.extend(own.places(terms))
+                found += len(group)
+                listed = own.terms
+                for t in [t for t in terms if t not in listed]:
+                    texts.setdefault((_shard(lang, t, shards), lang, source), []).append(t)
+                    size += len(t) + 1
+                if found >= MOST_PLACES:
+                    yield from counted()
+                    found = 0
+                if size >= MOST_BYTES:
+                    yield from sent()
+                    size, turn = 0, turn + 1
+        yield from counted()
+        yield from sent()
+
+    dealt = stored(docs.mapInArrow(lean(first), "part int, salt int, lang string, source string, text string, places array<int>, ns array<bigint>"), "divergence-dealt")
+
+    def added(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by language, source and stretch: the sums of a stretch's counts."""
+        current, sums = None, np.zeros(1 << STRETCH_BITS, np.int64)
+
+        def given() -> pa.RecordBatch:
+            at = np.flatnonzero(sums)
+            lang, source, part = current
+            terms = known.value[lang]
+            names = pa.array([terms[(part << STRETCH_BITS) + i] for i in at.tolist()], pa.binary()).cast(pa.string())
+            made = pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), names, pa.array(sums[at])], ["lang", "source", "term", "n"])
+            sums.fill(0)
+            return made
+
+        for batch in rows:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            for key, at, n in zip(keys, batch.column(3), batch.column(4), strict=True):
+                if key != current:
+                    if current is not None:
+                        yield given()
+                    current = key
+                np.add.at(sums, at.values.to_numpy(), n.values.to_numpy())
+        if current is not None:
+            yield given()
 
-    dealt = stored(docs.mapInArrow(lean(first), fields), "divergence-dealt")
+    counts = dealt.where("text IS NULL").select("lang", "source", "part", "places", "ns").repartition(partitions(spark), "lang", "source", "part").sortWithinPartitions("lang", "source", "part")
+    head_counts = counts.mapInArrow(lean(added), "lang string, source string, term string, n bigint")
 
     def own_shard(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            numbers = [_shard(lang, t.encode(), shards) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int32())], ["lang", "term", "shard"])
+            numbers, in_head = [], []
+            for lang, term in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                numbers.append(_shard(lang, term.encode(), shards))
+                in_head.append(term.encode() in head_terms(lang))
+            made = pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), batch.column(0), batch.column(1)], ["part", "lang", "text"])
+            yield made.filter(pc.invert(pa.array(in_head, pa.bool_())))
+
+    _sets: dict[str, frozenset[bytes]] = {}
 
-    tail = kept.select("lang", "term").mapInArrow(lean(own_shard), "lang string, term string, shard int")
-    tail = tail.select(F.lit(0).alias("kind"), "shard", F.explode(F.sequence(F.lit(0), F.lit(int(salts) - 1))).alias("salt"), "lang", F.lit("").alias("source"), "term", F.lit(0).cast("bigint").alias("n"))
+    def head_terms(lang: str) -> frozenset[bytes]:
+        if lang not in _sets:
+            _sets[lang] = frozenset(known.value.get(lang, []))
+        return _sets[lang]
+
+    tail = kept.select("lang", "term").mapInArrow(lean(own_shard), "part int, lang string, text string")
+    tail = tail.select("part", F.explode(F.sequence(F.lit(0), F.lit(int(salts) - 1))).alias("salt"), "lang", F.lit(None).cast("string").alias("source"), "text")
 
     def second(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by shard, salt, language and kind: a language's terms of a shard come before its texts."""
-        current, terms, own = None, [], None
+        """Sorted by shard, salt, language and source (null first): a language's terms of a shard come before its texts."""
+        current, terms, own, source, places = None, [], None, None, []
+
+        def given() -> Iterator[pa.RecordBatch]:
+            if places:
+                at, n = np.unique(np.array(places, np.int64), return_counts=True)
+                names = pa.array([terms[i] for i in at.tolist()], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([current[2]] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), names, pa.array(n, pa.int64())], ["lang", "source", "term", "n"])
+                places.clear()
+
         for batch in batches(rows, MOST_BYTES):
-            counts: dict[tuple[str, str], Counter[bytes]] = {}
-            kind, shard, salt, lang, source = (batch.column(i).to_pylist() for i in range(5))
-            for i, term in enumerate(batch.column(5)):
-                key = shard[i], salt[i], lang[i]
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            for key, of, text in zip(keys, batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if key != current or of != source or len(places) >= MOST_PLACES:
+                    yield from given()
                 if key != current:
                     current, terms, own = key, [], None
-                words = bytes(term.as_buffer())
-                if kind[i] == 0:
+                source = of
+                words = bytes(text.as_buffer())
+                if of is None:
                     terms.append(words)
                 else:
                     own = own or Automaton(terms)
-                    counts.setdefault((lang[i], source[i]), Counter()).update(own.count(words.split(b" ")))
-            out = [(g[0], g[1], t, n) for g, c in counts.items() for t, n in c.items()]
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()).cast(pa.string()), pa.array(cols[3], pa.int64())], ["lang", "source", "term", "n"])
-
-    together = tail.unionByName(dealt.where("kind = 1")).repartition(max(partitions(spark), int(shards * salts)), "shard", "salt").sortWithinPartitions("shard", "salt", "lang", "kind")
-    rest = together.mapInArrow(lean(second), "lang string, source string, term string, n bigint")
-    return dealt.where("kind = 0").select("lang", "source", "term", "n").unionByName(rest).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+                    places.extend(own.places(words.split(b" ")))
+        yield from given()
+
+    together = tail.unionByName(dealt.where("text IS NOT NULL").select("part", "salt", "lang", "source", "text")).repartition(max(partitions(spark), int(shards * salts)), "part", "salt").sortWithinPartitions("part", "salt", "lang", "source")
+    tail_counts = together.mapInArrow(lean(second), "lang string, source string, term string, n bigint").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    return head_counts.unionByName(tail_counts)
 
 
 def _p(n: Column, total: Column, terms: Column) -> Column:
