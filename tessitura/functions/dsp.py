@@ -66,6 +66,31 @@ class Biquad:
         return out
 
 
+def registers(stages: list[Biquad]) -> np.ndarray:
+    return np.concatenate([s.state for s in stages])
+
+
+def with_registers(stages: list[Biquad], state: np.ndarray) -> list[Biquad]:
+    for i, stage in enumerate(stages):
+        stage.state = np.array(state[2 * i : 2 * i + 2], float)
+    return stages
+
+
+def cascade(stages: list[Biquad], xs: np.ndarray) -> np.ndarray:
+    for stage in stages:
+        xs = stage(xs)
+    return xs
+
+
+def transition(stages: list[Biquad], n: int) -> np.ndarray:
+    """What ``n`` silent samples make of the registers of filters in a row: with it, the registers after a stretch are linear in those before it."""
+    columns = []
+    for unit in np.eye(2 * len(stages)):
+        cascade(with_registers(stages, unit), np.zeros(1))
+        columns.append(registers(stages))
+    return np.linalg.matrix_power(np.stack(columns, 1), n)
+
+
 def band_pass(hpf_hz: float, ceiling_hz: float, rate: float) -> list[Biquad]:
     """Low-pass at the ceiling, then high-pass, both kept within the band."""
     top = rate / 2

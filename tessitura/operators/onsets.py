@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.operators.windows import overlapped, within
+from tessitura.operators.windows import carried, overlapped, within
 
 #: Frames on either side of a candidate, and how many deviations above the median it must lie.
 SIDE, DEVIATIONS = 3, 2.2
@@ -34,29 +34,41 @@ def marked(spread: DataFrame, stream: str, index: str, novelty: str, loudness: C
     return judged.withColumn("candidate", keep).drop("_n", "_most", "_middle", "_spread")
 
 
-def debounced(found: DataFrame, stream: str, time_ms: str, distance_ms: int, start_ms: int = 0) -> DataFrame:
+def debounced(found: DataFrame, stream: str, time_ms: str, distance_ms: int, start_ms: int = 0, block_ms: int = 1 << 18) -> DataFrame:
     """(stream, time): candidates more than ``distance_ms`` after the one accepted last; that is ``start_ms`` at first. Null times are left out.
 
-    Times are sorted by Spark and pass in batches; all that is carried of a stream is the time accepted last.
+    Each candidate leads to the next acceptable one, so what a block of time accepts depends only on its first accepted candidate, and that is one of the few
+    within ``distance_ms`` of its beginning. A block therefore says, for each of these, which time it accepts last; a fold over these rows (a row a block)
+    gives what each block begins with, and the blocks follow their candidates in parallel. A task holds the distinct times of one block.
     """
-    times = found.select(stream, F.col(time_ms).cast("bigint").alias(time_ms)).where(F.col(time_ms).isNotNull())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = object(), start_ms
-        for batch in batches:
-            at, keys, kept = batch.column(1).to_numpy(), batch.column(0).to_pylist(), []
-            ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
-            begin = 0
-            for end in ends if keys else []:
-                if keys[begin] != key:
-                    key, last = keys[begin], start_ms
-                while (begin := begin + int(np.searchsorted(at[begin:end], last + distance_ms, side="right"))) < end:
-                    kept.append(begin)
-                    last = int(at[begin])
-                begin = end
-            yield batch.take(pa.array(kept, pa.int64()))
-
-    return times.repartition(stream).sortWithinPartitions(stream, time_ms).mapInArrow(run, times.schema)
+    times = found.select(stream, F.col(time_ms).cast("bigint").alias(time_ms)).where(F.col(time_ms) > start_ms + distance_ms).distinct().withColumn("_block", F.floor(F.col(time_ms) / block_ms))
+    key = f"`{stream}` {times.schema[stream].dataType.simpleString()}"
+
+    def exits(group: pa.Table) -> pa.Table:
+        at = np.sort(group.column(time_ms).to_numpy())
+        follow = np.searchsorted(at, at + distance_ms, side="right")
+        last = at.copy()
+        for i in range(len(at) - 1, -1, -1):
+            if follow[i] < len(at):
+                last[i] = last[follow[i]]
+        few = min(int(follow[0]) + 1, len(at))
+        return pa.table({stream: group.column(stream)[:1], "_block": group.column("_block")[:1], "first": pa.array([at[:few].tolist()], pa.list_(pa.int64())), "last": pa.array([last[:few].tolist()], pa.list_(pa.int64()))})
+
+    def after(state: int | None, row: dict) -> int | None:
+        i = 0 if state is None else bisect_right(row["first"], state + distance_ms)
+        return row["last"][i] if i < len(row["first"]) else state
+
+    def accepted(group: pa.Table, entries: pa.Table) -> pa.Table:
+        at, state, kept = np.sort(group.column(time_ms).to_numpy()), entries.column("entry")[0].as_py(), []
+        i = 0 if state is None else int(np.searchsorted(at, state + distance_ms, side="right"))
+        while i < len(at):
+            kept.append(int(at[i]))
+            i = int(np.searchsorted(at, at[i] + distance_ms, side="right"))
+        return pa.table({stream: pa.array([group.column(stream)[0].as_py()] * len(kept), group.schema.field(stream).type), time_ms: pa.array(kept, pa.int64())})
+
+    parts = times.groupBy(stream, "_block").applyInArrow(exits, f"{key}, _block bigint, first array<bigint>, last array<bigint>")
+    entries = carried(parts, stream, "_block", lambda: None, after, "bigint")
+    return times.groupBy(stream, "_block").cogroup(entries.groupBy(stream, "_block")).applyInArrow(accepted, f"{key}, `{time_ms}` bigint")
 
 
 def rising_edges(frames: DataFrame, stream: str, index: str, probability: str, threshold: float) -> DataFrame:

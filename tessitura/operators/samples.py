@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessitura.functions import dsp, signal
 from tessitura.functions.profiles import POWER, profile
 from tessitura.operators import onsets, spectra, windows
-from tessitura.operators.segmenters import Listening, MonoSegmenter
+from tessitura.operators.segmenters import MonoSegmenter
 from tessitura.operators.transcribe import folded
 
 HEARD = "hz double, clarity double, centroid double, hfc double, first double, ratio double"
@@ -48,7 +48,7 @@ def measured(hops: DataFrame, instrument: str = "Piano", silence_dbfs: float = -
     """hops (stream_id, hop_idx, sample_rate, samples) -> a row per frame: stream_id, hop_idx, ts_ms, dbfs, crest, thump, hushed, what was ``heard``, and
     candidate_ms, the time of the onset candidate that the frame confirms (three frames after it).
 
-    The recursive filter takes a stream's hops in order in one task; frames, their Python node and the onset window are dealt by stream and block.
+    The recursive filter, frames, their Python node and the onset window are all dealt by stream and block.
     """
     p = profile(instrument)
     own = spectra.filtered(hops.where("samples IS NOT NULL AND hop_idx IS NOT NULL"), p["hpf_hz"], p["ceiling_hz"])
@@ -65,9 +65,17 @@ def measured(hops: DataFrame, instrument: str = "Piano", silence_dbfs: float = -
     return spread.withColumn("candidate_ms", confirmed).where("own").drop("block", "own", "candidate")
 
 
-def notes(hops: DataFrame, instrument: str = "Piano", silence_dbfs: float = -45.0, base_ms: int = 0) -> DataFrame:
-    """Start and end events of one voice, from samples. A stream without hops gives none; hops without samples or index are left out."""
-    return folded(measured(hops, instrument, silence_dbfs, base_ms), lambda: Listening(MonoSegmenter(instrument)))
+def notes(hops: DataFrame, instrument: str = "Piano", silence_dbfs: float = -45.0, base_ms: int = 0, distance_ms: int = 60) -> DataFrame:
+    """Start and end events of one voice, from samples. A stream without hops gives none; hops without samples or index are left out.
+
+    Onset candidates are accepted ``distance_ms`` apart, in blocks of time; a hushed frame ends all notes, so the runs between hushed frames are folded
+    each on its own. No step takes a stream as one task's work.
+    """
+    frames = measured(hops, instrument, silence_dbfs, base_ms)
+    accepted = onsets.debounced(frames.select("stream_id", "candidate_ms"), "stream_id", "candidate_ms", distance_ms)
+    accepted = accepted.select(F.col("stream_id").alias("_stream"), F.col("candidate_ms").alias("onset_ms"))
+    heard_ = frames.join(accepted, F.col("stream_id").eqNullSafe(F.col("_stream")) & (F.col("candidate_ms") == F.col("onset_ms")), "left").drop("_stream", "candidate_ms")
+    return folded(heard_.withColumnRenamed("hushed", "is_silent"), lambda: MonoSegmenter(instrument))
 
 
 def resampled_at(xs: np.ndarray, first: int, rate: int, to: int, at: np.ndarray) -> np.ndarray:

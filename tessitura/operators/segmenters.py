@@ -1,9 +1,13 @@
-"""Note segmenters as plain state machines: ``step`` takes one frame and returns events. Batch folds and streaming processors run the same code."""
+"""Note segmenters as plain state machines: ``step`` takes one frame and returns events. Batch folds and streaming processors run the same code.
+
+``finalize`` ends all notes. A machine that ``resets`` is then as at its start, so what follows needs nothing of what came before.
+"""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 from tessitura.functions.profiles import profile
 
@@ -136,6 +140,7 @@ def reported(event: dict) -> list[dict]:
 class MonoSegmenter:
     """One sounding note, followed by pitch: hysteresis, hangover over short gaps, confirmed legato changes, restrikes at onsets."""
 
+    resets: ClassVar[bool] = True
     instrument: str = "Generic"
     frame_thr: float = 0.4
     note: Open | None = None
@@ -215,6 +220,7 @@ class MonoSegmenter:
 class KeySegmenter:
     """88 keys of onset and frame probabilities, each its own note."""
 
+    resets: ClassVar[bool] = True
     instrument: str = "Generic"
     onset_thr: float = 0.5
     frame_thr: float = 0.4
@@ -250,7 +256,7 @@ class KeySegmenter:
 
 @dataclass
 class PedalSegmenter:
-    """Keys with offsets and velocities under a shared pedal: restrikes are locked out for a while, and a key released under the pedal may ring on."""
+    """Keys with offsets and velocities under a shared pedal: restrikes are locked out for a while, and a key released under the pedal may ring on. The lock-out and the last onsets outlast silence."""
 
     instrument: str = "Piano"
     onset_thr: float = 0.5
@@ -324,6 +330,7 @@ class PedalSegmenter:
 class HybridSegmenter:
     """Frames with one clear pitch go to the mono segmenter, others to the keys; an open note is handed over, not restarted."""
 
+    resets: ClassVar[bool] = True
     instrument: str = "Generic"
     ratio: float = 0.55
 
@@ -393,22 +400,3 @@ class Envelope:
         else:
             self.low = min(self.low, dbfs)
         return []
-
-
-@dataclass
-class Listening:
-    """A segmenter behind the silence gate and the onset debounce. Frames carry ``candidate_ms``, the time of a candidate that this frame confirms, and
-    ``hushed``; a hushed frame ends all notes."""
-
-    machine: object
-    distance_ms: int = 60
-    last: int = 0
-
-    def step(self, f: dict) -> list[dict]:
-        onset = f.get("candidate_ms")
-        onset = onset if onset is not None and onset > self.last + self.distance_ms else None
-        self.last = self.last if onset is None else onset
-        return self.machine.finalize(f["ts_ms"]) if f["hushed"] else self.machine.step(f | {"onset_ms": onset})
-
-    def finalize(self, ts: int) -> list[dict]:
-        return self.machine.finalize(ts)

@@ -1,4 +1,4 @@
-"""DSP operators: pandas functions over batches of frames, and per-stream filters."""
+"""DSP operators: pandas functions over batches of frames, and recursive filters dealt in blocks."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.functions import dsp
+from tessitura.operators import windows
 
 
 def _mapped(kind: str, one):
@@ -69,29 +71,62 @@ def note_sones(magnitudes: Column, midi: Column, rate: float) -> Column:
     return apply(magnitudes, midi)
 
 
-def filtered(hops: DataFrame, hpf_hz: float, ceiling_hz: float, stream: str = "stream_id") -> DataFrame:
-    """hops (stream, hop_idx, sample_rate, samples) with ``samples`` band-passed, and ``thump_dbfs``, the level below the thump's limit.
+def _filters(hpf_hz: float, ceiling_hz: float, rate: float) -> tuple[list[dsp.Biquad], list[dsp.Biquad]]:
+    return dsp.band_pass(hpf_hz, ceiling_hz, rate), [dsp.Biquad(*dsp.biquad("low", dsp.THUMP_HZ, rate))]
 
-    A recursive filter carries its registers from hop to hop, so a stream is filtered in order in one task; its hops pass through one at a time.
-    """
 
-    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, stages, thump = object(), [], None
-        for batch in groups:
-            samples, levels = [], []
-            for key, rate, xs in zip(batch[stream], batch["sample_rate"], batch["samples"], strict=True):
-                if key != current:
-                    current, stages, thump = key, dsp.band_pass(hpf_hz, ceiling_hz, rate), dsp.Biquad(*dsp.biquad("low", dsp.THUMP_HZ, rate))
-                    levels.append(None)  # the thump is heard from the second hop on, the first that is new to a frame
-                else:
-                    low = thump(np.asarray(xs, float))
-                    levels.append(float(20 * np.log10(np.sqrt((low @ low) / max(len(low), 1)) + 1e-9)))
-                xs = np.asarray(xs, float)
-                for stage in stages:
-                    xs = stage(xs)
-                samples.append(xs.tolist())
-            yield batch.assign(samples=samples, thump_dbfs=pd.array(levels, "Float64"))
-
-    kept = hops.select(stream, "hop_idx", "sample_rate", F.col("samples").cast("array<double>").alias("samples"))
-    schema = f"{stream} {kept.schema[stream].dataType.simpleString()}, hop_idx bigint, sample_rate int, samples array<double>, thump_dbfs double"
-    return kept.repartition(stream).sortWithinPartitions(stream, "hop_idx").mapInPandas(run, schema)
+def filtered(hops: DataFrame, hpf_hz: float, ceiling_hz: float, stream: str = "stream_id", block: int = 256) -> DataFrame:
+    """hops (stream, hop_idx, sample_rate, samples) with ``samples`` band-passed, and ``thump_dbfs``, the level below the thump's limit, null in a stream's first hop.
+
+    A recursive filter carries its registers from hop to hop, but what a stretch of samples makes of them is linear in what they were. So a stream is dealt
+    in blocks of ``block`` hops: each is filtered from empty registers first, a row of six numbers a block gives the registers with which each one begins,
+    and the blocks are filtered from these. A stream has one rate; hops without samples pass as empty ones.
+    """
+    kept = hops.select(stream, "hop_idx", "sample_rate", F.coalesce(F.col("samples").cast("array<double>"), F.array().cast("array<double>")).alias("samples"), F.floor(F.col("hop_idx") / block).alias("_block"))
+    key = f"`{stream}` {kept.schema[stream].dataType.simpleString()}"
+
+    def hop_arrays(group: pa.Table) -> list[np.ndarray]:
+        flat, ends = group.column("samples").combine_chunks(), group.column("samples").combine_chunks().offsets.to_numpy()
+        return np.split(flat.values.to_numpy(zero_copy_only=False)[: ends[-1]], ends[1:-1]) if len(ends) > 1 else []
+
+    def ends(group: pa.Table) -> pa.Table:
+        """What the block adds to empty registers; of the thump's, also without the first hop, which it doesn't hear where the stream begins."""
+        group = group.sort_by("hop_idx")
+        xs, rate = hop_arrays(group), group.column("sample_rate")[0].as_py()
+        band, thump = _filters(hpf_hz, ceiling_hz, rate)
+        whole, rest = np.concatenate(xs), np.concatenate([np.zeros(0), *xs[1:]])
+        dsp.cascade(band, whole)
+        found = [*dsp.registers(band)]
+        for part in (whole, rest):
+            dsp.cascade(dsp.with_registers(thump, np.zeros(2)), part)
+            found += [*dsp.registers(thump)]
+        return pa.table({stream: group.column(stream)[:1], "_block": group.column("_block")[:1], "rate": group.column("sample_rate")[:1], "n": pa.array([len(whole)], pa.int64()), "ends": pa.array([found], pa.list_(pa.float64()))})
+
+    def after(state: list[float] | None, row: dict) -> list[float]:
+        added = np.array(row["ends"])
+        if state is None:
+            return [*added[:4], *added[6:8]]
+        band, thump = _filters(hpf_hz, ceiling_hz, row["rate"])
+        return [*(dsp.transition(band, row["n"]) @ state[:4] + added[:4]), *(dsp.transition(thump, row["n"]) @ state[4:] + added[4:6])]
+
+    def run(group: pa.Table, entries: pa.Table) -> pa.Table:
+        group = group.sort_by("hop_idx")
+        state, rate = entries.column("entry")[0].as_py(), group.column("sample_rate")[0].as_py()
+        band, thump = _filters(hpf_hz, ceiling_hz, rate)
+        if state is not None:
+            dsp.with_registers(band, state[:4])
+            dsp.with_registers(thump, state[4:])
+        samples, levels = [], []
+        for i, xs in enumerate(hop_arrays(group)):
+            if i == 0 and state is None:
+                levels.append(None)  # the thump is heard from the second hop on, the first that is new to a frame
+            else:
+                low = dsp.cascade(thump, xs)
+                levels.append(float(20 * np.log10(np.sqrt((low @ low) / max(len(low), 1)) + 1e-9)))
+            samples.append(dsp.cascade(band, xs))
+        return pa.table({stream: group.column(stream), "hop_idx": group.column("hop_idx"), "sample_rate": group.column("sample_rate"), "samples": pa.array(samples, pa.list_(pa.float64())), "thump_dbfs": pa.array(levels, pa.float64())})
+
+    numbered = kept.select(stream, F.col("hop_idx").cast("bigint").alias("hop_idx"), F.col("sample_rate").cast("int").alias("sample_rate"), "samples", "_block").where("hop_idx IS NOT NULL")
+    parts = numbered.groupBy(stream, "_block").applyInArrow(ends, f"{key}, _block bigint, rate int, n bigint, ends array<double>")
+    entries = windows.carried(parts, stream, "_block", lambda: None, after, "array<double>")
+    return numbered.groupBy(stream, "_block").cogroup(entries.groupBy(stream, "_block")).applyInArrow(run, f"{key}, hop_idx bigint, sample_rate int, samples array<double>, thump_dbfs double")

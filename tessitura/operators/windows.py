@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -51,3 +54,36 @@ def frame_count(n_samples: Column, hop: int, hangover: int = 5) -> Column:
 def frame_time(base_ms: Column, index: Column, hop: int, rate: Column) -> Column:
     """Epoch milliseconds of a frame, by whole-number division."""
     return base_ms + F.expr("0L") + F.floor(index * hop * 1000 / rate).cast("bigint")
+
+
+def carried(parts: DataFrame, stream: str, block: str, start: Callable[[], object], after: Callable[[object, dict], object], kind: str) -> DataFrame:
+    """(stream, block, entry): what is carried into each block of a stream, of type ``kind``. parts: a small row per block that says what the block does to
+    what is carried; ``after(state, row)`` applies it. Only these rows pass through one task in order, never the blocks themselves.
+    """
+    names = parts.columns
+    fields = f"`{stream}` {parts.schema[stream].dataType.simpleString()}, `{block}` {parts.schema[block].dataType.simpleString()}, entry {kind}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, begun = None, None, False
+        for batch in batches:
+            entries = []
+            for row in batch.to_pylist():
+                if not begun or row[stream] != key:
+                    key, state, begun = row[stream], start(), True
+                entries.append(state)
+                state = after(state, row)
+            at, nth = names.index(stream), names.index(block)
+            yield pa.RecordBatch.from_arrays([batch.column(at), batch.column(nth), pa.array(entries, pa.list_(pa.float64()) if kind == "array<double>" else pa.int64())], [stream, block, "entry"])
+
+    return parts.repartition(stream).sortWithinPartitions(stream, block).mapInArrow(run, fields)
+
+
+def counted_before(rows: DataFrame, stream: str, block: str, order: list[str], flag: Column, name: str) -> DataFrame:
+    """Adds ``name``: how many rows of the stream with ``flag`` come before, by a count within each block and the sums of the blocks before it."""
+    key, nth = f"_{stream}", f"_{block}"
+    sums = rows.groupBy(F.col(stream).alias(key), F.col(block).alias(nth)).agg(F.count_if(flag).alias("_sum"))
+    sums = sums.select(key, nth, F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy(nth).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within_ = F.sum(flag.cast("long")).over(Window.partitionBy(stream, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    own = rows.withColumn(name, F.coalesce(within_, F.lit(0)))
+    own = own.join(sums, F.col(stream).eqNullSafe(F.col(key)) & (F.col(block) == F.col(nth)))
+    return own.withColumn(name, F.col(name) + F.col("_before")).drop(key, nth, "_before")

@@ -54,6 +54,8 @@ def _envelope(row: dict) -> dict:
 
 @dataclass
 class EnvelopeStream(segmenters.Envelope):
+    resets = True
+
     def finalize(self, ts: int) -> list[dict]:
         note, self.note, self.state = self.note, None, "Idle"
         return [note.end(ts, self.p)] if note else []
