@@ -22,7 +22,7 @@ from tessitura.llm.token_counts import local_file
 #: Fixed value: the mark that stands for a space in pieces.
 MARK = "▁"
 #: Chunks up to this length and this many of them (and as many older ones) are remembered by a worker, and as many pairs of pieces.
-KEPT_CHARS, KEPT_CHUNKS = 48, 1 << 17
+KEPT_CHARS, KEPT_CHUNKS = 48, 1 << 18
 MOST_BYTES = 8 << 20
 #: A model is refused if the library encodes a text of this many of its own pieces otherwise (one of another type does).
 PROBE = 2000
@@ -98,12 +98,12 @@ class PieceEncoder:
             for end, piece in self.automaton.iter(text):
                 longest[end + 1 - len(piece)] = piece  # ends only grow, so the last piece that begins at a place is its longest
         failed = bytearray(n // 8 + 1)  # a bit per place from which no way leads on
-        out, at, before = [], 0, ""
+        out, at, before, dead = [], 0, "", False
         piece = longest[0] if n else None
         while at < n:
             while piece is not None:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and fits[before, piece]:
+                if fits[before, piece] and not (dead and failed[end >> 3] >> (end & 7) & 1):
                     break
                 piece = shorter.get(piece)
             if piece is not None:
@@ -113,6 +113,7 @@ class PieceEncoder:
                     piece = longest[at]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
+                dead = True
                 piece = shorter.get(out.pop())
                 at -= len(before)
                 before = out[-1] if out else ""
