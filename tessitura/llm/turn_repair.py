@@ -141,7 +141,7 @@ def plan(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", ro
     block = F.floor((F.col("nth") - 1) / BLOCK).alias("block")
     blocks = rows.groupBy("conv", "part", block).agg(F.array_sort(F.collect_list(struct)).alias("turns")).select("conv", "part", "block", block_fold("turns").alias("ways"))
     blocks = stored(blocks, "turns-blocks")
-    chained = blocks.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("part", "block", "ways"))).alias("blocks"))
+    chained = blocks.repartition(partitions(turns.sparkSession), "conv").groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("part", "block", "ways"))).alias("blocks"))
     chained = chained.select("conv", chain_fold("blocks").alias("found"), F.expr("transform(blocks, x -> struct(x.part, x.block))").alias("places"))
     best = stored(chained.select("conv", F.col("found.best.cost").alias("cost"), F.col("found.best.audit").alias("inner"), F.col("found.best.entries").alias("entries"), F.col("found.end").alias("end"), "places"), "turns-best")
     audits = _counts(rows).join(best.select(F.col("conv").alias("b_conv"), "cost", F.translate("inner", INNER, OUTER).alias("audit")), F.col("conv").eqNullSafe(F.col("b_conv"))).drop("b_conv")
