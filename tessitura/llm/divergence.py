@@ -241,9 +241,11 @@ def _recounted(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def _p(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE * (n + 1) / (total + terms)), exact for any count: the quotient is taken in whole decimals."""
+    """1 + floor(SCALE * (n + 1) / (total + terms)), exact for any count: where the product passes 64 bits, the quotient is taken in whole decimals."""
+    long = F.call_function("div", (n + 1) * F.lit(SCALE).cast("bigint"), F.nullif(total + terms, F.lit(0).cast("bigint")))
     top = (n.cast("decimal(28,0)") + F.lit(1).cast("decimal(1,0)")) * F.lit(SCALE).cast("decimal(10,0)")
-    return F.lit(1).cast("bigint") + F.call_function("div", top.cast("decimal(38,0)"), (total + terms).cast("decimal(38,0)")).cast("bigint")
+    wide = F.call_function("div", top.cast("decimal(38,0)"), F.nullif(total + terms, F.lit(0).cast("bigint")).cast("decimal(38,0)")).cast("bigint")
+    return F.lit(1).cast("bigint") + F.when(n < (1 << 63) // SCALE - 1, long).otherwise(wide)
 
 
 def _f(p: Column, q: Column) -> Column:
@@ -268,7 +270,12 @@ def divergence(docs: DataFrame, least: int = 3, ranks: int = 200, lang_col: str
     sums = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = docs.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = stored(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms")), "divergence-groups")
-    return _pairs(groups, postings).unionByName(_marks(groups, postings, ranks))
+    whole = groups.groupBy("lang").agg(F.sum("total").alias("l_total"))
+    of_lang = F.sum("n").over(Window.partitionBy("lang", "term"))  # a row per source
+    known = postings.withColumn("l_n", of_lang).join(groups, ["lang", "source"]).join(whole, "lang")
+    p, q = _p(F.col("n"), F.col("total"), F.col("terms")), _p(F.col("l_n"), F.col("l_total"), F.col("terms"))
+    known = stored(known.select("lang", "source", "term", p.alias("p"), q.alias("q")), "divergence-known")
+    return _pairs(groups, known).unionByName(_marks(known, ranks))
 
 
 def _ranked(rows: DataFrame, part: str) -> DataFrame:
@@ -276,15 +283,13 @@ def _ranked(rows: DataFrame, part: str) -> DataFrame:
     return rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", rank.cast("int").alias("rank"))
 
 
-def _pairs(groups: DataFrame, postings: DataFrame) -> DataFrame:
+def _pairs(groups: DataFrame, known: DataFrame) -> DataFrame:
     """Every ordered pair of a language's sources: V times f of a term in neither, and what the postings change of it."""
     none = F.lit(0).cast("bigint")
     base = groups.select("lang", "source", "terms", _p(none, F.col("total"), F.col("terms")).alias("p0"))  # p of a term that doesn't occur; null if there is no term
     base = base.withColumn("p0", F.when(F.col("terms") > 0, F.col("p0")))
     other = base.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
     pairs = base.join(other, "lang").where("source <> item")
-    known = postings.join(groups, ["lang", "source"]).select("lang", "source", "term", _p(F.col("n"), F.col("total"), F.col("terms")).alias("p"))
-    known = stored(known, "divergence-known")
     # terms of one of the two: equal p of a source count together
     bars = known.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("m"))
     own = bars.join(base.select("lang", "source", "p0"), ["lang", "source"]).join(other, "lang").where("source <> item")
@@ -302,10 +307,7 @@ def _pairs(groups: DataFrame, postings: DataFrame) -> DataFrame:
     return _ranked(pairs.join(changes, ["lang", "source", "item"], "left").withColumn("value", value), "pair")
 
 
-def _marks(groups: DataFrame, postings: DataFrame, ranks: int) -> DataFrame:
+def _marks(known: DataFrame, ranks: int) -> DataFrame:
     """The terms of a group that are likelier there than in the language, the first ``ranks`` of them."""
-    whole = groups.groupBy("lang").agg(F.sum("total").alias("l_total"))
-    per_term = postings.groupBy("lang", "term").agg(F.sum("n").alias("l_n"))
-    rows = postings.join(groups, ["lang", "source"]).join(whole, "lang").join(per_term, ["lang", "term"])
-    rows = rows.select("lang", "source", F.col("term").alias("item"), _p(F.col("n"), F.col("total"), F.col("terms")).alias("p"), _p(F.col("l_n"), F.col("l_total"), F.col("terms")).alias("q"))
-    return _ranked(rows.where("p > q").withColumn("value", _f(F.col("p"), F.col("q"))), "term").where(F.col("rank") <= ranks)
+    rows = known.where("p > q").select("lang", "source", F.col("term").alias("item"), _f(F.col("p"), F.col("q")).alias("value"))
+    return _ranked(rows, "term").where(F.col("rank") <= ranks)
