@@ -31,7 +31,9 @@ MOST_LANGUAGES = 256
 HIDDEN = ("script", "style", "noscript", "template")
 OPENS = re.compile(rf"<(?:(!--)|({'|'.join(HIDDEN)})\b|(?=[A-Za-z/!?]))", re.IGNORECASE)
 CLOSES = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in HIDDEN} | {"!--": re.compile("-->"), "": re.compile(">")}
-DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.IGNORECASE)
+#: The attribute in an ``html`` tag; what white space and quotes take is not given back, so a tag of any length is read once.
+DECLARED = re.compile(r"(?<![-\w:])lang\s*+=\s*+[\"']?+\s*+([A-Za-z]{2,3})\b", re.IGNORECASE)
+HTML = re.compile(r"<html\b", re.IGNORECASE)
 #: A country's suffix under which others register one label further down is known by these second labels.
 SECOND = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "mil", "ne", "net", "nom", "or", "org")
 DOMAIN = rf"([^.]+\.(?:(?:{'|'.join(SECOND)})\.[a-z]{{2}}|[^.]+))$"
@@ -46,9 +48,12 @@ def grams(text: str) -> np.ndarray:
     return (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)
 
 
-def visible(html: str) -> str:
-    """The whole text without markup, comments and hidden elements. What is opened and never closed counts as its tag, or as text. One pass."""
-    out, at, missing = [], 0, set()
+def read_markup(html: str) -> tuple[str, str | None]:
+    """(text, declared): the whole text without markup, comments and hidden elements, and the language that the first ``html`` tag with one declares.
+
+    What is opened and never closed counts as its tag, or as text. Tags in comments and hidden elements declare nothing. One pass.
+    """
+    out, at, missing, said = [], 0, set(), None
 
     def end(kind: str, start: int) -> int:
         """Where the closing mark ends, -1 without one; a mark once missed is not looked for again."""
@@ -68,15 +73,19 @@ def visible(html: str) -> str:
             out.append("<")
             at = m.start() + 1
         else:
+            if said is None and not kind and HTML.match(html, m.start()):
+                said = DECLARED.search(html, m.start(), till)
             out.append(" ")
             at = till
-    return unescape("".join([*out, html[at:]]))
+    return unescape("".join([*out, html[at:]])), said.group(1).lower() if said else None
+
+
+def visible(html: str) -> str:
+    return read_markup(html)[0]
 
 
 def declared(html: str) -> str | None:
-    """The language that the first ``html`` tag declares."""
-    m = DECLARED.search(html)
-    return m.group(1).lower() if m else None
+    return read_markup(html)[1]
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
@@ -95,12 +104,13 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
     texts = docs.select(F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND lang != ''")
     if texts.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    rows = texts.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # languages times BUCKETS at most
-    langs = sorted({r["lang"] for r in rows})
+    rows = texts.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages times BUCKETS numbers at most
+    names = rows.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
     table = np.full((len(langs), BUCKETS), SMOOTH)
-    at = {x: i for i, x in enumerate(langs)}
-    for r in rows:
-        table[at[r["lang"]], r["bucket"]] += r["n"]
+    order = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
+    if langs:
+        table[order[names.indices.to_numpy()], rows.column("bucket").to_numpy()] += rows.column("n").to_numpy()
     return langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32) if langs else np.zeros((0, BUCKETS), np.float32)
 
 
@@ -133,12 +143,13 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
         for batch in batches(rows):
             likely, said = [], []
             for html in strings(batch.column(2)).to_pylist():
-                found = np.bincount(grams(visible(html)), minlength=BUCKETS)
+                text, language = read_markup(html)
+                found = np.bincount(grams(text), minlength=BUCKETS)
                 at = np.flatnonzero(found)
                 z = table[:, at] @ found[at] / TEMPER if len(at) else np.zeros(len(table))
                 z = np.maximum(z - z.max(initial=-np.inf), -CEILING) if len(z) else z
                 likely.append(z.tolist())
-                said.append(declared(html))
+                said.append(language)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(likely, pa.list_(pa.float64()))], ["id", "url", "declared", "likely"])
 
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

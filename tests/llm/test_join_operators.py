@@ -406,3 +406,15 @@ def test_a_common_seed_makes_no_pairs(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_declarations_are_read_once_and_only_in_tags():
+    began = time.time()
+    for piece in (" ", "lang", "lang ", "lang=", "lang = ", "<html lang=", "<!-- ", "='"):
+        langid.declared("<html lang=" + piece * (1_000_000 // len(piece)) + "1")
+    assert time.time() - began < 8
+    cases = {
+        "<!-- <html lang='xx'> --><html lang='de'>": "de", "<html data-lang='xx'>": None, "<html xml:lang='xx' lang = \"fr-CA\">": "fr", "<HTML LANG=es>": "es", "<script><html lang=xx></script>": None, "<html lang": None,
+        "<html><html lang=en>": "en", "text <html lang='it'": None, "<htmlx lang=de>": None, "<html lang=''>": None,
+    }
+    assert {html: langid.declared(html) for html in cases} == cases
