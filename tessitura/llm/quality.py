@@ -183,7 +183,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     ids = docs.select(F.col(id_col).cast("bigint").alias("id")).where("id IS NOT NULL").groupBy("id").count().select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     # the sample is bounded, so it may be broadcast and its features may meet in one task
-    models = texts.join(F.broadcast(ids), "id").select("id", "text").mapInArrow(lean(make), "id bigint, cols binary, x binary, good double").repartition(1).mapInArrow(lean(learn), "weights binary, bias double").collect()
+    made = texts.join(F.broadcast(ids), "id").select("id", "text").mapInArrow(lean(make), "id bigint, cols binary, x binary, good double")
+    made = made.groupBy("id").agg(F.min(F.struct("cols", "x", "good")).alias("one")).select("id", "one.*")  # of an id that many rows share one text counts
+    models = made.repartition(1).mapInArrow(lean(learn), "weights binary, bias double").collect()
     return good, (np.frombuffer(models[0]["weights"], "<f4"), models[0]["bias"]) if models else (np.zeros(BUCKETS, np.float32), 0.0)
 
 

@@ -134,6 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
 
     # the sample is bounded, so it may be broadcast and its features may meet in one task
     labelled = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(lean(features), "id bigint, label int, found binary")
+    labelled = labelled.groupBy("id", "label").agg(F.min("found").alias("found"))  # of an id that many rows share one text counts
     models = labelled.repartition(1).mapInArrow(lean(learn), "weights binary, bias double").collect()
     return (np.frombuffer(models[0]["weights"], "<f4"), models[0]["bias"]) if models else (np.zeros(BUCKETS, np.float32), 0.0)
 

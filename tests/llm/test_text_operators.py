@@ -414,3 +414,11 @@ def test_votes_equal_a_loop(spark):
     docs = [(i, " ".join(pick.choice(["Alpha", "beta", "gam", "é漢", "delta" * 5, "x"]) for _ in range(pick.randint(0, 40)))) for i in range(30)] + [(99, ""), (100, "one")]
     got = {r["doc_id"]: (r["f1"], r["f2"]) for r in simhash.fingerprints(spark.createDataFrame(docs, SCHEMA), ["doc_id"]).collect()}
     assert got == {i: fingerprint_by_loop(t) for i, t in docs}
+
+
+def test_an_id_of_many_rows_teaches_as_one(spark):
+    docs, labels = labelled(spark)
+    first = docs.orderBy("doc_id").where(~toxicity.held_out()).limit(1)
+    again = docs.unionByName(first.crossJoin(spark.range(50)).select(*docs.columns))
+    (one, bias), (two, same) = (toxicity.train(d, labels, ~toxicity.held_out()) for d in (docs, again))
+    assert np.array_equal(one, two) and bias == same
