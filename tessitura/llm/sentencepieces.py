@@ -59,8 +59,10 @@ class PieceEncoder:
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.automaton = ahocorasick.Automaton()
         for piece in self.plain:
-            self.automaton.add_word(piece, piece)
-        if self.plain:
+            if len(piece) > 1:  # a character alone is there without a search
+                self.automaton.add_word(piece, piece)
+        self.searches = len(self.automaton) > 0
+        if self.searches:
             self.automaton.make_automaton()
         self.shorter = {p: self._shorter(p) for p in self.plain if len(p) > 1}
         # where no piece goes on from another character to a mark, no merge does either, and a text falls apart before each run of marks
@@ -68,6 +70,9 @@ class PieceEncoder:
         self.chunks = (lambda text: [text]) if joined else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.fits = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [p for p in pair if p])
         self.known = Memo(self.chunk_ids)
+        # a model that leaves every character as it is, and white space too, only marks spaces
+        every = "".join(map(chr, [*range(1, 0x2581), *range(0x2582, 0xD800), *range(0xE000, 0x20000)]))
+        self.as_it_is = all(sp.normalize(t) == self.marked(t) for t in (every, "  a  b ", "e\u0301 \u1100\u1161"))
         probe = " ".join(p.replace(MARK, " ") for p in list(self.plain)[:PROBE])
         if any(sp.is_unused(i) for i in ids) or self.ids(probe) != sp.encode(probe):
             raise ValueError("not a merge-type model of plain pieces")
@@ -94,7 +99,7 @@ class PieceEncoder:
         """The pieces of a normalised text; a character that no piece holds is one of its own."""
         n, fits, shorter = len(text), self.fits, self.shorter
         longest = list(text)
-        if self.plain:
+        if self.searches:
             for end, piece in self.automaton.iter(text):
                 longest[end + 1 - len(piece)] = piece  # ends only grow, so the last piece that begins at a place is its longest
         failed = bytearray(n // 8 + 1)  # a bit per place from which no way leads on
@@ -132,8 +137,12 @@ class PieceEncoder:
                 out.append(-1)
         return tuple(out)
 
+    @staticmethod
+    def marked(text: str) -> str:
+        return MARK + text.replace(" ", MARK) if text else ""
+
     def ids(self, text: str) -> list[int]:
-        chunks = self.chunks(self.library.normalize(text))
+        chunks = self.chunks(self.marked(text) if self.as_it_is else self.library.normalize(text))
         found = list(chain.from_iterable(map(self.known.__getitem__, chunks)))
         if self.bytes:
             return found
