@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,30 @@ def debounced(found: DataFrame, stream: str, time_ms: str, distance_ms: int, sta
     return times.groupBy(stream, "_block").cogroup(entries.groupBy(stream, "_block")).applyInArrow(accepted, f"{key}, `{time_ms}` bigint")
 
 
+class OnsetRing:
+    """Candidates and their spacing for one stream, frame by frame, as ``candidates`` and ``debounced`` find them in whole tables: a ring of the frames around a
+    candidate is all that is kept. ``step`` takes ts_ms, novelty and dbfs; an onset is reported SIDE frames after it."""
+
+    def __init__(self, distance_ms: int = 60, start_ms: int = 0, least_loudness: float = -45.0):
+        self.ring: deque[tuple[int, float, float]] = deque(maxlen=2 * SIDE + 1)
+        self.distance_ms, self.last, self.least = distance_ms, start_ms, least_loudness
+
+    def step(self, f: dict) -> list[dict]:
+        self.ring.append((f["ts_ms"], f["novelty"], f["dbfs"]))
+        if len(self.ring) <= 2 * SIDE:
+            return []
+        at, novelty, dbfs = self.ring[SIDE]
+        around = np.array([n for _, n, _ in self.ring])
+        loud = novelty > 0 and novelty >= around.max() and novelty >= np.median(around) + DEVIATIONS * around.std() and dbfs >= self.least
+        if not loud or at <= self.last + self.distance_ms:
+            return []
+        self.last = at
+        return [{"kind": "onset", "strike_ms": at, "dbfs": dbfs}]
+
+    def finalize(self, ts: int) -> list[dict]:
+        return []
+
+
 def rising_edges(frames: DataFrame, stream: str, index: str, probability: str, threshold: float) -> DataFrame:
     """Adds ``edge``: at or above the threshold and not below the frame before (0 before the first)."""
     spread = overlapped(frames, index, 1, 0)

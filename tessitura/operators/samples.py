@@ -130,15 +130,38 @@ def mel_contexts(mels: DataFrame, stream: str = "stream_id") -> DataFrame:
 
 
 def key_loudness(magnitudes: Column, keys: Column, rate: float) -> Column:
-    """map<int, double>: sones of each of the keys (array<int>) that sound or are open, by its share of the spectrum's loudness."""
+    """map<int, double>: sones of each of the keys (array<int>) that sound or are open, by its share of the spectrum's loudness. Null for null spectra or keys."""
 
     @F.pandas_udf("array<double>")
     def apply(spectra_: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([None if m is None or k is None else [dsp.note_loudness(np.asarray(m, float), rate, int(x)) for x in k] for m, k in zip(spectra_, wanted, strict=True)])
+        out = pd.Series([None] * len(spectra_), dtype=object)
+        rows = [i for i, (m, k) in enumerate(zip(spectra_, wanted, strict=True)) if m is not None and k is not None]
+        sizes = np.array([len(spectra_.iloc[i]) for i in rows])
+        for size in np.unique(sizes):  # spectra of one length go through together
+            some = [i for i, n in zip(rows, sizes, strict=True) if n == size]
+            asked = [np.asarray(wanted.iloc[i], int) for i in some]
+            known = np.unique(np.concatenate(asked))
+            sones = dsp.key_loudness(np.array([spectra_.iloc[i] for i in some], float).reshape(len(some), size), rate, known) if size and len(known) else np.zeros((len(some), len(known)))
+            for i, row, k in zip(some, sones, asked, strict=True):
+                out.iloc[i] = row[np.searchsorted(known, k)]
+        return out
 
     return F.map_from_arrays(keys, apply(magnitudes, keys))
 
 
+def with_loudness(activations: DataFrame, spectra_: DataFrame, rate: float, frame_thr: float = 0.4, stream: str = "stream_id", order: str = "ts_ms") -> DataFrame:
+    """activations (stream, time, keys: map of midi to (onset, frame)) with ``sones``, a map for the keys that are active or were in the frame before, from the
+    spectra (stream, time, magnitudes) of the same times; null where there is no spectrum. Joined before a segmenter takes the frames."""
+    index = F.floor(F.col(order)).cast("bigint")
+    active = F.filter(F.map_keys("keys"), lambda k: F.element_at("keys", k)["frame"] >= frame_thr)
+    before = F.lag(active).over(Window.partitionBy(stream, "_block").orderBy(order))
+    spread = windows.overlapped(activations.withColumn("_at", index), "_at", 1 << 10, 0, 1 << 18).withColumnRenamed("block", "_block")  # a frame's predecessor lies at most a second back
+    wanted = spread.withColumn("_keys", F.array_sort(F.array_union(active, F.coalesce(before, F.array().cast("array<int>"))))).where("own").drop("_at", "_block", "own")
+    heard_ = spectra_.select(F.col(stream).alias("_stream"), F.col(order).alias("_time"), F.col("magnitudes").alias("_m"))
+    joined = wanted.join(heard_, F.col(stream).eqNullSafe(F.col("_stream")) & (F.col(order) == F.col("_time")), "left")
+    return joined.withColumn("sones", key_loudness(F.col("_m"), F.col("_keys"), rate)).drop("_stream", "_time", "_m", "_keys")
+
+
 def scored(contexts: DataFrame, scorer, schema: str = "midi int, onset_p double, frame_p double", stream: str = "stream_id") -> DataFrame:
     """Key activations of contexts by a scorer: a function that takes an array (contexts, CONTEXT, MEL_BANDS) and gives, per context, a list of rows of
     ``schema``. The scorer is sent to the tasks; models are loaded by it there."""
