@@ -226,14 +226,32 @@ def specific_loudness(magnitude: np.ndarray, rate: float) -> np.ndarray:
     return np.where(ratio > 1, SCALE * ((1 + ratio) ** GROWTH - 1), 0.0)
 
 
-def note_loudness(magnitude: np.ndarray, rate: float, midi: int, harmonics: int = 12) -> float:
-    """Sones of one note: of each band's loudness the share of its power that lies within a bin of one of the note's harmonics."""
-    band = band_of_bins(len(magnitude), rate)
-    total = band_sums(magnitude**2, band)
-    f0 = 440 * 2 ** ((midi - 69) / 12)
-    centres = np.round(f0 * np.arange(1, harmonics + 1) * 2 * len(magnitude) / rate).astype(int)
-    bins = np.unique((centres[:, None] + np.arange(-1, 2)).ravel())
-    near = np.zeros(len(magnitude), bool)
-    near[bins[(bins >= 0) & (bins < len(magnitude))]] = True
-    own = band_sums(np.where(near, magnitude**2, 0.0), band)
-    return float((specific_loudness(magnitude, rate) * np.divide(own, total, out=np.zeros(BANDS), where=total > 0)).sum())
+def near_bins(midi: int, bins: int, rate: float, harmonics: int = 12) -> np.ndarray:
+    """The bins within one of a key's harmonics."""
+    centres = np.round(440 * 2 ** ((midi - 69) / 12) * np.arange(1, harmonics + 1) * 2 * bins / rate).astype(int)
+    found = np.unique((centres[:, None] + np.arange(-1, 2)).ravel())
+    return found[(found >= 0) & (found < bins)]
+
+
+def key_loudness(spectra: np.ndarray, rate: float, keys: np.ndarray) -> np.ndarray:
+    """Sones of each key in each spectrum (rows): of each band's loudness the share of its power that lies near the key's harmonics.
+
+    All spectra at once: powers to bands, bands to loudness, and back to bins as the loudness that a bin stands for; a key then sums its bins.
+    """
+    bins = spectra.shape[1]
+    band = band_of_bins(bins, rate)
+    in_band = (band[:, None] == np.arange(BANDS)).astype(float)
+    power = spectra**2
+    total = power @ in_band
+    ratio = total / (2 * bins) ** 2 @ spreading().T / quiet_power()
+    loud = np.where(ratio > 1, SCALE * ((1 + np.maximum(ratio, 0)) ** GROWTH - 1), 0.0)
+    per_power = np.divide(loud, total, out=np.zeros_like(loud), where=total > 0)
+    near = np.zeros((bins, len(keys)))
+    for i, midi in enumerate(keys.tolist()):
+        near[near_bins(midi, bins, rate), i] = 1.0
+    return power * (per_power @ in_band.T) @ near
+
+
+def note_loudness(magnitude: np.ndarray, rate: float, midi: int) -> float:
+    """Sones of one key in one magnitude spectrum."""
+    return float(key_loudness(np.asarray(magnitude, float)[None], rate, np.array([midi]))[0, 0])

@@ -149,6 +149,11 @@ def override_velocity(dynamics: Column) -> Column:
     return F.least(F.greatest(dynamics / 100.0 * 90.0, F.lit(1.0)), F.lit(127.0)).cast("int")
 
 
+def attack_slope(peak: Column, onset: Column, rise_s: Column) -> Column:
+    """Decibels a second from the onset to the peak; a rise counts as a millisecond at least. A null gives null."""
+    return (peak - onset) / F.greatest(rise_s, F.when(rise_s.isNotNull(), F.lit(0.001)))
+
+
 def articulation(duration: Column, legato: Column, slope: Column, rise: Column, crest: Column, velocity: Column, profile: dict[str, Column]) -> Column:
     """Legato before Marcato (a steep short attack, or a loud one with a high crest) before Staccato before Tenuto before Normal."""
     struck = (slope >= profile["rise_min_slope"] * 100.0) & (rise <= profile["rise_max_s"]) | (velocity >= 90) & (crest >= 15.0)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessitura.functions import signal
-from tessitura.operators import notes, spectra
+from tessitura.functions import dsp, signal
+from tessitura.operators import notes, samples, spectra
 from tessitura.operators import windows as win
+from tessitura.sources import wav
+from tessitura.tables import fresh_path
 
 X = "CAST(embedding AS DOUBLE[])"
 
@@ -63,15 +65,15 @@ SQL_FRAMES = f"""WITH v AS (SELECT vec_id, label, list_sum(list_transform({X}, l
 
 
 def mel_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last four vectors of a label as one context, oldest first, padded with the log floor."""
-    df = win.overlapped(win.numbered(_vectors(spark, sf_dir), "label", "vec_id"), "frame_idx", 3, 0)
-    df = df.withColumn("seen", F.flatten(F.collect_list("x").over(win.within("label", "frame_idx", 3, 0)))).where("own")
-    context = F.concat(F.array_repeat(F.lit(-11.5129), F.lit(256) - F.size("seen")), F.col("seen"))
+    """The last 32 vectors of a label as one context, oldest first, padded with the log floor."""
+    df = win.overlapped(win.numbered(_vectors(spark, sf_dir), "label", "vec_id"), "frame_idx", 31, 0)
+    df = df.withColumn("seen", F.flatten(F.collect_list("x").over(win.within("label", "frame_idx", 31, 0)))).where("own")
+    context = F.concat(F.array_repeat(F.lit(-11.5129), F.lit(2048) - F.size("seen")), F.col("seen"))
     return df.select("vec_id", F.size(context).alias("n"), F.round(signal.total(context), 5).alias("total"))
 
 
-SQL_CONTEXT = f"""WITH v AS (SELECT vec_id, label, list_sum({X}) AS s FROM embeddings), w AS (SELECT vec_id, sum(s) OVER k AS s, count(*) OVER k AS n FROM v WINDOW k AS (PARTITION BY label ORDER BY vec_id ROWS 3 PRECEDING))
-    SELECT vec_id, 256 AS n, round(s + (4 - n) * 64 * -11.5129::DOUBLE, 5) AS total FROM w"""
+SQL_CONTEXT = f"""WITH v AS (SELECT vec_id, label, list_sum({X}) AS s FROM embeddings), w AS (SELECT vec_id, sum(s) OVER k AS s, count(*) OVER k AS n FROM v WINDOW k AS (PARTITION BY label ORDER BY vec_id ROWS 31 PRECEDING))
+    SELECT vec_id, 2048 AS n, round(s + (32 - n) * 64 * -11.5129::DOUBLE, 5) AS total FROM w"""
 
 
 def stereo_to_mono(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +121,42 @@ def filtered_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectra.filtered(hops, 200.0, 2000.0).select("stream_id", "hop_idx", signal.loudness(F.col("samples")).alias("dbfs"), "thump_dbfs")
 
 
+def key_sones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as spectra at 44.1 kHz and as activations of 64 keys: sones of the keys that sound, or sounded in the label's vector before."""
+    df = win.numbered(_vectors(spark, sf_dir), "label", "vec_id").withColumn("ts_ms", F.col("frame_idx") * 20)
+    keys = F.map_from_arrays(F.sequence(F.lit(21), F.lit(84)), F.transform("x", lambda a: F.struct(F.lit(0.0).alias("onset"), (F.abs(a) * 3.0).alias("frame"))))
+    activations = df.select(F.col("label").alias("stream_id"), "ts_ms", "vec_id", keys.alias("keys"))
+    spectra_ = df.select(F.col("label").alias("stream_id"), "ts_ms", F.transform("x", F.abs).alias("magnitudes"))
+    loud = samples.with_loudness(activations, spectra_, 44100.0, 0.7)
+    return loud.select("vec_id", F.explode("sones").alias("midi", "sones")).select("vec_id", "midi", F.round("sones", 6).alias("sones"))
+
+
+SQL_SONES = f"""WITH v AS (SELECT vec_id, list_transform({X}, lambda a: abs(a)) AS m, lag({X}) OVER (PARTITION BY label ORDER BY vec_id) AS l FROM embeddings), z AS (SELECT unnest({list(dsp.BARK_HZ)}::DOUBLE[]) AS hz, unnest(range(25)) AS z),
+    e AS (SELECT z, greatest(1, least(64, round_even(hz * 128 / 44100, 0)::INT)) AS edge, hz FROM z), b AS (SELECT a.z, a.edge AS low, greatest(b.edge, a.edge + 1) AS high, greatest((a.hz + b.hz) / 2000, 0.02) AS k FROM e a JOIN e b ON b.z = a.z + 1),
+    q AS (SELECT z, pow(10::DOUBLE, (3.64::DOUBLE * pow(k, -0.8::DOUBLE) - 6.5::DOUBLE * exp(-0.6::DOUBLE * pow(k - 3.3::DOUBLE, 2)) + 1e-3::DOUBLE * pow(k, 4) - 94) / 10) AS quiet FROM b),
+    i AS (SELECT i, (SELECT min(z) FROM b WHERE low <= i AND i < high) AS z FROM range(64) r(i)), p AS (SELECT vec_id, i.i, i.z, m[i.i + 1] * m[i.i + 1] AS w FROM v, i WHERE z IS NOT NULL), t AS (SELECT vec_id, z, sum(w) AS w FROM p GROUP BY ALL),
+    s AS (SELECT t.vec_id, b.z, sum(t.w / 16384 * CASE WHEN b.z >= t.z THEN pow(10::DOUBLE, -1.2::DOUBLE * (b.z - t.z)) ELSE pow(10::DOUBLE, -2.7::DOUBLE * (t.z - b.z)) END) / any_value(q.quiet) AS r FROM t, b JOIN q ON q.z = b.z GROUP BY ALL),
+    n AS (SELECT s.vec_id, s.z, CASE WHEN r > 1 AND w > 0 THEN 0.08::DOUBLE * (pow(1 + r, 0.23::DOUBLE) - 1) / w ELSE 0 END AS per FROM s JOIN t ON t.vec_id = s.vec_id AND t.z = s.z),
+    h AS (SELECT DISTINCT k + 21 AS midi, round_even(440 * pow(2::DOUBLE, (k + 21 - 69) / 12.0::DOUBLE) * h * 128 / 44100, 0)::INT + d AS i FROM range(64) a(k), range(1, 13) c(h), (VALUES (-1), (0), (1)) f(d)),
+    a AS (SELECT vec_id, unnest(list_distinct(list_filter(range(21, 85), lambda k: m[k - 20] * 3 >= 0.7::DOUBLE) || list_filter(range(21, 85), lambda k: l IS NOT NULL AND abs(l[k - 20]) * 3 >= 0.7::DOUBLE))) AS midi FROM v)
+    SELECT a.vec_id, a.midi::INT AS midi, round(coalesce(sum(w * per), 0), 6) AS sones FROM a LEFT JOIN h ON h.midi = a.midi LEFT JOIN p ON p.vec_id = a.vec_id AND p.i = h.i LEFT JOIN n ON n.vec_id = p.vec_id AND n.z = p.z GROUP BY a.vec_id, a.midi"""
+
+
+def wav_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a label as a file of 16-bit samples, written and read back in ranges of 64 KB: the energy of each hop."""
+    values = _vectors(spark, sf_dir).select(F.col("label").alias("stream_id"), "vec_id", F.posexplode("x").alias("place", "v"))
+    files = fresh_path(spark, "wavs")
+    wav.write_wavs(values.select("stream_id", (F.col("vec_id") * 64 + F.col("place")).alias("idx"), F.floor(F.col("v") * 1000).alias("value")), files, 44100).write.format("noop").mode("overwrite").save()
+    energy = F.aggregate("samples", F.lit(0).cast("bigint"), lambda a, v: a + F.round(v * 32768 * v * 32768).cast("bigint"))
+    return wav.read_wav(spark, files, 1 << 16).select(F.regexp_extract("stream_id", r"([^/]+)\.wav$", 1).alias("label"), "hop_idx", "sample_rate", energy.alias("energy"))
+
+
+SQL_WAV = """WITH v AS (SELECT label::VARCHAR AS label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn, count(*) OVER (PARTITION BY label) * 64 AS n, embedding, unnest(range(64)) AS i FROM embeddings),
+    s AS (SELECT label, n, (rn * 64 + i) // 512 AS hop, floor(CAST(embedding[i + 1] AS DOUBLE) * 1000)::BIGINT AS q FROM v), e AS (SELECT label, hop, sum(q * q)::BIGINT AS energy FROM s GROUP BY ALL),
+    h AS (SELECT label, unnest(range((n + 5 * 512 + 511) // 512)) AS hop_idx FROM (SELECT DISTINCT label, n FROM s)) SELECT h.label, hop_idx, 44100::INT AS sample_rate, coalesce(energy, 0) AS energy FROM h LEFT JOIN e ON h.label = e.label AND h.hop_idx = e.hop"""
+
+
 QUERIES = {
     "frame_features": (frame_features, SQL_FEATURES), "spectral_flux": (spectral_flux, SQL_FLUX), "magnitude_spectrum": (magnitude_bins, SQL_SPECTRUM), "overlapping_frames": (overlapping_frames, SQL_FRAMES), "mel_context": (mel_context, SQL_CONTEXT),
-    "stereo_to_mono": (stereo_to_mono, SQL_MONO), "wav_frame_count": (wav_frame_count, SQL_COUNT), "harmonic_sieve": (harmonic_sieve, SQL_SIEVE), "pitch_and_loudness": (pitch_and_loudness, None), "filtered_hops": (filtered_hops, None),
+    "stereo_to_mono": (stereo_to_mono, SQL_MONO), "wav_frame_count": (wav_frame_count, SQL_COUNT), "harmonic_sieve": (harmonic_sieve, SQL_SIEVE), "pitch_and_loudness": (pitch_and_loudness, None), "filtered_hops": (filtered_hops, None), "wav_energy": (wav_energy, SQL_WAV), "key_sones": (key_sones, SQL_SONES),
 }

@@ -12,8 +12,8 @@ from tessitura.operators import playback, samples, segmenters
 from tessitura.operators.tempo import TempoTracker
 from tessitura.operators.transcribe import folded, plain
 from tessitura.plans.events import frames
-from tessitura.sources import scores
-from tessitura.tables import stored
+from tessitura.sources import scores, wav
+from tessitura.tables import fresh_path, stored
 
 
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,16 +150,36 @@ SQL_JUMPS_PLAYED = """WITH b AS (SELECT o_custkey, row_number() OVER (PARTITION
     SELECT o_custkey::VARCHAR AS score, (row_number() OVER (PARTITION BY o_custkey ORDER BY leg, measure) - 1)::INT AS pos, measure::INT AS measure FROM l"""
 
 
-def heard_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of a nation as a stream of samples, each a tone with a rest after it; the notes that are heard."""
+def _tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a nation as hops of a stream, each a tone of 18 hops with a rest of 6 after it: stream_id, hop_idx, samples."""
     w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
     tones = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_nationkey", F.row_number().over(w).alias("nth"), (F.lit(440.0) * F.pow(F.lit(2.0), (F.col("s_suppkey") % 24 - 12) / 12.0)).alias("hz"))
     hops = tones.select(F.col("s_nationkey").alias("stream_id"), ((F.col("nth") - 1) * 24).alias("first"), "hz", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("k"))
     value = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.when(F.col("k") < 18, F.lit(0.5) * F.sin(F.lit(2 * math.pi) * F.col("hz") * (F.col("k") * 512 + i) / 44100.0)).otherwise(0.0))
-    return samples.notes(hops.select("stream_id", (F.col("first") + F.col("k")).cast("bigint").alias("hop_idx"), F.lit(44100).alias("sample_rate"), value.alias("samples")))
+    return hops.select("stream_id", (F.col("first") + F.col("k")).cast("bigint").alias("hop_idx"), value.alias("samples"))
+
+
+def heard_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes that are heard in the suppliers' tones."""
+    return samples.notes(_tones(spark, sf_dir).select("stream_id", "hop_idx", F.lit(44100).alias("sample_rate"), "samples"))
+
+
+def wav_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' tones written as 16-bit WAV files and read back in ranges: the keys of the notes that begin, in order; strikes of one key in a row (rounding makes some) count once."""
+    values = _tones(spark, sf_dir).select("stream_id", "hop_idx", F.posexplode("samples").alias("place", "v"))
+    files = fresh_path(spark, "tones")
+    wav.write_wavs(values.select("stream_id", (F.col("hop_idx") * 512 + F.col("place")).alias("idx"), F.round(F.col("v") * 32767).alias("value")), files, 44100).write.format("noop").mode("overwrite").save()
+    heard = samples.notes(wav.read_wav(spark, files, 1 << 20).drop("error")).where("kind = 'start'")
+    order = Window.partitionBy("stream_id").orderBy("strike_ms")
+    changes = heard.withColumn("before", F.lag("midi").over(order)).where("before IS NULL OR before <> midi")
+    return changes.select(F.regexp_extract("stream_id", r"([^/]+)\.wav$", 1).alias("nation"), F.row_number().over(order).alias("nth"), "midi")
+
+
+SQL_HEARD = """WITH m AS (SELECT s_nationkey, s_suppkey, s_suppkey % 24 + 57 AS midi, lag(s_suppkey % 24 + 57) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS before FROM supplier)
+    SELECT s_nationkey::VARCHAR AS nation, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey))::INT AS nth, midi::INT AS midi FROM m WHERE before IS NULL OR before <> midi"""
 
 
 QUERIES = {
     "mono_notes": (mono_notes, None), "pedalled_notes": (pedalled_notes, None), "hybrid_notes": (hybrid_notes, None), "envelope_notes": (envelope_notes, None), "beats": (beats, None),
-    "volta_playback": (volta_playback, SQL_VOLTAS_PLAYED), "jump_playback": (jump_playback, SQL_JUMPS_PLAYED), "heard_notes": (heard_notes, None), "score_parse": (score_parse, SQL_PARSE), "played_notes": (played_notes, SQL_PLAYED),
+    "volta_playback": (volta_playback, SQL_VOLTAS_PLAYED), "jump_playback": (jump_playback, SQL_JUMPS_PLAYED), "heard_notes": (heard_notes, None), "wav_notes": (wav_notes, SQL_HEARD), "score_parse": (score_parse, SQL_PARSE), "played_notes": (played_notes, SQL_PLAYED),
 }

@@ -9,6 +9,7 @@ from tessitura.functions import theory
 from tessitura.functions.profiles import instrument_profiles, profile
 from tessitura.operators import library, measures
 from tessitura.plans.events import case_sql, phons_sql
+from tessitura.tables import fresh_path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -316,12 +317,37 @@ SQL_RESPONSE = "SELECT p_name AS title, p_brand AS composer, p_size AS song_leng
 
 
 def library_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The composers of the library, the one with the last saved sheet first."""
-    ranked = sheets(spark, sf_dir).groupBy("composer").agg(F.max("saved_at").alias("saved_at"), F.count(F.lit(1)).alias("n"))
-    return ranked.orderBy(F.desc("saved_at"))
+    """The whole library, the sheet saved last first, with each sheet's place."""
+    ranked = library.page(sheets(spark, sf_dir), 1 << 20, 1 << 10, F.desc("saved_at"), "mxl").select("mxl", "composer", "saved_at")
+    return library.placed(ranked, "place", F.desc("saved_at"), "mxl")
 
 
-SQL_LISTING = f"WITH {SQL_SHEETS} SELECT composer, max(saved_at) AS saved_at, count(*) AS n FROM s GROUP BY 1 ORDER BY 2 DESC"
+SQL_LISTING = f"WITH {SQL_SHEETS} SELECT mxl, composer, saved_at, row_number() OVER (ORDER BY saved_at DESC, mxl) AS place FROM s"
+
+
+def stored_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets in a stored library: saved, every fifth saved again with a new name, every seventh deleted."""
+    own = library.Library(spark, fresh_path(spark, "library"), 16)
+    table = sheets(spark, sf_dir)
+    own.upsert(table, "saved_at")
+    own.upsert(table.where("saved_at % 5 = 0").withColumn("title", F.concat(F.lit("new "), F.col("title"))).withColumn("saved_at", F.col("saved_at") + 1_000_000), "saved_at")
+    own.delete(table.where("saved_at % 7 = 0"))
+    return own.rows().select("mxl", "title", "saved_at")
+
+
+SQL_STORED = f"""WITH {SQL_SHEETS}, l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY mxl ORDER BY saved_at DESC) = 1), n AS (SELECT mxl, 'new ' || title AS title, saved_at + 1000000 AS saved_at FROM s WHERE saved_at % 5 = 0 QUALIFY row_number() OVER (PARTITION BY mxl ORDER BY saved_at DESC) = 1)
+    SELECT l.mxl, coalesce(n.title, l.title) AS title, coalesce(n.saved_at, l.saved_at) AS saved_at FROM l LEFT JOIN n ON l.mxl = n.mxl WHERE l.mxl NOT IN (SELECT mxl FROM s WHERE saved_at % 7 = 0)"""
+
+
+def attack_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as attacks: quantity and discount as levels, the tax as the rise."""
+    lines = _read(spark, sf_dir, "lineitem")
+    peak, onset, rise = -F.col("l_quantity").cast("double") / 10, -F.col("l_quantity").cast("double") - F.col("l_discount").cast("double"), F.when(F.col("l_linenumber") < 7, F.col("l_tax").cast("double"))
+    return lines.select("l_orderkey", "l_linenumber", F.round(theory.attack_slope(peak, onset, rise), 4).alias("slope"))
+
+
+SQL_SLOPES = "SELECT l_orderkey, l_linenumber, round((l_quantity::DOUBLE + l_discount::DOUBLE - l_quantity::DOUBLE / 10) / CASE WHEN l_linenumber < 7 THEN greatest(l_tax::DOUBLE, 0.001) END, 4) AS slope FROM lineitem"
+
 
 def score_to_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' names as marks: their level as a detector names it, articulations, and a name as a command line takes it."""
@@ -362,5 +388,5 @@ QUERIES = {
     "cursor_positions": (cursor_positions, SQL_CURSOR), "carried_state": (carried_state, SQL_CARRIED), "note_clusters": (note_clusters, SQL_CLUSTERS), "distinct_attributes": (distinct_attributes, SQL_DISTINCT),
     "content_order": (content_order, SQL_CONTENT), "struck_notes": (struck_notes, SQL_STRUCK), "chosen_parts": (chosen_parts, SQL_PARTS), "part_names": (part_names, SQL_PART_NAMES), "best_config": (best_config, SQL_CONFIG),
     "device_lookup": (device_lookup, SQL_DEVICE), "library_upsert": (library_upsert, SQL_UPSERT), "library_delete": (library_delete, SQL_DELETE), "library_exists": (library_exists, SQL_EXISTS), "library_search": (library_search, SQL_SEARCH),
-    "library_count": (library_count, SQL_LIBRARY_COUNT), "search_response": (search_response, SQL_RESPONSE), "library_listing": (library_listing, SQL_LISTING),
+    "library_count": (library_count, SQL_LIBRARY_COUNT), "search_response": (search_response, SQL_RESPONSE), "library_listing": (library_listing, SQL_LISTING), "stored_library": (stored_library, SQL_STORED), "attack_slopes": (attack_slopes, SQL_SLOPES),
 }
