@@ -328,14 +328,14 @@ SQL_LISTING = f"WITH {SQL_SHEETS} SELECT mxl, composer, saved_at, row_number() O
 def stored_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets in a stored library: saved, every fifth saved again with a new name, every seventh deleted."""
     own = library.Library(spark, fresh_path(spark, "library"), 16)
-    table = sheets(spark, sf_dir)
+    table = sheets(spark, sf_dir).withColumn("mxl", F.concat((F.col("saved_at") % 1000).cast("string"), F.lit("-"), "mxl"))
     own.upsert(table, "saved_at")
     own.upsert(table.where("saved_at % 5 = 0").withColumn("title", F.concat(F.lit("new "), F.col("title"))).withColumn("saved_at", F.col("saved_at") + 1_000_000), "saved_at")
     own.delete(table.where("saved_at % 7 = 0"))
     return own.rows().select("mxl", "title", "saved_at")
 
 
-SQL_STORED = f"""WITH {SQL_SHEETS}, l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY mxl ORDER BY saved_at DESC) = 1), n AS (SELECT mxl, 'new ' || title AS title, saved_at + 1000000 AS saved_at FROM s WHERE saved_at % 5 = 0 QUALIFY row_number() OVER (PARTITION BY mxl ORDER BY saved_at DESC) = 1)
+SQL_STORED = f"""WITH {SQL_SHEETS.replace("s AS (", "s0 AS (", 1)}, s AS (SELECT * REPLACE ((saved_at % 1000)::VARCHAR || '-' || mxl AS mxl) FROM s0), l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY mxl ORDER BY saved_at DESC) = 1), n AS (SELECT mxl, 'new ' || title AS title, saved_at + 1000000 AS saved_at FROM s WHERE saved_at % 5 = 0 QUALIFY row_number() OVER (PARTITION BY mxl ORDER BY saved_at DESC) = 1)
     SELECT l.mxl, coalesce(n.title, l.title) AS title, coalesce(n.saved_at, l.saved_at) AS saved_at FROM l LEFT JOIN n ON l.mxl = n.mxl WHERE l.mxl NOT IN (SELECT mxl FROM s WHERE saved_at % 7 = 0)"""
 
 
