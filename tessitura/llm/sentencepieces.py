@@ -8,10 +8,12 @@ stand side by side if merging their characters anew gives exactly them: a sequen
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -74,7 +76,7 @@ class PieceEncoder:
         every = "".join(map(chr, [*range(1, 0x2581), *range(0x2582, 0xD800), *range(0xE000, 0x20000)]))
         self.as_it_is = all(sp.normalize(t) == self.marked(t) for t in (every, "  a  b ", "e\u0301 \u1100\u1161"))
         probe = " ".join(p.replace(MARK, " ") for p in list(self.plain)[:PROBE])
-        if any(sp.is_unused(i) for i in ids) or self.ids(probe) != sp.encode(probe):
+        if any(sp.is_unused(i) for i in ids) or self.ids(probe).tolist() != sp.encode(probe):
             raise ValueError("not a merge-type model of plain pieces")
 
     def merged(self, chars: str) -> list[str]:
@@ -124,29 +126,32 @@ class PieceEncoder:
                 before = out[-1] if out else ""
         return out
 
-    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
-        """The ids of a chunk; what no piece holds goes byte by byte, or, in a model without byte pieces, as the unknown id, here marked -1."""
-        out: list[int] = []
-        for piece in self.pieces(chunk):
-            i = self.plain.get(piece)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in piece.encode("utf-8"))
-            elif not (out and out[-1] == -1):
-                out.append(-1)
-        return tuple(out)
+    def chunk_ids(self, chunk: str) -> bytes:
+        """The ids of a chunk as 32-bit numbers; what no piece holds goes byte by byte, or, in a model without byte pieces, as -1."""
+        pieces, ids = self.pieces(chunk), self.plain
+        try:
+            return array("i", map(ids.__getitem__, pieces)).tobytes()
+        except KeyError:
+            out: list[int] = []
+            for piece in pieces:
+                if piece in ids:
+                    out.append(ids[piece])
+                else:
+                    out.extend(map(self.bytes.__getitem__, piece.encode("utf-8")) if self.bytes else (-1,))
+            return array("i", out).tobytes()
 
     @staticmethod
     def marked(text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
         chunks = self.chunks(self.marked(text) if self.as_it_is else self.library.normalize(text))
-        found = list(chain.from_iterable(map(self.known.__getitem__, chunks)))
+        found = np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32)
         if self.bytes:
             return found
-        return [self.unknown if i == -1 else i for k, i in enumerate(found) if not (i == -1 and k and found[k - 1] == -1)]  # a run of unknown characters is one
+        unknown = found == -1
+        unknown[1:] &= ~(unknown[1:] & unknown[:-1])  # a run of unknown characters is one
+        return np.where(unknown, self.unknown, found)[unknown | (found != -1)]
 
     def text(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -173,8 +178,10 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
         for batch in batches(rows, MOST_BYTES):
-            ids = pa.array([own.ids(t) for t in strings(batch.column(1)).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, ids.value_lengths().cast(pa.int64())], ["id", "ids", "n_tokens"])
+            ids = [own.ids(t) for t in strings(batch.column(1)).to_pylist()]
+            n = np.array([len(i) for i in ids], np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))), pa.array(n)], ["id", "ids", "n_tokens"])
 
     kept = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     out = kept.mapInArrow(lean(run), f"id {kept.schema['id'].dataType.simpleString()}, ids array<int>, n_tokens bigint")
@@ -190,7 +197,9 @@ def decoded(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "d
     def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
         for batch in batches(part, MOST_BYTES):
-            texts = [own.text(i) if i else "" for i in batch.column(at).to_pylist()]
+            ids = batch.column(at)
+            flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+            texts = [own.text(flat[low:high].tolist()) if known and high > low else "" for low, high, known in zip(ends, ends[1:], ids.is_valid().to_numpy(zero_copy_only=False), strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields)

@@ -34,9 +34,9 @@ def test_encoder_equals_the_library(library, own):
     odd = ["the", " ", "\n", "▁", "<s>", "é", "漢字", "!!", "\t", "  ", "\x00", "😀", "㈱", "1234", "unhappiness", "́", "ﷺ", "<0x41>", "ab" * 9, " " * 37]
     for _ in range(4000):
         text = "".join(pick.choice(odd) if pick.random() < 0.5 else pick.choice(pieces)[: pick.randint(1, 9)] for _ in range(pick.randint(0, 12)))
-        assert own.ids(text) == library.encode(text), text
+        assert own.ids(text).tolist() == library.encode(text), text
     for text in ("a" * 50000, " " * 50000, "ab" * 30000, "漢" * 20000, "\x00" * 20000):
-        assert own.ids(text) == library.encode(text)
+        assert own.ids(text).tolist() == library.encode(text)
 
 
 def test_pieces_of_whole_words_need_steps_back(own):
@@ -58,7 +58,7 @@ def test_memory_of_chunks_is_bounded(monkeypatch, library):
     monkeypatch.setattr(sentencepieces, "KEPT_CHUNKS", 16)
     small = sentencepieces.PieceEncoder(MODEL)
     text = " ".join(f"word{i}" for i in range(300))
-    assert small.ids(text) == library.encode(text)
+    assert small.ids(text).tolist() == library.encode(text)
     assert max(map(len, (small.known, small.known.old, small.fits, small.fits.old))) <= 16
 
 
