@@ -96,12 +96,13 @@ def near_fingerprints(queries: DataFrame, base: DataFrame, radius: int = 6) -> D
 
     Each table is keyed by one block; a query looks up its own value of the block and those that differ in few bits (two at most), so none is missed
     whatever the radius. For 20 bits a fingerprint has a row in seven tables of 18 or 19 bits, and a query looks up some 1,200 keys. A pair is returned by
-    the first table in which it meets, inside the join, and a key that many share is split by adaptive execution.
+    the first table in which it meets, inside the join, and a key that many share is split by adaptive execution. Neither side is ever broadcast: the
+    looked-up keys are a thousand times their fingerprints.
     """
     q = _keyed(queries, radius, True).withColumnsRenamed({"f1": "q1", "f2": "q2", "key": "q_key"})
     both = [_block(start, width).replace("f1", "(f1 ^ q1)").replace("f2", "(f2 ^ q2)") for start, width, _ in _blocks(radius)]
     first = "CASE " + " ".join(f"WHEN bit_count({x}) <= {flips} THEN {i}L" for i, (x, (_, _, flips)) in enumerate(zip(both, _blocks(radius), strict=True))) + " END"
-    met = q.join(_keyed(base, radius, False), F.expr(f"q_key = key AND {distance('q', 'f')} <= {radius} AND shiftrightunsigned(key, 32) = {first}"))
+    met = q.hint("merge").join(_keyed(base, radius, False), F.expr(f"q_key = key AND {distance('q', 'f')} <= {radius} AND shiftrightunsigned(key, 32) = {first}"))
     return met.select(F.col("q1").alias("qf1"), F.col("q2").alias("qf2"), "f1", "f2", F.expr(distance("q", "f")).alias("bits"))
 
 
