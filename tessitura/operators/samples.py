@@ -15,6 +15,7 @@ from tessitura.functions.profiles import POWER, profile
 from tessitura.operators import onsets, spectra, windows
 from tessitura.operators.segmenters import MonoSegmenter
 from tessitura.operators.transcribe import folded
+from tessitura.tables import stored
 
 HEARD = "hz double, clarity double, centroid double, hfc double, first double, ratio double"
 #: Contexts are windows of MEL_FFT samples every MEL_HOP at MEL_RATE, CONTEXT of them, padded with the log floor.
@@ -71,7 +72,7 @@ def notes(hops: DataFrame, instrument: str = "Piano", silence_dbfs: float = -45.
     Onset candidates are accepted ``distance_ms`` apart, in blocks of time; a hushed frame ends all notes, so the runs between hushed frames are folded
     each on its own. No step takes a stream as one task's work.
     """
-    frames = measured(hops, instrument, silence_dbfs, base_ms)
+    frames = stored(measured(hops, instrument, silence_dbfs, base_ms), "heard-frames")  # read for the candidates and for the notes; made once
     accepted = onsets.debounced(frames.select("stream_id", "candidate_ms"), "stream_id", "candidate_ms", distance_ms)
     accepted = accepted.select(F.col("stream_id").alias("_stream"), F.col("candidate_ms").alias("onset_ms"))
     heard_ = frames.join(accepted, F.col("stream_id").eqNullSafe(F.col("_stream")) & (F.col("candidate_ms") == F.col("onset_ms")), "left").drop("_stream", "candidate_ms")
