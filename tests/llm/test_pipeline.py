@@ -22,7 +22,7 @@ STAGES = dict(corpus_pipeline.STAGES)
 
 
 def test_names_and_stages():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert list(STAGES) == ["toxicity", "quality", "near_duplicates", "decontamination", "packing"]
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries()) and set(ORACLES) <= set(QUERIES)
 
