@@ -135,7 +135,7 @@ def key_loudness(magnitudes: Column, keys: Column, rate: float) -> Column:
 
     @F.pandas_udf("array<double>")
     def apply(spectra_: pd.Series, wanted: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(spectra_), dtype=object)
+        out: list[np.ndarray | None] = [None] * len(spectra_)  # a Series would take an array of one value as that value
         rows = [i for i, (m, k) in enumerate(zip(spectra_, wanted, strict=True)) if m is not None and k is not None]
         sizes = np.array([len(spectra_.iloc[i]) for i in rows])
         for size in np.unique(sizes):  # spectra of one length go through together
@@ -144,8 +144,8 @@ def key_loudness(magnitudes: Column, keys: Column, rate: float) -> Column:
             known = np.unique(np.concatenate(asked))
             sones = dsp.key_loudness(np.array([spectra_.iloc[i] for i in some], float).reshape(len(some), size), rate, known) if size and len(known) else np.zeros((len(some), len(known)))
             for i, row, k in zip(some, sones, asked, strict=True):
-                out.iloc[i] = row[np.searchsorted(known, k)]
-        return out
+                out[i] = row[np.searchsorted(known, k)]
+        return pd.Series(out, dtype=object)
 
     return F.map_from_arrays(keys, apply(magnitudes, keys))
 

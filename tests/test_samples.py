@@ -63,6 +63,15 @@ def test_keys_have_their_share_of_loudness(spark):
     assert got[69] == pytest.approx(dsp.note_loudness(m, 44100, 69)) and got[69] > got[100]
 
 
+def test_one_spectrum_with_one_key_has_its_loudness(spark):
+    m = dsp.magnitudes(tone(1024)).tolist()
+    for asked in ([[69]], [[69], [], [69, 100], None]):
+        df = spark.createDataFrame([(i, m, k) for i, k in enumerate(asked)], "i int, m array<double>, keys array<int>").coalesce(1)
+        got = {r["i"]: r["x"] for r in df.select("i", samples.key_loudness(F.col("m"), F.col("keys"), 44100.0).alias("x")).collect()}
+        assert [None if got[i] is None else sorted(got[i]) for i in range(len(asked))] == asked
+        assert got[0][69] == pytest.approx(dsp.note_loudness(np.array(m), 44100, 69))
+
+
 def test_debounce_and_islands_are_linear_and_right(spark):
     times = sorted(np.random.default_rng(3).integers(1, 10**6, 30_000).tolist())
     df = spark.createDataFrame([(k, t) for k in ("a", "b") for t in times], "s string, t bigint")
