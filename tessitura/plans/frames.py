@@ -144,9 +144,9 @@ SQL_SONES = f"""WITH v AS (SELECT vec_id, list_transform({X}, lambda a: abs(a))
 
 def wav_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of a label as a file of 16-bit samples, written and read back in ranges of 64 KB: the energy of each hop."""
-    values = _vectors(spark, sf_dir).select(F.col("label").alias("stream_id"), "vec_id", F.posexplode("x").alias("place", "v"))
+    values = _vectors(spark, sf_dir).select(F.col("label").alias("stream_id"), F.col("vec_id").alias("idx"), F.transform("x", lambda v: F.floor(v * 1000)).alias("value"))
     files = fresh_path(spark, "wavs")
-    wav.write_wavs(values.select("stream_id", (F.col("vec_id") * 64 + F.col("place")).alias("idx"), F.floor(F.col("v") * 1000).alias("value")), files, 44100).write.format("noop").mode("overwrite").save()
+    wav.write_wavs(values, files, 44100).write.format("noop").mode("overwrite").save()
     energy = F.aggregate("samples", F.lit(0).cast("bigint"), lambda a, v: a + F.round(v * 32768 * v * 32768).cast("bigint"))
     return wav.read_wav(spark, files, 1 << 16).select(F.regexp_extract("stream_id", r"([^/]+)\.wav$", 1).alias("label"), "hop_idx", "sample_rate", energy.alias("energy"))
 

@@ -166,9 +166,9 @@ def heard_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wav_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suppliers' tones written as 16-bit WAV files and read back in ranges: the keys of the notes that begin, in order; strikes of one key in a row (rounding makes some) count once."""
-    values = _tones(spark, sf_dir).select("stream_id", "hop_idx", F.posexplode("samples").alias("place", "v"))
+    values = _tones(spark, sf_dir).select("stream_id", F.col("hop_idx").alias("idx"), F.transform("samples", lambda v: F.round(v * 32767)).alias("value"))
     files = fresh_path(spark, "tones")
-    wav.write_wavs(values.select("stream_id", (F.col("hop_idx") * 512 + F.col("place")).alias("idx"), F.round(F.col("v") * 32767).alias("value")), files, 44100).write.format("noop").mode("overwrite").save()
+    wav.write_wavs(values, files, 44100).write.format("noop").mode("overwrite").save()
     heard = samples.notes(wav.read_wav(spark, files, 1 << 20).drop("error")).where("kind = 'start'")
     order = Window.partitionBy("stream_id").orderBy("strike_ms")
     changes = heard.withColumn("before", F.lag("midi").over(order)).where("before IS NULL OR before <> midi")

@@ -240,14 +240,17 @@ def read_wav(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
 
 def write_wavs(samples: DataFrame, path: str, rate: int, stream: str = "stream_id", order: str = "idx", value: str = "value") -> DataFrame:
     """Writes a 16-bit mono file per stream of (stream, order, integer value) rows below ``path``, a folder that all tasks reach; returns (stream, file, samples).
+    A row's value may also be an array, of samples in a row; these are then shuffled and sorted as one.
 
     A stream's samples are sorted by Spark and written as they pass, so a task holds a batch. A file gets its name only when it is whole, and names come
     back only from tasks that finished, so a task that is run again leaves nothing half written behind. Null streams and values are left out; values are
     kept within 16 bits.
     """
-    clean = samples.where(F.col(stream).isNotNull() & F.col(value).isNotNull()).select(F.col(stream).cast("string").alias("stream"), F.col(order).alias("at"), F.least(F.greatest(F.col(value), F.lit(-32768)), F.lit(32767)).cast("int").alias("value"))
-    sizes = clean.groupBy(F.col("stream").alias("s_stream")).agg(F.count(F.lit(1)).alias("n"))
-    rows = clean.join(sizes, F.col("stream") == F.col("s_stream")).select("stream", "at", "value", "n")
+    several = F.col(value) if samples.schema[value].dataType.typeName() == "array" else F.array(value)
+    kept = F.transform(F.filter(several, lambda v: v.isNotNull()), lambda v: F.least(F.greatest(v, F.lit(-32768)), F.lit(32767)).cast("smallint"))
+    clean = samples.where(F.col(stream).isNotNull()).select(F.col(stream).cast("string").alias("stream"), F.col(order).alias("at"), kept.alias("values")).where(F.size("values") > 0)
+    sizes = clean.groupBy(F.col("stream").alias("s_stream")).agg(F.sum(F.size("values")).alias("n"))
+    rows = clean.join(sizes, F.col("stream") == F.col("s_stream")).select("stream", "at", "values", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = reached(path)
@@ -260,7 +263,8 @@ def write_wavs(samples: DataFrame, path: str, rate: int, stream: str = "stream_i
             return pa.RecordBatch.from_arrays([pa.array([own]), pa.array([target]), pa.array([n], pa.int64())], ["stream", "file", "samples"])
 
         for batch in batches:
-            keys, values, counts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().astype("<i2"), batch.column(3).to_numpy()
+            keys, ends, counts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).offsets.to_numpy(), batch.column(3).to_numpy()
+            values, ends = batch.column(2).flatten().to_numpy().astype("<i2"), ends - ends[0]
             cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)] if len(keys) else [0]
             for low, high in zip(cuts, cuts[1:], strict=False):
                 if keys[low] != own:
@@ -271,8 +275,9 @@ def write_wavs(samples: DataFrame, path: str, rate: int, stream: str = "stream_i
                     part = f"{target}.{uuid.uuid4().hex}"
                     out = fs.open_output_stream(part)
                     out.write(struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", min(36 + 2 * n, UNKNOWN), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", min(2 * n, UNKNOWN)))
-                out.write(values[low:high].tobytes())
+                out.write(values[ends[low] : ends[high]].tobytes())
         if own is not None:
             yield done()
 
-    return rows.repartition("stream").sortWithinPartitions("stream", "at").mapInArrow(run, "stream string, file string, samples bigint")
+    # by a hash: a repartition by the join's own key is taken out of the plan, and the adaptive planner then deals a stream of the join to several tasks
+    return rows.repartition(F.xxhash64("stream")).sortWithinPartitions("stream", "at").mapInArrow(run, "stream string, file string, samples bigint")

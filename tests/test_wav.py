@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessitura.sources import audio, wav
 
@@ -83,6 +84,28 @@ def test_written_files_come_back(spark, tmp_path):
     assert wav.write_wavs(spark.createDataFrame([], "stream_id string, idx int, value int"), f"file://{tmp_path}/none", 8000).count() == 0
 
 
+@pytest.mark.parametrize("arrays", [False, True])
+def test_a_file_is_written_by_one_task(spark, tmp_path, arrays):
+    """Also when the samples lie in several tasks and the sizes are so few that the adaptive planner broadcasts them."""
+    df = spark.range(0, 3_000_000, 1, 6).selectExpr("CAST(id % 3 AS string) AS stream_id", "id AS idx", "id % 1000 AS value")
+    if arrays:
+        df = df.withColumn("value", F.array("value", F.lit(None), F.lit(40000)))
+    large = {"spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10485760"}
+    before = {k: spark.conf.get(k, None) for k in large}
+    for k, v in large.items():  # as for large inputs: planned without broadcast, but when it runs, the sizes turn out small
+        spark.conf.set(k, v)
+    try:
+        made = wav.write_wavs(df, f"file://{tmp_path}/out", 8000).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((r["stream"], r["samples"]) for r in made) == [(k, 1_000_000 * (1 + arrays)) for k in "012"]
+    for k in range(3):
+        own = np.arange(k, 3_000_000, 3) % 1000
+        _, x = audio.decode((tmp_path / "out" / f"{k}.wav").read_bytes())
+        assert np.array_equal(np.round(x * 32768), np.stack([own, np.full(1_000_000, 32767)], 1).ravel() if arrays else own)
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     spark.dataSource.register(wav.WavSource)
     source, out = tmp_path / "in", tmp_path / "out"
