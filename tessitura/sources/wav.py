@@ -17,12 +17,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tessitura.sources.audio import HANGOVER, HOP, LEAST_RATE
+from tessitura.tables import stored
 
 SCHEMA = "stream_id string, hop_idx bigint, sample_rate int, samples array<double>, error string"
 #: Bytes of a range, hops of a batch, and seconds that a file must be left alone before a stream takes it.
@@ -240,17 +242,28 @@ def read_wav(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
 
 def write_wavs(samples: DataFrame, path: str, rate: int, stream: str = "stream_id", order: str = "idx", value: str = "value") -> DataFrame:
     """Writes a 16-bit mono file per stream of (stream, order, integer value) rows below ``path``, a folder that all tasks reach; returns (stream, file, samples).
-    A row's value may also be an array, of samples in a row; these are then shuffled and sorted as one.
+    A row's value may also be an array, of samples in a row; these are then shuffled and sorted as one piece of bytes.
 
     A stream's samples are sorted by Spark and written as they pass, so a task holds a batch. A file gets its name only when it is whole, and names come
     back only from tasks that finished, so a task that is run again leaves nothing half written behind. Null streams and values are left out; values are
     kept within 16 bits.
     """
     several = F.col(value) if samples.schema[value].dataType.typeName() == "array" else F.array(value)
-    kept = F.transform(F.filter(several, lambda v: v.isNotNull()), lambda v: F.least(F.greatest(v, F.lit(-32768)), F.lit(32767)).cast("smallint"))
-    clean = samples.where(F.col(stream).isNotNull()).select(F.col(stream).cast("string").alias("stream"), F.col(order).alias("at"), kept.alias("values")).where(F.size("values") > 0)
-    sizes = clean.groupBy(F.col("stream").alias("s_stream")).agg(F.sum(F.size("values")).alias("n"))
-    rows = clean.join(sizes, F.col("stream") == F.col("s_stream")).select("stream", "at", "values", "n")
+    clean = samples.where(F.col(stream).isNotNull() & F.col(value).isNotNull()).select(F.col(stream).cast("string").alias("stream"), F.col(order).alias("at"), several.alias("values"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+            valid = flat.is_valid().to_numpy(zero_copy_only=False)
+            counts = np.concatenate([[0], np.cumsum(valid)])[ends - ends[0]]
+            body = np.clip(np.nan_to_num(pc.cast(flat.drop_null(), pa.float64(), safe=False).to_numpy(), nan=32767.0), -32768, 32767).astype("<i2")
+            data = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer((2 * counts).astype(np.int64)), pa.py_buffer(body)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data.cast(pa.binary())], ["stream", "at", "data"])
+
+    bytes_ = stored(clean.mapInArrow(packed, f"stream string, at {clean.schema['at'].dataType.simpleString()}, data binary"), "wav-bytes")  # read for the sizes and for the files; made once
+    sizes = bytes_.groupBy(F.col("stream").alias("s_stream")).agg((F.sum(F.length("data")) / 2).cast("bigint").alias("n")).where("n > 0")
+    rows = bytes_.join(sizes, F.col("stream") == F.col("s_stream")).select("stream", "at", "data", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = reached(path)
@@ -263,8 +276,7 @@ def write_wavs(samples: DataFrame, path: str, rate: int, stream: str = "stream_i
             return pa.RecordBatch.from_arrays([pa.array([own]), pa.array([target]), pa.array([n], pa.int64())], ["stream", "file", "samples"])
 
         for batch in batches:
-            keys, ends, counts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).offsets.to_numpy(), batch.column(3).to_numpy()
-            values, ends = batch.column(2).flatten().to_numpy().astype("<i2"), ends - ends[0]
+            keys, data, counts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2), batch.column(3).to_numpy()
             cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)] if len(keys) else [0]
             for low, high in zip(cuts, cuts[1:], strict=False):
                 if keys[low] != own:
@@ -275,7 +287,7 @@ def write_wavs(samples: DataFrame, path: str, rate: int, stream: str = "stream_i
                     part = f"{target}.{uuid.uuid4().hex}"
                     out = fs.open_output_stream(part)
                     out.write(struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", min(36 + 2 * n, UNKNOWN), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", min(2 * n, UNKNOWN)))
-                out.write(values[ends[low] : ends[high]].tobytes())
+                out.write(b"".join(data[low:high].to_pylist()))
         if own is not None:
             yield done()
 
