@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import ClassVar
+
 import numpy as np
 
 # Frame sizes, rates and floors of the analysis.
@@ -34,9 +36,14 @@ class Biquad:
     """A second-order filter (transposed direct form II) with its two registers, run block by block: in a block, outputs and the next registers are linear in
     the inputs and the registers, so a block is two matrix products."""
 
+    made: ClassVar[dict[tuple, tuple[np.ndarray, ...]]] = {}
+
     def __init__(self, b: np.ndarray, a: np.ndarray, block: int = 64):
         self.state, self.block, self.b, self.a = np.zeros(2), block, b, a
-        self.forced, self.free, self.push, self.step = self._matrices(block)
+        held = (*b.tolist(), *a.tolist(), block)
+        if held not in Biquad.made:  # thousands of steps in Python; a task makes a filter for each of its blocks
+            Biquad.made[held] = self._matrices(block)
+        self.forced, self.free, self.push, self.step = Biquad.made[held]
 
     def _matrices(self, n: int) -> tuple[np.ndarray, ...]:
         forced, push = np.zeros((n, n)), np.zeros((2, n))
@@ -57,13 +64,16 @@ class Biquad:
         return out, np.array([s1, s2])
 
     def __call__(self, xs: np.ndarray) -> np.ndarray:
-        out, whole = np.empty(len(xs)), len(xs) // self.block * self.block
-        for at in range(0, whole, self.block):
-            x = xs[at : at + self.block]
-            out[at : at + self.block] = self.forced @ x + self.free @ self.state
-            self.state = self.step @ self.state + self.push @ x
-        out[whole:], self.state = self._run(xs[whole:], self.state)
-        return out
+        whole = len(xs) // self.block * self.block
+        blocks = np.asarray(xs[:whole], float).reshape(-1, self.block)
+        begun = np.empty((len(blocks), 2))
+        (a, b), (c, d) = self.step.tolist()
+        s1, s2 = map(float, self.state)
+        for i, (p1, p2) in enumerate((blocks @ self.push.T).tolist()):  # only the registers pass from block to block
+            begun[i] = s1, s2
+            s1, s2 = a * s1 + b * s2 + p1, c * s1 + d * s2 + p2
+        rest, self.state = self._run(xs[whole:], np.array([s1, s2]))
+        return np.concatenate([(blocks @ self.forced.T + begun @ self.free.T).ravel(), rest])
 
 
 def registers(stages: list[Biquad]) -> np.ndarray:
@@ -91,6 +101,16 @@ def transition(stages: list[Biquad], n: int) -> np.ndarray:
     return np.linalg.matrix_power(np.stack(columns, 1), n)
 
 
+def shares(stages: list[Biquad], n: int) -> np.ndarray:
+    """(n, registers): what each of ``n`` samples adds to the registers at their end; so ``xs @ shares`` is what they make of empty ones."""
+    step, out = transition(stages, 1), np.empty((n, 2 * len(stages)))
+    cascade(with_registers(stages, np.zeros(2 * len(stages))), np.ones(1))
+    own = registers(stages)
+    for i in range(n - 1, -1, -1):
+        out[i], own = own, step @ own
+    return out
+
+
 def band_pass(hpf_hz: float, ceiling_hz: float, rate: float) -> list[Biquad]:
     """Low-pass at the ceiling, then high-pass, both kept within the band."""
     top = rate / 2
@@ -134,17 +154,21 @@ def log_mel(frames: np.ndarray, filters: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(power @ filters.T, MEL_FLOOR))
 
 
-def difference(frame: np.ndarray) -> np.ndarray:
-    """Normalised square difference of each lag below half the frame, within -1..1; zeros for a silent frame."""
-    n = len(frame)
-    if frame @ frame < 1e-9:
-        return np.zeros(n // 2)
-    spectrum = np.fft.rfft(frame, 2 * n)
-    r = np.fft.irfft(spectrum * spectrum.conj())[: n // 2]
-    squares = np.concatenate([[0.0], np.cumsum(frame * frame)])
+def differences(frames: np.ndarray) -> np.ndarray:
+    """Normalised square difference of each lag below half the frame, within -1..1, a row per frame; zeros for a silent frame."""
+    n = frames.shape[1]
+    spectrum = np.fft.rfft(frames, 2 * n)
+    r = np.fft.irfft(spectrum * spectrum.conj())[:, : n // 2]
+    powers = frames * frames
+    squares = np.concatenate([np.zeros((len(frames), 1)), np.cumsum(powers, 1)], 1)
     lags = np.arange(n // 2)
-    m = squares[n - lags] + squares[n] - squares[lags]
-    return np.clip(2 * r / np.maximum(m, 1e-12), -1, 1)
+    m = squares[:, n - lags] + squares[:, n:] - squares[:, lags]
+    return np.where(powers.sum(1)[:, None] < 1e-9, 0.0, np.clip(2 * r / np.maximum(m, 1e-12), -1, 1))
+
+
+def difference(frame: np.ndarray) -> np.ndarray:
+    """``differences`` of one frame."""
+    return differences(np.asarray(frame, float)[None])[0] if len(frame) else np.zeros(0)
 
 
 def two_peaks(nsdf: np.ndarray, first: int = 8, last: int = 510) -> tuple[float, float]:
@@ -161,26 +185,21 @@ def two_peaks(nsdf: np.ndarray, first: int = 8, last: int = 510) -> tuple[float,
 
 def mcleod(frame: np.ndarray, rate: float, clarity: float = 0.7, power: float = 5e-5) -> tuple[float, float]:
     """(frequency, clarity) by the McLeod pitch method: the first key maximum near the largest, refined by a parabola; (0, 0) if there is none."""
-    if frame @ frame < power * len(frame):
-        return 0.0, 0.0
-    d = difference(frame)
+    return (0.0, 0.0) if frame @ frame < power * len(frame) else key_maximum(difference(frame), rate, clarity)
+
+
+def key_maximum(d: np.ndarray, rate: float, clarity: float) -> tuple[float, float]:
+    """(frequency, clarity) of a frame's ``difference``: key maxima are the largest values between its zero crossings."""
     below = np.flatnonzero(d <= 0)
     if not len(below):
         return 0.0, 0.0
-    peaks, i = [], int(below[0])
-    while i < len(d):
-        start = next((k for k in range(i, len(d)) if d[k] > 0), None)
-        if start is None:
-            break
-        end = next((k for k in range(start, len(d)) if d[k] <= 0), None)
-        if end is None:
-            break
-        peaks.append(start + int(np.argmax(d[start:end])))
-        i = end
-    if not peaks:
+    turns = np.flatnonzero(np.diff(d[below[0] :] > 0)) + below[0] + 1  # rises and falls in turn; a rise without a fall is no key maximum
+    turns = turns[: len(turns) // 2 * 2]
+    if not len(turns):
         return 0.0, 0.0
-    best = max(d[p] for p in peaks)
-    lag = next(p for p in peaks if d[p] >= 0.93 * best)
+    most = np.maximum.reduceat(d, turns)[::2]
+    nth = 2 * int(np.argmax(most >= 0.93 * most.max()))
+    lag = int(turns[nth] + np.argmax(d[turns[nth] : turns[nth + 1]]))
     if d[lag] < clarity or not 0 < lag < len(d) - 1:
         return 0.0, 0.0
     a, b, c = d[lag - 1 : lag + 2]

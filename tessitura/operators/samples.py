@@ -10,56 +10,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.functions import dsp, signal
+from tessitura.functions import dsp
 from tessitura.functions.profiles import POWER, profile
 from tessitura.operators import onsets, spectra, windows
 from tessitura.operators.segmenters import MonoSegmenter
 from tessitura.operators.transcribe import folded
 from tessitura.tables import stored
 
-HEARD = "hz double, clarity double, centroid double, hfc double, first double, ratio double"
+HEARD = "dbfs double, crest double, hz double, clarity double, centroid double, hfc double, first double, ratio double"
 #: Contexts are windows of MEL_FFT samples every MEL_HOP at MEL_RATE, CONTEXT of them, padded with the log floor.
 CONTEXT = 32
 #: Taps on either side of a resampled value.
 TAPS = 32
 
 
-def heard(frame: Column, rate: Column, loud: Column, instrument: str) -> Column:
-    """What a frame sounds like, in one Python node: pitch and two strongest peaks only where ``loud``."""
-    p = profile(instrument)
-
-    @F.pandas_udf(HEARD)
-    def apply(frames: pd.Series, rates: pd.Series, wanted: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, r, w in zip(frames, rates, wanted, strict=True):
-            x = np.asarray(x, float)
-            m = dsp.magnitudes(x)
-            bins, total = np.arange(len(m)), m.sum()
-            hz, clarity = dsp.mcleod(x, r, p["clarity"], POWER) if w else (0.0, 0.0)
-            if not p["f0_min_hz"] <= hz <= p["f0_max_hz"]:
-                hz, clarity = 0.0, 0.0
-            two = dsp.two_peaks(dsp.difference(x), 8, min(510, len(x) // 2 - 2)) if w else (0.0, 0.0)
-            out.append((hz, clarity, float(m @ bins * r / len(x) / total) if total > 1e-6 else 0.0, float((bins + 1) @ m**2), *two))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in HEARD.split(", ")])
-
-    return apply(frame, rate, loud)
+def heard(frames: np.ndarray, rate: int, instrument: str, silence_dbfs: float) -> dict[str, np.ndarray]:
+    """What frames (rows) sound like, all at once: pitch and two strongest peaks only where they are loud."""
+    p, n = profile(instrument), frames.shape[1]
+    rms, peak = np.sqrt((frames**2).mean(1)), np.abs(frames).max(1)
+    m = dsp.magnitudes(frames)
+    bins, total = np.arange(m.shape[1]), m.sum(1)
+    out = {c: np.zeros(len(frames)) for c in (x.split()[0] for x in HEARD.split(", "))}
+    out["dbfs"] = 20 * np.log10(rms + 1e-9)
+    out["crest"] = np.where((peak >= 1e-6) & (rms >= 1e-6), 20 * np.log10(np.maximum(peak, 1e-6) / np.maximum(rms, 1e-6)), 0.0)
+    out["centroid"] = np.where(total > 1e-6, m @ bins * rate / n / np.maximum(total, 1e-6), 0.0)
+    out["hfc"] = m**2 @ (bins + 1)
+    loud = np.flatnonzero(~(out["dbfs"] < silence_dbfs))
+    for i, d in zip(loud, dsp.differences(frames[loud]), strict=True):
+        hz, clarity = (0.0, 0.0) if frames[i] @ frames[i] < POWER * n else dsp.key_maximum(d, rate, p["clarity"])
+        if p["f0_min_hz"] <= hz <= p["f0_max_hz"]:
+            out["hz"][i], out["clarity"][i] = hz, clarity
+        out["first"][i], out["ratio"][i] = dsp.two_peaks(d, 8, min(510, n // 2 - 2))
+    return out
 
 
 def measured(hops: DataFrame, instrument: str = "Piano", silence_dbfs: float = -45.0, base_ms: int = 0) -> DataFrame:
     """hops (stream_id, hop_idx, sample_rate, samples) -> a row per frame: stream_id, hop_idx, ts_ms, dbfs, crest, thump, hushed, what was ``heard``, and
     candidate_ms, the time of the onset candidate that the frame confirms (three frames after it).
 
-    The recursive filter, frames, their Python node and the onset window are all dealt by stream and block.
+    The recursive filter, frames and what is heard in them are one step, dealt by stream and block; so is the onset window.
     """
     p = profile(instrument)
-    own = spectra.filtered(hops.where("samples IS NOT NULL AND hop_idx IS NOT NULL"), p["hpf_hz"], p["ceiling_hz"])
-    framed = windows.frames(own, dsp.HOP, newest={"thump_dbfs": -180.0})
-    df = framed.select(
-        "stream_id", "hop_idx", windows.frame_time(F.lit(base_ms).cast("bigint"), F.col("hop_idx"), dsp.HOP, F.col("sample_rate")).alias("ts_ms"), "frame", "sample_rate",
-        signal.loudness(F.col("frame")).alias("dbfs"), signal.crest_factor(F.col("frame")).alias("crest"), F.col("thump_dbfs").alias("thump"),
-    )
-    df = df.withColumn("hushed", F.col("dbfs") < silence_dbfs)
-    df = df.withColumn("_h", heard(F.col("frame"), F.col("sample_rate").cast("double"), ~F.col("hushed"), instrument)).select("stream_id", "hop_idx", "ts_ms", "dbfs", "crest", "thump", "hushed", "_h.*")
+    df = spectra.measured_frames(hops.where("samples IS NOT NULL AND hop_idx IS NOT NULL"), p["hpf_hz"], p["ceiling_hz"], lambda frames, rate: heard(frames, rate, instrument, silence_dbfs), HEARD)
+    at = windows.frame_time(F.lit(base_ms).cast("bigint"), F.col("hop_idx"), dsp.HOP, F.col("sample_rate")).alias("ts_ms")
+    df = df.select("stream_id", "hop_idx", at, "dbfs", "crest", F.col("thump_dbfs").alias("thump"), (F.col("dbfs") < silence_dbfs).alias("hushed"), *(c.split()[0] for c in HEARD.split(", ")[2:]))
     side = onsets.SIDE
     spread = onsets.marked(windows.overlapped(df, "hop_idx", 2 * side, side), "stream_id", "hop_idx", "hfc", F.col("dbfs"))
     confirmed = F.lag(F.when(F.col("candidate"), F.col("ts_ms")), side).over(Window.partitionBy("stream_id", "block").orderBy("hop_idx"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessitura.functions import dsp
-from tessitura.operators import notes, onsets, samples
+from tessitura.operators import notes, onsets, samples, spectra
 from tessitura.sources import audio
 from tests.test_scores import wav
 
@@ -97,3 +97,20 @@ def test_heard_notes_are_those_that_were_played(spark):
     for r in spark.read.parquet(f"{sf}/supplier.parquet").orderBy("s_suppkey").collect():
         played.setdefault(r["s_nationkey"], []).append(r["s_suppkey"] % 24 + 57)
     assert {r["stream_id"]: r["m"] for r in rows} == played
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_tones_of_few_suppliers_lie_in_several_tasks(spark):
+    from tessitura.plans.machines import _tones
+
+    assert _tones(spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_frames_do_not_depend_on_blocks_also_where_hops_are_missing(spark):
+    x = np.random.default_rng(5).normal(0, 0.2, 512 * 60)
+    hops = spark.createDataFrame([("s", i, 44100, x[i * 512 : i * 512 + 512].tolist()) for i in range(60) if i not in (16, 17, 33, 48)], "stream_id string, hop_idx bigint, sample_rate int, samples array<double>")
+    sums = lambda frames, rate: {"first": frames[:, :512].sum(1), "second": frames[:, 512:].sum(1)}
+    small, large = (sorted(spectra.measured_frames(hops, 27.5, 8000.0, sums, "first double, second double", block=b).collect(), key=lambda r: r["hop_idx"]) for b in (16, 4096))
+    assert [r["hop_idx"] for r in small] == [i for i in range(60) if i not in (16, 17, 33, 48)]
+    assert np.allclose([r["second"] for r in small[:-1]], [r["first"] for r in small[1:]]) and small[-1]["second"] == 0
+    assert all(np.allclose([r[c] for r in small], [r[c] for r in large]) for c in ("first", "second", "thump_dbfs"))
