@@ -191,3 +191,16 @@ def test_playback_is_free_of_python(spark):
 def test_broken_documents_raise(bad):
     with pytest.raises((ValueError, SyntaxError, zipfile.BadZipFile)):
         list(scores.parse_score(bad))
+
+
+def test_a_note_is_read_in_one_pass(monkeypatch):
+    """Plain notes are not searched for each of their children by path."""
+    calls, found = [], scores.text
+    monkeypatch.setattr(scores, "text", lambda *a: calls.append(a) or found(*a))
+    assert len(rows(score(note("C", 4, 1) * 100), None, "Note")) == 100 and len(calls) < 100
+
+
+def test_the_first_of_equal_children_counts():
+    own = "<note><pitch><alter>1</alter></pitch><pitch><step>D</step><octave>4</octave><alter>-1</alter></pitch><duration>2</duration><duration>9</duration><voice/><notations><tied type='start'/></notations><tie type='stop'/></note>"
+    n = rows(score(own), None, "Note")[0]
+    assert (n["step"], n["alter"], n["midi"], n["duration"], n["voice"], n["tie"]) == ("D", 1, 63, 2, 1, "Continue")
