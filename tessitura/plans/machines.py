@@ -86,9 +86,12 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as scores: an order is a measure, some with repeats; its lines are notes."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    step = F.element_at(F.array(*[F.lit(x) for x in "CDEFGAB"]), (F.col("l_partkey") % 7 + 1).cast("int"))
-    note = F.concat(F.lit("<note><pitch><step>"), step, F.lit("</step><octave>"), (F.col("l_suppkey") % 5 + 2).cast("string"), F.lit("</octave></pitch><duration>"), F.col("l_quantity").cast("int").cast("string"), F.lit("</duration></note>"))
-    notes = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", note.alias("xml")))), lambda x: x["xml"]), "").alias("notes"))
+    # lines travel as numbers, and all to their order at once: nothing is collected before the shuffle, which no order's few lines would make smaller
+    lines = lines.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("quantity")).alias("line"))
+    lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    step = lambda x: F.element_at(F.split(F.lit("C D E F G A B"), " "), (x["l_partkey"] % 7 + 1).cast("int"))
+    note = lambda x: F.concat(F.lit("<note><pitch><step>"), step(x), F.lit("</step><octave>"), (x["l_suppkey"] % 5 + 2).cast("string"), F.lit("</octave></pitch><duration>"), x["quantity"].cast("string"), F.lit("</duration></note>"))
+    notes = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), note), "").alias("notes"))
     bar = F.when(F.col("o_orderkey") % 7 == 0, "<barline><repeat direction='backward'/></barline>").otherwise("")
     measure = F.concat(F.lit("<measure number='"), F.col("o_orderkey").cast("string"), F.lit("'><part id='P1'>"), F.col("notes"), bar, F.lit("</part></measure>"))
     measures = spark.read.parquet(f"{sf_dir}/orders.parquet").join(notes, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", measure.alias("xml"))

@@ -204,3 +204,10 @@ def test_the_first_of_equal_children_counts():
     own = "<note><pitch><alter>1</alter></pitch><pitch><step>D</step><octave>4</octave><alter>-1</alter></pitch><duration>2</duration><duration>9</duration><voice/><notations><tied type='start'/></notations><tie type='stop'/></note>"
     n = rows(score(own), None, "Note")[0]
     assert (n["step"], n["alter"], n["midi"], n["duration"], n["voice"], n["tie"]) == ("D", 1, 63, 2, 1, "Continue")
+
+
+def test_lines_are_collected_behind_the_shuffle(spark):
+    from tessitura.plans import machines
+
+    plan = machines.documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and "collect_list" not in plan.rsplit("hashpartitioning(l_orderkey", 1)[1]
