@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import filterfalse
 from operator import itemgetter
 
 import ahocorasick
@@ -28,6 +29,8 @@ SCALE = 1_000_000_000
 HEAD, HEAD_BYTES, SHARD = 1 << 17, 64, 1 << 17
 #: Entries of a task's frequencies, occurrences of its head terms, and bytes of text for shards, before they are given out.
 MOST_COUNTS, MOST_PLACES, MOST_BYTES = 1 << 18, 1 << 22, 8 << 20
+#: Distinct terms of a task's groups between two searches.
+MOST_MET = 1 << 17
 #: Places of head terms whose counts travel in one array.
 STRETCH_BITS = 12
 #: Term occurrences (by document frequency) after which a shard's texts are dealt to several tasks.
@@ -48,18 +51,25 @@ def vocabulary(docs: DataFrame, least: int) -> DataFrame:
     """lang, term, df: the terms in at least ``least`` documents of their language. Tasks give out partial counts of a bounded size."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[tuple[str, bytes]] = Counter()
+        found: defaultdict[str, Counter[bytes]] = defaultdict(Counter)  # by language: a term alone is counted without a loop in Python
+
+        size = 0
 
         def given() -> pa.RecordBatch:
-            keys = list(found)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "term", "df"])
+            langs, terms = [lang for lang, own in found.items() for _ in own], [t for own in found.values() for t in own]
+            ns = [n for own in found.values() for n in own.values()]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64())], ["lang", "term", "df"])
 
         for batch in batches(rows, MOST_BYTES):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found.update([(lang, t) for t in set(_terms(text))])
-                if len(found) >= MOST_COUNTS:
+                own = found[lang]
+                size -= len(own)
+                own.update(set(_terms(text)))
+                size += len(own)
+                if size >= MOST_COUNTS:
                     yield given()
-                    found.clear()
+                    size = 0
         yield given()
 
     parts = docs.select("lang", "text").mapInArrow(lean(run), "lang string, term string, df bigint")
@@ -115,9 +125,10 @@ def _recounted(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
     def first(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Head terms' counts, as sparse arrays of a group and a stretch of places; other terms, as texts of a group and a shard."""
-        places: dict[tuple[str, str], list[int]] = {}
+        met: dict[tuple[str, str], Counter[bytes]] = {}  # a group's terms since the last search: an automaton goes over each of them once
+        places: dict[tuple[str, str], list[np.ndarray]] = {}
         texts: dict[tuple[int, str, str], list[bytes]] = {}
-        size = found = turn = 0
+        size = found = turn = distinct = 0
 
         def given(counts: list, dealt: list) -> pa.RecordBatch:
             cols = list(zip(*counts, *dealt, strict=True))
@@ -128,7 +139,9 @@ def _recounted(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
         def counted() -> Iterator[pa.RecordBatch]:
             for (lang, source), all_ in places.items():
-                at, n = np.unique(np.array(all_, np.int64), return_counts=True)
+                (at, back), times = np.unique(np.concatenate([x[0] for x in all_]), return_inverse=True), np.concatenate([x[1] for x in all_])
+                n = np.zeros(len(at), np.int64)
+                np.add.at(n, back, times)
                 cuts = np.flatnonzero(np.diff(at >> STRETCH_BITS)) + 1
                 out = [(int(a[0] >> STRETCH_BITS), 0, lang, source, None, a & (1 << STRETCH_BITS) - 1, m) for a, m in zip(np.split(at, cuts), np.split(n, cuts), strict=True) if len(a)]
                 if out:
@@ -140,23 +153,38 @@ def _recounted(docs: DataFrame, kept: DataFrame) -> DataFrame:
                 yield given([], [(k, turn % salts, lang, source, b" ".join(t), None, None) for (k, lang, source), t in texts.items()])
             texts.clear()
 
-        for batch in batches(rows, MOST_BYTES):
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                terms, own = _terms(text), head_of(lang)
-                group = places.setdefault((lang, source), [])
-                found -= len(group)
-                group.extend(own.places(terms))
-                found += len(group)
-                listed = own.terms
-                for t in [t for t in terms if t not in listed]:
-                    texts.setdefault((_shard(lang, t, shards), lang, source), []).append(t)
-                    size += len(t) + 1
+        def searched() -> Iterator[pa.RecordBatch]:
+            nonlocal size, found, turn
+            for (lang, source), own in met.items():
+                head, names = head_of(lang), known.value.get(lang, [])
+                at = list(head.places(list(own)))
+                places.setdefault((lang, source), []).append(np.array([at, [own[names[i]] for i in at]], np.int64))
+                found += 2 * len(at)
+                for t in filterfalse(head.terms.__contains__, own):
+                    held, n = texts.setdefault((_shard(lang, t, shards), lang, source), []), own[t]
+                    while n:  # a term that comes very often is given out in between
+                        part = min(n, max(1, (MOST_BYTES - size) // (len(t) + 1)))
+                        held += [t] * part
+                        size, n = size + part * (len(t) + 1), n - part
+                        if size >= MOST_BYTES:
+                            yield from sent()
+                            size, turn = 0, turn + 1
+                            held = texts.setdefault((_shard(lang, t, shards), lang, source), []) if n else []
                 if found >= MOST_PLACES:
                     yield from counted()
                     found = 0
-                if size >= MOST_BYTES:
-                    yield from sent()
-                    size, turn = 0, turn + 1
+            met.clear()
+
+        for batch in batches(rows, MOST_BYTES):
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = met.setdefault((lang, source), Counter())
+                distinct -= len(own)
+                own.update(_terms(text))
+                distinct += len(own)
+                if distinct >= MOST_MET:
+                    yield from searched()
+                    distinct = 0
+        yield from searched()
         yield from counted()
         yield from sent()
 

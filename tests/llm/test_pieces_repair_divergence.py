@@ -243,3 +243,23 @@ def test_query_equals_sql_or_the_library(spark, library, name):
         coded = [(d, library.encode(t or "")) for d, t in c.sql("SELECT doc_id, text FROM documents").fetchall()]
         want = [[hashlib.sha256((library.decode(i) if i else "").encode()).hexdigest(), d, hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), len(i)] for d, i in coded]
     assert got == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("head", [divergence.HEAD, 1])
+def test_a_term_is_searched_once_however_often_it_comes(spark, monkeypatch, head):
+    """An automaton of the head goes over the distinct terms of a group; a term outside it that comes very often is given out in between."""
+
+    class Once(divergence.Automaton):
+        def places(self, terms):
+            assert len(set(terms)) == len(terms)
+            return super().places(terms)
+
+    docs = spark.createDataFrame([("en", s, "aa bb " * 500 + "cc") for s in ("x", "y") for _ in range(3)], "lang string, source string, text string").coalesce(1)
+    kept = divergence.vocabulary(docs, 3).cache()
+    monkeypatch.setattr(divergence, "HEAD", head)
+    if head == 1:
+        monkeypatch.setattr(divergence, "MOST_BYTES", 64)
+    else:
+        monkeypatch.setattr(divergence, "Automaton", Once)
+    want = sorted(("en", s, t, n) for s in ("x", "y") for t, n in (("aa", 1500), ("bb", 1500), ("cc", 3)))
+    assert sorted(tuple(r) for r in divergence._recounted(docs, kept).collect()) == want
