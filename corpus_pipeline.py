@@ -12,31 +12,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessitura.llm import decontaminate, ngram_join, packing, quality, toxicity
-from tessitura.llm.common import stored, table
+from tessitura.llm.common import small_batches, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity classifier scores below 0.5. Null and empty texts score as no n-grams do; null ids and repeated rows are rows of their own."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality scorer gives 0.5 or more. Null and empty texts get no votes and are scored as such; null ids and repeated rows are rows of their own."""
+    small_batches(spark)
     return quality.without_junk(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, that of the smallest id. Null and blank texts are near nothing; rows with a null id stay; of rows of one id one stays."""
+    small_batches(spark)
     return ngram_join.without_near_duplicates(docs, n=5, threshold="0.8")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text covers no benchmark item by half. Null and empty texts and items match nothing; rows of equal texts go or stay together."""
+    small_batches(spark)
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1,024 token ids. Null texts are empty (the end id alone); null ids and repeated rows are packed as rows of their own."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end=0)
 
 

@@ -122,6 +122,20 @@ def batches(rows: Iterator[pa.RecordBatch], most_bytes: int = 32 << 20) -> Itera
             yield batch.slice(at, step)
 
 
+#: Spark's own name for the bytes of a batch that it hands to a Python worker, its default, and the bytes that small_batches sets.
+ARROW_BYTES, ARROW_DEFAULT, ARROW_MOST = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark cut Arrow batches to ``ARROW_MOST`` bytes, unless the session has a limit of its own.
+
+    ``batches`` cuts a batch only once it is there: by default Spark makes batches of 10,000 rows, which for texts are tens of MB in the JVM's buffers (that
+    double as they grow) and again in the worker, for each task.
+    """
+    if int(spark.conf.get(ARROW_BYTES).rstrip("b")) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_BYTES, str(ARROW_MOST))
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for mapInArrow, after which the worker, kept by Spark for other tasks, gives unused memory back to the system."""
 

@@ -16,6 +16,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,13 +205,16 @@ def _grouped(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, ids, first, ids[first][group], np.bincount(group)[group] if len(keys) else np.zeros(0, np.int64)
 
 
-def _meeting(reps: DataFrame) -> DataFrame:
+def _meeting(sigs: DataFrame, several: Broadcast, rest: DataFrame) -> DataFrame:
     """(key, id, pivot): every document under each key that two or more share; pivot is the smallest document of the key, or of those read together.
 
+    sigs: (id, sigs, h1), of which those whose h1 passes the filter ``several`` are left out; rest: (id, sigs) of these that count after all. The filter
+    works in the packing task itself: behind a Python step of its own each task would hold two workers.
+
     Keys travel as packed arrays, dealt by their top bits. Before that, of the rows of a batch that share a key all but the smallest are done, and only
     that one goes on, so a key that very many documents share is small when it is shuffled.
     """
-    parts = partitions(reps.sparkSession)
+    parts = partitions(sigs.sparkSession)
     slots = 4 * parts
 
     def done(keys: np.ndarray, ids: np.ndarray, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -255,7 +259,11 @@ def _meeting(reps: DataFrame) -> DataFrame:
             shared |= alone[np.minimum(np.searchsorted(alone, k), len(alone) - 1)] == k
         yield from done(k[shared], i[shared], pivot[shared])
 
-    return reps.select("id", "sigs").mapInArrow(lean(pack), PACKED).repartition(parts, "slot").mapInArrow(lean(meet), "key bigint, id bigint, pivot bigint")
+    def single(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return pack(b.filter(pa.array(~several.value(b.column(2).to_numpy(zero_copy_only=False).view(U)))) for b in rows)
+
+    packed = sigs.select("id", "sigs", "h1").mapInArrow(lean(single), PACKED).unionByName(rest.select("id", "sigs").mapInArrow(lean(pack), PACKED))
+    return packed.repartition(parts, "slot").mapInArrow(lean(meet), "key bigint, id bigint, pivot bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -465,8 +473,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
     several = spark.sparkContext.broadcast(KeyFilter.of(classes.where("n_class > 1").select("h1")))
     sigs = full.select("id", "h1", "h2", "sigs")
     first_of = classes.select("h1", "h2", F.col("rep").alias("id"))
-    reps = passing(sigs, "h1", several, False).select("id", "sigs").unionByName(passing(sigs, "h1", several).join(first_of, ["h1", "h2", "id"], "left_semi").select("id", "sigs"))
-    meeting = stored(_meeting(reps), "join-meeting")
+    meeting = stored(_meeting(sigs, several, passing(sigs, "h1", several).join(first_of, ["h1", "h2", "id"], "left_semi")), "join-meeting")
     slim = stored(signed.select("id", "n", "h1", "h2"), "join-slim")
     discard(signed)
     wanted = meeting.select("id").distinct()

@@ -134,3 +134,18 @@ def test_stages_take_effect(spark):
         kept, seen = after, after.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SMALL)
     assert packed.select("doc_id").distinct().count() == seen
+
+
+def test_stages_take_small_batches(spark):
+    """Spark cuts the batches themselves; a limit of the session's own stays."""
+    from tessitura.llm import common
+
+    spark.conf.unset(common.ARROW_BYTES)
+    common.small_batches(spark)
+    texts = spark.range(4000, numPartitions=1).selectExpr("repeat('word ', 400) AS text")
+    sizes = texts.mapInArrow(lambda rows: (b.from_arrays([[b.nbytes]], ["n"]) for b in rows), "n bigint").agg({"n": "max"}).first()[0]
+    assert sizes < 2 << 20
+    spark.conf.set(common.ARROW_BYTES, "2000000")
+    common.small_batches(spark)
+    assert spark.conf.get(common.ARROW_BYTES) == "2000000"
+    spark.conf.unset(common.ARROW_BYTES)
