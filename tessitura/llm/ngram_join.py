@@ -189,8 +189,11 @@ def _signed(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     return docs.mapInArrow(lean(sign), "id bigint, n bigint, h1 bigint, h2 bigint, sigs binary")
 
 
-PACKED = "slot int, keys binary, ids binary, at binary, mates binary, key bigint, id bigint, pivot bigint"
-MEETING = ["key", "id", "pivot"]
+MEETING = "met array<bigint>, id bigint, pivot bigint"
+PACKED = f"slot int, keys binary, ids binary, at binary, mates binary, {MEETING}"
+MET = ["met", "id", "pivot"]
+#: About so many keys are in one batch of meetings.
+MET_KEYS = 100_000
 
 
 def _grouped(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,17 +208,23 @@ def _grouped(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _meeting(reps: DataFrame) -> DataFrame:
-    """(key, id, pivot): every document under each key that two or more share; pivot is the smallest document of the key, or of those read together.
+    """(met, id, pivot): every document under each key that two or more share; pivot is the smallest document of the key, or of those read together.
 
     Keys travel as packed arrays, dealt by their top bits. Before that, of the rows of a batch that share a key all but the smallest are done, and only
-    that one goes on, so a key that very many documents share is small when it is shuffled.
+    that one goes on, so a key that very many documents share is small when it is shuffled. A document meets one pivot under many keys where texts are
+    near copies: these keys (met) are one row. So there are at most as many keys as signatures, and few rows a document however many copies it has.
     """
     parts = partitions(reps.sparkSession)
     slots = 4 * parts
 
     def done(keys: np.ndarray, ids: np.ndarray, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].view(np.int64)) for x in (keys, ids, pivots)], MEETING)
+        order = np.lexsort((pivots, ids))
+        keys, ids, pivots = keys[order].view(np.int64), ids[order], pivots[order]
+        cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (pivots[1:] != pivots[:-1])])[: len(keys)])
+        for rows in np.split(cut, np.flatnonzero(np.diff(cut // MET_KEYS)) + 1) if len(cut) else []:
+            end = cut[np.searchsorted(cut, rows[-1]) + 1] if rows[-1] != cut[-1] else len(keys)
+            met = pa.ListArray.from_arrays(pa.array((np.append(rows, end) - rows[0]).astype(np.int32)), pa.array(keys[rows[0] : end]))
+            yield pa.RecordBatch.from_arrays([met, pa.array(ids[rows]), pa.array(pivots[rows])], MET)
 
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in PACKED.split(", ")]
@@ -225,8 +234,8 @@ def _meeting(reps: DataFrame) -> DataFrame:
             if not len(keys):
                 continue
             for more in done(keys[~first], ids[~first], pivot[~first]):
-                m = more.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array((np.arange(m) % slots).astype(np.int32)), *[pa.nulls(m, pa.binary())] * 4, *more.columns], names)
+                slot = mix(mix(more.column("id").to_numpy().view(U)) ^ more.column("pivot").to_numpy().view(U)) % U(slots)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), *[pa.nulls(len(slot), pa.binary())] * 4, *more.columns], names)
             keys, ids, mates = keys[first], ids[first], n[first] > 1
             slot = ((keys >> U(32)) * U(slots)) >> U(32)
             cut = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]]))
@@ -234,14 +243,14 @@ def _meeting(reps: DataFrame) -> DataFrame:
             held = [np.unique(ids[x:y], return_inverse=True) for x, y in spans]
             places = [at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes() for own, at in held]
             packed = [blob_column([keys[x:y].tobytes() for x, y in spans]), blob_column([own.tobytes() for own, _ in held]), blob_column(places), blob_column([mates[x:y].tobytes() for x, y in spans])]
-            yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]].astype(np.int32)), *packed, *[pa.nulls(len(spans), pa.int64())] * 3], names)
+            yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]].astype(np.int32)), *packed, *(pa.nulls(len(spans), x) for x in (pa.list_(pa.int64()), pa.int64(), pa.int64()))], names)
 
     def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, mates = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for batch in rows:
-            made = batch.filter(batch.column("key").is_valid())
+            made = batch.filter(batch.column("id").is_valid())
             if made.num_rows:
-                yield made.select(MEETING)
+                yield made.select(MET)
             for k, own, at, m in zip(*(batch.column(c).drop_null().to_pylist() for c in ("keys", "ids", "at", "mates")), strict=True):
                 keys.append(np.frombuffer(k, U))
                 ids.append(np.frombuffer(own, np.int64)[np.frombuffer(at, np.uint16 if len(own) <= 8 << 16 else np.uint32)])
@@ -255,7 +264,7 @@ def _meeting(reps: DataFrame) -> DataFrame:
             shared |= alone[np.minimum(np.searchsorted(alone, k), len(alone) - 1)] == k
         yield from done(k[shared], i[shared], pivot[shared])
 
-    return reps.select("id", "sigs").mapInArrow(lean(pack), PACKED).repartition(parts, "slot").mapInArrow(lean(meet), "key bigint, id bigint, pivot bigint")
+    return reps.select("id", "sigs").mapInArrow(lean(pack), PACKED).repartition(parts, "slot").mapInArrow(lean(meet), MEETING)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -320,12 +329,13 @@ def _open_groups(meeting: DataFrame, labels: DataFrame) -> DataFrame:
     largest component (the trunk) are not held against each other, since components only grow. Side 0 of a pair holds block i, side 1 block j.
     """
     marks = [F.sum(F.expr(f"xxhash64(id, {i}) & 2147483647")).alias(f"who{i}") for i in range(3)]
-    sizes = meeting.select("key", "id").join(labels, "id").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), *marks)
+    under = meeting.select("id", "met").join(labels, "id").select(F.explode("met").alias("key"), "id", "comp")
+    sizes = under.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), *marks)
     keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), *(F.sum(f"who{i}").alias(f"who{i}") for i in range(3)))
     keys = keys.where("comps > 1").groupBy("who0", "who1", "who2", "all").agg(F.min(F.struct("key", "top")).alias("one")).select("one.key", "one.top", "all")
     keys = keys.select("key", F.col("top.comp").alias("trunk"), F.expr(f"CAST(if(all <= {BLOCK}, 0, ceil(top.n / {BLOCK})) AS INT)").alias("nt"), F.expr(f"CAST(if(all <= {BLOCK}, 1, ceil((all - top.n) / {BLOCK})) AS INT)").alias("ns"))
     keys = stored(keys, "join-open")
-    rows = meeting.select("key", "id").join(keys, "key").join(labels, "id").withColumn("in_trunk", F.expr("nt > 0 AND comp = trunk"))
+    rows = under.join(keys, "key").withColumn("in_trunk", F.expr("nt > 0 AND comp = trunk"))
     spread = rows.withColumn("block", F.expr("CAST(pmod(xxhash64(id, 7), if(in_trunk, nt, ns)) AS INT)")).withColumn(
         "to",
         F.expr("""if(in_trunk, transform(sequence(0, ns - 1), s -> struct(s AS i, ns + block AS j, 1 AS side)),
@@ -471,7 +481,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
     discard(signed)
     wanted = meeting.select("id").distinct()
     sets = stored(_sets(base, wanted, n), "join-sets")
-    oftenest = meeting.where("id != pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("minus"))).alias("best"))
+    oftenest = meeting.where("id != pivot").groupBy("id", "pivot").agg(F.sum(F.size("met")).alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("minus"))).alias("best"))
     first = stored(_possible(oftenest.select(F.col("id").alias("a"), (-F.col("best.minus")).alias("b")), sets, t), "join-possible")
     labels = stored(wanted.select("id", F.col("id").alias("comp")), "labels")
     labels = merged(labels, _linked(first, sets, t))

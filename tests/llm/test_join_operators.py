@@ -88,6 +88,30 @@ def test_chains_and_overlapping_excerpts_lose_no_link(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(docs, 4, Fraction("0.85"))
 
 
+def test_meetings_of_near_copies_are_few_rows_and_lose_no_key(spark, monkeypatch):
+    """A group of copies, two edits each, makes rows by the document and not by the key; keys that two or more hold are all there, each by a smallest one."""
+    monkeypatch.setattr(ngram_join, "MET_KEYS", 500)
+    pick, met = random.Random(12), {}
+    for size in (200, 400):
+        base = [f"v{i}" for i in range(120)]
+        docs = [(i, " ".join(f"e{pick.randrange(10**6)}" if j in edits else x for j, x in enumerate(base))) for i in range(size) for edits in [pick.sample(range(120), 2)]]
+        docs += [(1000 + i, " ".join(f"o{i}.{j}" for j in range(50))) for i in range(20)]
+        signed = ngram_join._signed(spark.createDataFrame(docs, "id bigint, text string").repartition(3), 5, Fraction("0.8")).cache()
+        held = {}
+        for r in signed.collect():
+            for k in np.frombuffer(r["sigs"], np.int64).tolist():
+                held.setdefault(k, set()).add(r["id"])
+        rows, got = ngram_join._meeting(signed).collect(), {}
+        for r in rows:
+            for k in r["met"]:
+                got.setdefault(k, set()).add(r["id"])
+                assert r["pivot"] <= r["id"] and r["pivot"] in held[k]
+        assert got == {k: v for k, v in held.items() if len(v) > 1}
+        assert len(rows) < 12 * size < sum(map(len, got.values()))
+        met[size] = len(rows)
+    assert met[400] < 2.5 * met[200]
+
+
 @pytest.mark.parametrize("t", [Fraction("0.85"), Fraction("0.8"), Fraction("0.6")])
 def test_linked_sets_share_a_signature(t):
     signer, pick = ngram_join.Signer(t), np.random.default_rng(1)
